@@ -45,6 +45,31 @@ def span(start, end, label=None, src=None) -> Column:
     )
 
 
+def pinned(name: str, expr: Column) -> Column:
+    """``expr`` guarded by ``name IS NOT NULL``.
+
+    Catalyst inlines a projected column into its consumer when the consumer references it once;
+    if that one reference sits inside a lambda, the producer would be re-evaluated per element.
+    The guard is a second reference, so the producer stays materialised once per row.
+    """
+    return F.when(F.col(name).isNotNull(), expr)
+
+
+def explode_rows(df: DataFrame, arr: Column, keep, alias: str = "s", pos: str | None = None) -> DataFrame:
+    """One row per array element, dropping empty arrays.
+
+    ``explode`` makes Catalyst infer ``size(arr) > 0`` and push it below the projections that
+    build ``arr``, inlining (and so re-evaluating) the whole span pipeline; ``explode_outer``
+    followed by a filter on the generated column keeps the arrays computed once.
+    """
+    keep = [F.col(k) if isinstance(k, str) else k for k in keep]
+    if pos:
+        x = df.select(*keep, F.posexplode_outer(arr).alias(pos, alias))
+    else:
+        x = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return x.filter(F.col(alias).isNotNull())
+
+
 def seq0(n: Column) -> Column:
     """``[0, n)`` as an int array; empty for ``n <= 0`` (``sequence(0,-1)`` would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(
@@ -53,59 +78,112 @@ def seq0(n: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------
-# Prefix scans (sum / max) over an int array column, blockwise.
+# Prefix scans (sum / max) over int array columns, blockwise.
 # ---------------------------------------------------------------------------------------------
-def scan_column(df: DataFrame, arr: str, out: str, op: str = "sum", inclusive: bool = False) -> DataFrame:
-    """Add ``out`` = prefix scan of int array column ``arr``.
+def _ops(op):
+    if op == "sum":
+        return F.lit(0), (lambda a, b: a + b)
+    if op == "max":
+        return F.lit(-(2**31)), (lambda a, b: F.greatest(a, b))
+    raise ValueError(op)
+
+
+def scan_columns(df: DataFrame, pairs, op: str = "sum", inclusive: bool = False) -> DataFrame:
+    """For each ``(arr, out)`` add ``out`` = prefix scan of int array column ``arr``.
 
     Blocks of ``B = max(64, ceil(sqrt(n)))`` elements: block totals by scalar ``aggregate`` (no
     array concatenation), block bases by a scan of the totals, and each element adds the scalar
     scan of its own block prefix.  Cost O(n * B) per row instead of O(n^2) for a concat fold.
+    All arrays advance level by level, so the plan has four projections whatever their number.
     """
-    if op == "sum":
-        zero = F.lit(0)
+    zero, combine = _ops(op)
+    extra = 1 if inclusive else 0
+    names = [(a, o, _tmp("blk"), _tmp("tot"), _tmp("base")) for a, o in pairs]
 
-        def combine(a, b):
-            return a + b
-    elif op == "max":
-        zero = F.lit(-(2**31))
+    def n_of(a):
+        return F.greatest(F.size(F.col(a)), F.lit(0))
 
-        def combine(a, b):
-            return F.greatest(a, b)
-    else:
-        raise ValueError(op)
-
-    n = F.size(F.col(arr))
-    blk, tot, base = _tmp("blk"), _tmp("tot"), _tmp("base")
-    df = df.withColumn(blk, F.greatest(F.lit(64), F.ceil(F.sqrt(F.greatest(n, F.lit(0))))).cast("int"))
-    nb = F.ceil(F.greatest(n, F.lit(0)) / F.col(blk)).cast("int")
-    df = df.withColumn(
-        tot,
-        F.transform(
-            seq0(nb),
-            lambda b: F.aggregate(F.slice(F.col(arr), b * F.col(blk) + 1, F.col(blk)), zero, combine),
-        ),
-    )
-    df = df.withColumn(
-        base,
-        F.transform(F.col(tot), lambda t, b: F.aggregate(F.slice(F.col(tot), 1, b), zero, combine)),
-    )
-    extra = 1 if inclusive else 0
+    df = df.select("*", *[F.greatest(F.lit(64), F.ceil(F.sqrt(n_of(a)))).cast("int").alias(blk)
+                          for a, _, blk, _, _ in names])
 
-    def elem(x, i):
-        b = (i / F.col(blk)).cast("int")
-        local = F.aggregate(
-            F.slice(F.col(arr), b * F.col(blk) + 1, i - b * F.col(blk) + extra), zero, combine
-        )
-        return combine(F.get(F.col(base), b), local)
+    def totals(a, blk):
+        nb = F.ceil(n_of(a) / F.col(blk)).cast("int")
+        return F.transform(seq0(nb), lambda b: F.aggregate(F.slice(F.col(a), b * F.col(blk) + 1, F.col(blk)), zero, combine))
 
-    df = df.withColumn(out, F.transform(F.col(arr), elem))
-    return df.drop(blk, tot, base)
+    df = df.select("*", *[totals(a, blk).alias(tot) for a, _, blk, tot, _ in names])
+    def bases(tot):
+        return F.transform(F.col(tot), lambda t, b: F.aggregate(F.slice(F.col(tot), 1, b), zero, combine))
+
+    df = df.select("*", *[bases(tot).alias(base) for _, _, _, tot, base in names])
+
+    def elems(a, blk, base):
+        def elem(x, i):
+            b = (i / F.col(blk)).cast("int")
+            local = F.aggregate(F.slice(F.col(a), b * F.col(blk) + 1, i - b * F.col(blk) + extra), zero, combine)
+            return combine(F.get(F.col(base), b), local)
+
+        return pinned(base, F.transform(F.col(a), elem))
+
+    df = df.select("*", *[elems(a, blk, base).alias(o) for a, o, blk, _, base in names])
+    return df.drop(*[c for _, _, blk, tot, base in names for c in (blk, tot, base)])
+
+
+def scan_column(df: DataFrame, arr: str, out: str, op: str = "sum", inclusive: bool = False) -> DataFrame:
+    return scan_columns(df, [(arr, out)], op, inclusive)
 
 
 # ---------------------------------------------------------------------------------------------
 # Regex to spans
 # ---------------------------------------------------------------------------------------------
+def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bool = False) -> DataFrame:
+    """Add one span-array column per detector ``dict(out, pattern, label, src, group)``.
+
+    Each detector scans the whole text twice (matches, then gaps); ``group > 0`` returns the span
+    of that group, which must end where the whole match ends (medication-context rules).
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    ds = []
+    for d in detectors:
+        ds.append(dict(d, m=_tmp("m"), g=_tmp("g"), gl=_tmp("gl"), pl=_tmp("pl"), bs=_tmp("bs"),
+                       mg=_tmp("mg") if d.get("group") else None))
+    cols = []
+    for d in ds:
+        cols.append(F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0)).alias(d["m"]))
+        cols.append(F.split(t, d["pattern"], -1).alias(d["g"]))
+        if d["mg"]:
+            cols.append(F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(d["group"])).alias(d["mg"]))
+    df = df.select("*", *cols)
+    df = df.select("*", *[F.transform(F.slice(F.col(d["g"]), 1, F.size(F.col(d["m"]))), lambda x: F.length(x)).alias(d["gl"])
+                          for d in ds]).drop(*[d["g"] for d in ds])
+    df = df.select("*", *[F.zip_with(F.col(d["gl"]), F.col(d["m"]), lambda a, b: a + F.length(b)).alias(d["pl"])
+                          for d in ds])
+    df = scan_columns(df, [(d["pl"], d["bs"]) for d in ds], "sum", inclusive=False)
+
+    def build(d):
+        def mk(x, i):
+            s = F.get(F.col(d["bs"]), i) + F.get(F.col(d["gl"]), i)
+            e = s + F.length(x)
+            if d["mg"]:
+                s = e - F.length(F.get(F.col(d["mg"]), i))
+            fields = [
+                s.cast("int").alias("start"),
+                e.cast("int").alias("end"),
+                F.lit(d.get("label")).cast("string").alias("label"),
+                F.lit(d.get("src")).cast("string").alias("src"),
+            ]
+            if with_surface:
+                fields.append((F.get(F.col(d["mg"]), i) if d["mg"] else x).alias("surface"))
+            return F.struct(*fields)
+
+        body = F.transform(F.col(d["m"]), mk)
+        if d["mg"]:
+            body = pinned(d["mg"], body)
+        return pinned(d["bs"], pinned(d["gl"], body)).alias(d["out"])
+
+    df = df.select("*", *[build(d) for d in ds])
+    return df.drop(*[c for d in ds for c in (d["m"], d["gl"], d["pl"], d["bs"], d["mg"]) if c])
+
+
 def with_regex_spans(
     df: DataFrame,
     text: str,
@@ -116,56 +194,22 @@ def with_regex_spans(
     group: int = 0,
     with_surface: bool = False,
 ) -> DataFrame:
-    """Add ``out``: spans of every non-overlapping match of ``pattern`` in column ``text``.
-
-    ``group > 0`` returns the span of that group, which must end where the whole match ends
-    (as in the medication-context rules).  ``with_surface`` adds the matched text as ``surface``.
-    """
-    m, g, gl, pl, bs = _tmp("m"), _tmp("g"), _tmp("gl"), _tmp("pl"), _tmp("bs")
-    t = F.coalesce(F.col(text), F.lit(""))
-    pat = F.lit(pattern)
-    df = df.withColumn(m, F.regexp_extract_all(t, pat, F.lit(0)))
-    df = df.withColumn(g, F.split(t, pattern, -1))
-    df = df.withColumn(gl, F.transform(F.slice(F.col(g), 1, F.size(F.col(m))), lambda x: F.length(x)))
-    df = df.withColumn(pl, F.zip_with(F.col(gl), F.col(m), lambda a, b: a + F.length(b)))
-    df = scan_column(df, pl, bs, "sum", inclusive=False)
-    mg = None
-    if group:
-        mg = _tmp("mg")
-        df = df.withColumn(mg, F.regexp_extract_all(t, pat, F.lit(group)))
-
-    def mk(x, i):
-        s = F.get(F.col(bs), i) + F.get(F.col(gl), i)
-        e = s + F.length(x)
-        if group:
-            s = e - F.length(F.get(F.col(mg), i))
-        fields = [
-            s.cast("int").alias("start"),
-            e.cast("int").alias("end"),
-            F.lit(label).cast("string").alias("label"),
-            F.lit(src).cast("string").alias("src"),
-        ]
-        if with_surface:
-            surf = F.get(F.col(mg), i) if group else x
-            fields.append(surf.alias("surface"))
-        return F.struct(*fields)
-
-    df = df.withColumn(out, F.transform(F.col(m), mk))
-    drop = [m, g, gl, pl, bs] + ([mg] if mg else [])
-    return df.drop(*drop)
+    """Add ``out``: spans of every non-overlapping match of ``pattern`` in column ``text``."""
+    det = dict(out=out, pattern=pattern, label=label, src=src, group=group)
+    return with_regex_spans_multi(df, text, [det], with_surface)
 
 
 def with_detector_spans(df: DataFrame, text: str, detectors, out: str) -> DataFrame:
     """Concatenate spans of several ``(label, pattern[, group])`` detectors (each over the whole text)."""
-    cols = []
+    if not detectors:
+        return df.withColumn(out, empty_spans())
+    dets = []
     for i, det in enumerate(detectors):
         label, pattern = det[0], det[1]
         group = det[2] if len(det) > 2 else 0
-        c = _tmp(f"det{i}")
-        df = with_regex_spans(df, text, pattern, c, label=label, src=f"re:{label}", group=group)
-        cols.append(c)
-    if not cols:
-        return df.withColumn(out, empty_spans())
+        dets.append(dict(out=_tmp(f"det{i}"), pattern=pattern, label=label, src=f"re:{label}", group=group))
+    df = with_regex_spans_multi(df, text, dets)
+    cols = [d["out"] for d in dets]
     return df.withColumn(out, F.concat(*[F.col(c) for c in cols])).drop(*cols)
 
 
@@ -198,7 +242,7 @@ def merge_spans(spans: Column, label: str | None = None, touching: bool = True)
     srt = sort_spans(F.coalesce(spans, empty_spans()))
 
     def step(acc, x):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joins = (x["start"] <= last["end"]) if touching else (x["start"] < last["end"])
         merged = F.struct(
             last["start"].alias("start"),
@@ -250,7 +294,7 @@ def select_end_pointer(spans: Column) -> Column:
         sort_spans(F.coalesce(spans, empty_spans())),
         empty_spans(),
         lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))
+            (F.size(acc) == 0) | (x["start"] >= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))
         ).otherwise(acc),
     )
 
@@ -259,7 +303,7 @@ def select_replace_longer(spans: Column) -> Column:
     """Left to right; an overlapping later span replaces the previous one if longer."""
 
     def step(acc, x):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         over = (F.size(acc) > 0) & overlaps(x, last)
         longer = (x["end"] - x["start"]) > (last["end"] - last["start"])
         return (
@@ -287,10 +331,12 @@ def right_context(text: Column, end: Column, k: int) -> Column:
 
 def previous_ends(sp: Column) -> Column:
     """``[0, end_0, ..., end_{n-2}]``: the end of the previous span, aligned with ``sp``."""
-    return F.concat(
+    prev = F.concat(
         F.array(F.lit(0)),
         F.transform(F.slice(sp, 1, F.greatest(F.size(sp) - 1, F.lit(0))), lambda x: x["end"]),
     )
+    # zip_with pads the shorter side with nulls, so an empty span list must give an empty array.
+    return F.when(F.size(sp) > 0, prev).otherwise(F.array().cast("array<int>"))
 
 
 def replace_spans(text: Column, spans: Column, tag: Column | str | None = None, tag_of=None) -> Column:
@@ -310,7 +356,7 @@ def replace_spans(text: Column, spans: Column, tag: Column | str | None = None,
     def piece(x, prev_end):
         return F.array(F.substring(t, prev_end + 1, x["start"] - prev_end), tag_of(x))
 
-    last_end = F.coalesce(F.element_at(sp, -1)["end"], F.lit(0))
+    last_end = F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.lit(0))
     body = F.array_join(F.flatten(F.zip_with(sp, previous_ends(sp), piece)), "")
     out = F.concat(F.coalesce(body, F.lit("")), F.substring(t, last_end + 1, 2**31 - 1))
     return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
@@ -331,7 +377,7 @@ def segments(text: Column, protected: Column) -> Column:
             F.struct(F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("txt"), F.lit(True).alias("prot")),
         )
 
-    last_end = F.coalesce(F.element_at(sp, -1)["end"], F.lit(0))
+    last_end = F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.lit(0))
     tail = F.array(F.struct(F.substring(t, last_end + 1, 2**31 - 1).alias("txt"), F.lit(False).alias("prot")))
     return F.concat(F.flatten(F.zip_with(sp, previous_ends(sp), piece)), tail)
 

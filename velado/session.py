@@ -13,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Lexicon/term tables are broadcast only below this size; larger ones shuffle-join.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -25,6 +26,9 @@ def get_spark(master: str | None = None, app: str = "velado", shuffle_partitions
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs executors inside the driver JVM: its heap is the only memory knob.
+        conf["spark.driver.memory"] = os.environ.get("VELADO_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
