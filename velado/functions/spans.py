@@ -77,6 +77,46 @@ def seq0(n: Column) -> Column:
     )
 
 
+# ---------------------------------------------------------------------------------------------
+# Positioned substrings.  ``substring(text, pos, n)`` walks the UTF-8 bytes from the start to
+# find code point ``pos``, so cutting many spans out of one long text is quadratic.  A text kept
+# as blocks of ``BLOCK`` code points (one regex pass) gives any substring from the few blocks it
+# touches: O(n + BLOCK) per cut.
+# ---------------------------------------------------------------------------------------------
+BLOCK = 256
+
+
+def text_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def with_blocks(df: DataFrame, text: str, out: str | None = None) -> tuple[DataFrame, str]:
+    out = out or _tmp("blocks")
+    return df.withColumn(out, text_blocks(F.col(text))), out
+
+
+def sub(text: Column, start0, length, blocks: Column | None = None) -> Column:
+    """Code points ``[start0, start0 + length)`` of the text (0-based), from blocks when given."""
+    start0 = start0 if isinstance(start0, Column) else F.lit(start0)
+    length = length if isinstance(length, Column) else F.lit(length)
+    if blocks is None:
+        return F.substring(text, start0 + 1, F.greatest(length, F.lit(0)))
+    ln = F.greatest(length, F.lit(0))
+    st = F.greatest(start0, F.lit(0))
+    b0 = F.floor(st / BLOCK).cast("int")
+    b1 = F.floor((st + ln - 1) / BLOCK).cast("int")
+    piece = F.array_join(F.slice(blocks, b0 + 1, F.greatest(b1 - b0 + 1, F.lit(0))), "")
+    return F.when(ln == 0, F.lit("")).otherwise(F.substring(piece, st - b0 * BLOCK + 1, ln))
+
+
+def text_length(text: Column, blocks: Column | None = None) -> Column:
+    if blocks is None:
+        return F.length(text)
+    return F.when(F.size(blocks) == 0, F.lit(0)).otherwise(
+        (F.size(blocks) - 1) * BLOCK + F.length(F.try_element_at(blocks, F.lit(-1)))
+    )
+
+
 # ---------------------------------------------------------------------------------------------
 # Prefix scans (sum / max) over int array columns, blockwise.
 # ---------------------------------------------------------------------------------------------
@@ -315,18 +355,18 @@ def select_replace_longer(spans: Column) -> Column:
     return F.aggregate(sort_spans(F.coalesce(spans, empty_spans())), empty_spans(), step)
 
 
-def surface(text: Column, s: Column) -> Column:
+def surface(text: Column, s: Column, blocks: Column | None = None) -> Column:
     """Text covered by a span."""
-    return F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    return sub(text, s["start"], s["end"] - s["start"], blocks)
 
 
-def left_context(text: Column, start: Column, k: int) -> Column:
+def left_context(text: Column, start: Column, k: int, blocks: Column | None = None) -> Column:
     lo = F.greatest(start - k, F.lit(0))
-    return F.substring(text, lo + 1, start - lo)
+    return sub(text, lo, start - lo, blocks)
 
 
-def right_context(text: Column, end: Column, k: int) -> Column:
-    return F.substring(text, end + 1, k)
+def right_context(text: Column, end: Column, k: int, blocks: Column | None = None) -> Column:
+    return sub(text, end, F.lit(k), blocks)
 
 
 def previous_ends(sp: Column) -> Column:
@@ -339,7 +379,8 @@ def previous_ends(sp: Column) -> Column:
     return F.when(F.size(sp) > 0, prev).otherwise(F.array().cast("array<int>"))
 
 
-def replace_spans(text: Column, spans: Column, tag: Column | str | None = None, tag_of=None) -> Column:
+def replace_spans(text: Column, spans: Column, tag: Column | str | None = None, tag_of=None,
+                  blocks: Column | None = None) -> Column:
     """Rebuild ``text`` with each (sorted, disjoint) span replaced (M1).
 
     ``tag`` is a constant replacement; ``tag_of(span)`` a per-span replacement expression.
@@ -354,15 +395,15 @@ def replace_spans(text: Column, spans: Column, tag: Column | str | None = None,
             return const
 
     def piece(x, prev_end):
-        return F.array(F.substring(t, prev_end + 1, x["start"] - prev_end), tag_of(x))
+        return F.array(sub(t, prev_end, x["start"] - prev_end, blocks), tag_of(x))
 
     last_end = F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.lit(0))
     body = F.array_join(F.flatten(F.zip_with(sp, previous_ends(sp), piece)), "")
-    out = F.concat(F.coalesce(body, F.lit("")), F.substring(t, last_end + 1, 2**31 - 1))
+    out = F.concat(F.coalesce(body, F.lit("")), sub(t, last_end, text_length(t, blocks) - last_end, blocks))
     return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
 
 
-def segments(text: Column, protected: Column) -> Column:
+def segments(text: Column, protected: Column, blocks: Column | None = None) -> Column:
     """Split ``text`` into ``array<struct<txt, prot>>`` around sorted disjoint protected spans (M6).
 
     Open segments are masked, protected ones pass through byte for byte; no placeholder text is
@@ -373,12 +414,13 @@ def segments(text: Column, protected: Column) -> Column:
 
     def piece(x, prev_end):
         return F.array(
-            F.struct(F.substring(t, prev_end + 1, x["start"] - prev_end).alias("txt"), F.lit(False).alias("prot")),
-            F.struct(F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("txt"), F.lit(True).alias("prot")),
+            F.struct(sub(t, prev_end, x["start"] - prev_end, blocks).alias("txt"), F.lit(False).alias("prot")),
+            F.struct(sub(t, x["start"], x["end"] - x["start"], blocks).alias("txt"), F.lit(True).alias("prot")),
         )
 
     last_end = F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.lit(0))
-    tail = F.array(F.struct(F.substring(t, last_end + 1, 2**31 - 1).alias("txt"), F.lit(False).alias("prot")))
+    tail = F.array(F.struct(sub(t, last_end, text_length(t, blocks) - last_end, blocks).alias("txt"),
+                            F.lit(False).alias("prot")))
     return F.concat(F.flatten(F.zip_with(sp, previous_ends(sp), piece)), tail)
 
 
@@ -386,9 +428,9 @@ def join_segments(segs: Column) -> Column:
     return F.array_join(F.transform(segs, lambda s: s["txt"]), "")
 
 
-def clip_right(text: Column, s: Column, labels, stops) -> Column:
+def clip_right(text: Column, s: Column, labels, stops, blocks: Column | None = None) -> Column:
     """New end: cut at the first stop token inside the span, unless the cut is at 0 (V4)."""
-    frag = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    frag = sub(text, s["start"], s["end"] - s["start"], blocks)
     cuts = [F.when(F.instr(frag, stop) > 0, F.instr(frag, stop) - 1) for stop in stops]
     c = F.least(*cuts) if len(cuts) > 1 else cuts[0]
     new_end = F.when(c.isNull() | (c <= 0), s["end"]).otherwise(s["start"] + c)
@@ -399,9 +441,9 @@ def clip_right(text: Column, s: Column, labels, stops) -> Column:
 EDGE_CLASS = r"[\s\p{Z}\p{P}\x{200B}\x{FEFF}]"
 
 
-def trim_span(text: Column, s: Column, edge_class: str = EDGE_CLASS) -> Column:
+def trim_span(text: Column, s: Column, edge_class: str = EDGE_CLASS, blocks: Column | None = None) -> Column:
     """Trim characters of ``edge_class`` from both span edges (V5); may give start == end."""
-    frag = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    frag = sub(text, s["start"], s["end"] - s["start"], blocks)
     lead = F.length(F.regexp_extract(frag, "(?U)^" + edge_class + "*", 0))
     rest = F.substring(frag, lead + 1, 2**31 - 1)
     trail = F.length(F.regexp_extract(rest, "(?U)" + edge_class + "*$", 0))

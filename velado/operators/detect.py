@@ -43,18 +43,18 @@ def lexicon_pattern(terms, wide=False):
     return P.ci(r"(?<!\w)(?:" + "|".join(alts) + r")(?:[®™])?(?!\w)")
 
 
-def _suffix_filter(text_col: str, spans_col: str, suffixes, units_re: str, radius: int):
+def _suffix_filter(text_col: str, spans_col: str, suffixes, units_re: str, radius: int, blocks: str):
     """Keep word spans ending with a drug suffix that have a unit (or digit) within ``radius`` chars."""
     suf = "(?U)(" + "|".join(P.quote_term(s) for s in suffixes) + ")$"
-    t = F.col(text_col)
+    t, b = F.col(text_col), F.col(blocks)
 
     def keep(x):
-        word = F.lower(F.substring(t, x["start"] + 1, x["end"] - x["start"]))
+        word = F.lower(S.sub(t, x["start"], x["end"] - x["start"], b))
         lo = F.greatest(x["start"] - radius, F.lit(0))
-        ctx = F.substring(t, lo + 1, x["end"] + radius - lo)
+        ctx = S.sub(t, lo, x["end"] + radius - lo, b)
         return word.rlike(suf) & ctx.rlike(P.ci(units_re))
 
-    return F.filter(F.col(spans_col), keep)
+    return S.pinned(blocks, F.filter(F.col(spans_col), keep))
 
 
 def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool = False, merged: bool = True) -> DataFrame:
@@ -80,12 +80,13 @@ def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool =
     words = _tmp("words")
     df = S.with_regex_spans(df, text, P.ci(P.CAPITAL_WORD), words, label="DRUG", src="suffix")
     c = _tmp("suf")
+    df, blk = S.with_blocks(df, text)
     if wide:
-        df = df.withColumn(c, _suffix_filter(text, words, P.DRUG_SUFFIXES_WIDE, P.DOSE_UNITS_WIDE + r"|\d", 25))
+        df = df.withColumn(c, _suffix_filter(text, words, P.DRUG_SUFFIXES_WIDE, P.DOSE_UNITS_WIDE + r"|\d", 25, blk))
     else:
-        df = df.withColumn(c, _suffix_filter(text, words, P.DRUG_SUFFIXES, P.DOSE_UNITS, 20))
+        df = df.withColumn(c, _suffix_filter(text, words, P.DRUG_SUFFIXES, P.DOSE_UNITS, 20, blk))
     parts.append(c)
-    df = df.drop(words)
+    df = df.drop(words, blk)
     allc = F.concat(*[F.col(p) for p in parts])
     df = df.withColumn(out, S.merge_spans(allc) if merged else allc)
     return df.drop(*parts)

@@ -79,7 +79,8 @@ def mask_text(
         prot = _tmp("prot")
         df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules)
         segs = _tmp("segs")
-        df = df.withColumn(segs, S.segments(F.col(src), F.col(prot)))
+        df, blk = S.with_blocks(df, src)
+        df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
         cnt_cols = []
         for name, pattern, repl in steps:
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")

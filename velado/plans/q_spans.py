@@ -120,11 +120,12 @@ FROM c"""
 
 @register("span_clip", "V4", "documents", _clip_sql())
 def span_clip(spark, sf):
-    d = _detect(spark, sf, [ADDRESS_LIKE])
+    d, blk = S.with_blocks(_detect(spark, sf, [ADDRESS_LIKE]), "text")
     d = d.withColumn(
         "clipped",
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end_before"),
-                                                S.clip_right(F.col("text"), s, P.CLIP_LABELS, P.CLIP_STOPS).alias("end"))),
+        S.pinned(blk, F.transform("spans", lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end_before"),
+            S.clip_right(F.col("text"), s, P.CLIP_LABELS, P.CLIP_STOPS, F.col(blk)).alias("end")))),
     )
     return S.explode_rows(d, F.col("clipped"), ["doc_id"]).select("doc_id", "s.start", "s.end_before", "s.end")
 
@@ -145,16 +146,16 @@ SELECT doc_id, start AS start_before, "end" AS end_before, start + lead AS start
 FROM b""",
 )
 def span_trim(spark, sf):
-    d = _detect(spark, sf, [NONSPACE])
+    d, blk = S.with_blocks(_detect(spark, sf, [NONSPACE]), "text")
     d = d.withColumn(
         "t",
-        F.transform(
+        S.pinned(blk, F.transform(
             "spans",
             lambda s: F.struct(
                 s["start"].alias("start_before"), s["end"].alias("end_before"),
-                S.trim_span(F.col("text"), s).alias("n"),
+                S.trim_span(F.col("text"), s, blocks=F.col(blk)).alias("n"),
             ),
-        ),
+        )),
     )
     r = S.explode_rows(d, F.col("t"), ["doc_id"], "x")
     return r.select(
@@ -185,8 +186,11 @@ FROM documents d LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY ord) AS
 )
 def mask_merged_phi(spark, sf):
     d = _detect(spark, sf, MERGE_SET).withColumn("m", S.merge_spans(F.col("spans"), label="PHI"))
+    d, blk = S.with_blocks(d, "text")
     return d.select(
-        "doc_id", S.replace_spans(F.col("text"), F.col("m"), "[PHI]").alias("masked"), F.size("m").alias("n_spans")
+        "doc_id",
+        S.pinned(blk, S.replace_spans(F.col("text"), F.col("m"), "[PHI]", blocks=F.col(blk))).alias("masked"),
+        F.size("m").alias("n_spans"),
     )
 
 
