@@ -128,6 +128,17 @@ def _ops(op):
     raise ValueError(op)
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(v) -> str:
+    """Spark SQL string literal (or NULL)."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def scan_columns(df: DataFrame, pairs, op: str = "sum", inclusive: bool = False) -> DataFrame:
     """For each ``(arr, out)`` add ``out`` = prefix scan of int array column ``arr``.
 
@@ -135,36 +146,31 @@ def scan_columns(df: DataFrame, pairs, op: str = "sum", inclusive: bool = False)
     array concatenation), block bases by a scan of the totals, and each element adds the scalar
     scan of its own block prefix.  Cost O(n * B) per row instead of O(n^2) for a concat fold.
     All arrays advance level by level, so the plan has four projections whatever their number.
+    The expressions are SQL text: one JVM call each instead of hundreds of Column calls.
     """
-    zero, combine = _ops(op)
+    if op == "sum":
+        zero, comb = "0", "(a, x) -> a + x"
+    elif op == "max":
+        zero, comb = str(-(2**31)), "(a, x) -> greatest(a, x)"
+    else:
+        raise ValueError(op)
     extra = 1 if inclusive else 0
-    names = [(a, o, _tmp("blk"), _tmp("tot"), _tmp("base")) for a, o in pairs]
-
-    def n_of(a):
-        return F.greatest(F.size(F.col(a)), F.lit(0))
-
-    df = df.select("*", *[F.greatest(F.lit(64), F.ceil(F.sqrt(n_of(a)))).cast("int").alias(blk)
+    names = [(_q(a), o, _tmp("blk"), _tmp("tot"), _tmp("base")) for a, o in pairs]
+    df = df.select("*", *[F.expr(f"cast(greatest(64, ceil(sqrt(size({a})))) as int)").alias(blk)
                           for a, _, blk, _, _ in names])
-
-    def totals(a, blk):
-        nb = F.ceil(n_of(a) / F.col(blk)).cast("int")
-        return F.transform(seq0(nb), lambda b: F.aggregate(F.slice(F.col(a), b * F.col(blk) + 1, F.col(blk)), zero, combine))
-
-    df = df.select("*", *[totals(a, blk).alias(tot) for a, _, blk, tot, _ in names])
-    def bases(tot):
-        return F.transform(F.col(tot), lambda t, b: F.aggregate(F.slice(F.col(tot), 1, b), zero, combine))
-
-    df = df.select("*", *[bases(tot).alias(base) for _, _, _, tot, base in names])
-
-    def elems(a, blk, base):
-        def elem(x, i):
-            b = (i / F.col(blk)).cast("int")
-            local = F.aggregate(F.slice(F.col(a), b * F.col(blk) + 1, i - b * F.col(blk) + extra), zero, combine)
-            return combine(F.get(F.col(base), b), local)
-
-        return pinned(base, F.transform(F.col(a), elem))
-
-    df = df.select("*", *[elems(a, blk, base).alias(o) for a, o, blk, _, base in names])
+    df = df.select("*", *[F.expr(
+        f"transform(CASE WHEN size({a}) > 0 THEN sequence(0, cast(ceil(size({a}) / {_q(blk)}) as int) - 1) "
+        f"ELSE cast(array() as array<int>) END, "
+        f"b -> aggregate(slice({a}, b * {_q(blk)} + 1, {_q(blk)}), {zero}, {comb}))").alias(tot)
+        for a, _, blk, tot, _ in names])
+    df = df.select("*", *[F.expr(
+        f"transform({_q(tot)}, (t, b) -> aggregate(slice({_q(tot)}, 1, b), {zero}, {comb}))").alias(base)
+        for _, _, _, tot, base in names])
+    df = df.select("*", *[F.expr(
+        f"CASE WHEN {_q(base)} IS NOT NULL THEN transform({a}, (x, i) -> "
+        f"element_at({_q(base)}, cast(i div {_q(blk)} as int) + 1) + "
+        f"aggregate(slice({a}, cast(i div {_q(blk)} as int) * {_q(blk)} + 1, i - cast(i div {_q(blk)} as int) * {_q(blk)} + {extra}), {zero}, {comb})) END"
+    ).alias(o) for a, o, blk, _, base in names])
     return df.drop(*[c for _, _, blk, tot, base in names for c in (blk, tot, base)])
 
 
@@ -193,32 +199,24 @@ def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bo
         if d["mg"]:
             cols.append(F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(d["group"])).alias(d["mg"]))
     df = df.select("*", *cols)
-    df = df.select("*", *[F.transform(F.slice(F.col(d["g"]), 1, F.size(F.col(d["m"]))), lambda x: F.length(x)).alias(d["gl"])
-                          for d in ds]).drop(*[d["g"] for d in ds])
-    df = df.select("*", *[F.zip_with(F.col(d["gl"]), F.col(d["m"]), lambda a, b: a + F.length(b)).alias(d["pl"])
+    df = df.select("*", *[F.expr(f"transform(slice({_q(d['g'])}, 1, size({_q(d['m'])})), x -> length(x))").alias(d["gl"])
                           for d in ds])
+    df = df.select(*[c for c in df.columns if c not in {d["g"] for d in ds}],
+                   *[F.expr(f"zip_with({_q(d['gl'])}, {_q(d['m'])}, (a, b) -> a + length(b))").alias(d["pl"]) for d in ds])
     df = scan_columns(df, [(d["pl"], d["bs"]) for d in ds], "sum", inclusive=False)
 
     def build(d):
-        def mk(x, i):
-            s = F.get(F.col(d["bs"]), i) + F.get(F.col(d["gl"]), i)
-            e = s + F.length(x)
-            if d["mg"]:
-                s = e - F.length(F.get(F.col(d["mg"]), i))
-            fields = [
-                s.cast("int").alias("start"),
-                e.cast("int").alias("end"),
-                F.lit(d.get("label")).cast("string").alias("label"),
-                F.lit(d.get("src")).cast("string").alias("src"),
-            ]
-            if with_surface:
-                fields.append((F.get(F.col(d["mg"]), i) if d["mg"] else x).alias("surface"))
-            return F.struct(*fields)
-
-        body = F.transform(F.col(d["m"]), mk)
-        if d["mg"]:
-            body = pinned(d["mg"], body)
-        return pinned(d["bs"], pinned(d["gl"], body)).alias(d["out"])
+        m, gl, bs, mg = _q(d["m"]), _q(d["gl"]), _q(d["bs"]), (_q(d["mg"]) if d["mg"] else None)
+        st = f"(element_at({bs}, i + 1) + element_at({gl}, i + 1))"
+        en = f"({st} + length(x))"
+        if mg:
+            st = f"({en} - length(element_at({mg}, i + 1)))"
+        fields = (f"'start', cast({st} as int), 'end', cast({en} as int), "
+                  f"'label', {sql_str(d.get('label'))}, 'src', {sql_str(d.get('src'))}")
+        if with_surface:
+            fields += f", 'surface', {('element_at(' + mg + ', i + 1)') if mg else 'x'}"
+        guard = f"{bs} IS NOT NULL AND {gl} IS NOT NULL" + (f" AND {mg} IS NOT NULL" if mg else "")
+        return F.expr(f"CASE WHEN {guard} THEN transform({m}, (x, i) -> named_struct({fields})) END").alias(d["out"])
 
     df = df.select("*", *[build(d) for d in ds])
     return df.drop(*[c for d in ds for c in (d["m"], d["gl"], d["pl"], d["bs"], d["mg"]) if c])

@@ -34,5 +34,22 @@ def register(name: str, operators: str, tables: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Text tables whose per-row work is CPU-heavy, with the key that spreads them evenly.
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one driver table.
+
+    A text table scanned as fewer partitions than the cluster's parallelism (one large row group)
+    is hash-repartitioned on its key so per-row text work uses every core; with many input splits
+    (the large-scale case) the scan is left as it is.  Hash partitioning on the document key also
+    gives later per-document windows their distribution without another shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = SPREAD_KEYS.get(name)
+    if spread and keys:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target * 2, *keys)
+    return df
