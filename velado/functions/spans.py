@@ -83,7 +83,7 @@ def seq0(n: Column) -> Column:
 # as blocks of ``BLOCK`` code points (one regex pass) gives any substring from the few blocks it
 # touches: O(n + BLOCK) per cut.
 # ---------------------------------------------------------------------------------------------
-BLOCK = 256
+BLOCK = 64
 
 
 def text_blocks(text: Column) -> Column:

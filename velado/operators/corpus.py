@@ -113,22 +113,27 @@ REASONS = ("empty-after-normalize", "isspace-edge", "space/punct-edge", "strip-d
 
 
 def edge_reason(frag: Column) -> Column:
-    """Reject reason for a span fragment (V8), or null when the edges are clean."""
-    chk = F.regexp_replace(F.regexp_replace(frag, " ", " "), "[​﻿]", "")
+    """Reject reason for a span fragment (V8), or null when the edges are clean.
+
+    The check text maps NBSP to a space and drops zero-width space and BOM; whitespace is Python's
+    ``str.isspace`` set, spelled out.
+    """
+    chk = F.regexp_replace(F.regexp_replace(frag, r"\x{A0}", " "), r"[\x{200B}\x{FEFF}]", "")
     first, last = F.substring(chk, 1, 1), F.substring(chk, -1, 1)
-    space_punct = r"(?U)^[\s\p{Z}\p{P}\x{200B}\x{FEFF}]$"
+    sp = P.PY_SPACE
+    space_punct = "^(?:" + sp + r"|[\p{Z}\p{P}\x{200B}\x{FEFF}])$"
     return (
         F.when(chk == "", F.lit(REASONS[0]))
-        .when(first.rlike(r"(?U)^\s$") | last.rlike(r"(?U)^\s$"), F.lit(REASONS[1]))
+        .when(first.rlike("^" + sp + "$") | last.rlike("^" + sp + "$"), F.lit(REASONS[1]))
         .when(first.rlike(space_punct) | last.rlike(space_punct), F.lit(REASONS[2]))
-        .when(chk != F.regexp_replace(chk, r"(?U)^\s+|\s+$", ""), F.lit(REASONS[3]))
+        .when(chk != F.regexp_replace(chk, "^" + sp + "+|" + sp + "+$", ""), F.lit(REASONS[3]))
     )
 
 
 def first_by_label(span_rows: DataFrame, labels, key: str = "doc_id") -> DataFrame:
     """Wide table (A8): first surface per label (in file order) as columns, plus the sorted
     distinct labels joined by ``,``; missing values are ``''``.  One grouped pivot on ``key``."""
-    order = F.col("start") * F.lit(1_000_000_000) + F.col("end")
+    order = F.col("start").cast("long") * F.lit(1_000_000_000) + F.col("end")
     wide = span_rows.groupBy(key).pivot("label", list(labels)).agg(F.min_by("surface", order))
     present = span_rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels_present"))
     out = present.join(wide, key)

@@ -93,26 +93,33 @@ def context_rows(tokens: DataFrame, keys) -> DataFrame:
     )
 
 
-def bio_tags(toks_col: str, spans_col: str) -> Column:
-    """Per token ``B-x`` / ``I-x`` / ``O`` from sorted, non-overlapping spans.
+def first_hits(toks_col: str, spans_col: str) -> Column:
+    """Per token, the first span (in span order) it overlaps, or null (J4 inside the row)."""
+    toks, sp = F.col(toks_col), F.col(spans_col)
+    return S.pinned(spans_col, F.transform(
+        toks, lambda t: F.get(F.filter(sp, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])), 0)))
+
+
+def bio_from_hits(hits_col: str) -> Column:
+    """``B-x`` / ``I-x`` / ``O`` per token from its first-hit span.
 
-    A token takes the first span it overlaps; it is ``B`` when the previous token does not overlap
-    that same span.  ``toks_col`` and ``spans_col`` must be materialised columns.
+    ``I`` when the previous token's first hit is the same span, else ``B``: with sorted, disjoint
+    spans this is "first overlapping token B, the rest I".  ``hits_col`` must be materialised.
     """
-    toks, sp = F.col(toks_col), F.col(spans_col)
+    h = F.col(hits_col)
+
+    def tag(x, i):
+        prev = F.get(h, i - 1)
+        same = (i > 0) & prev.isNotNull() & (prev["start"] == x["start"]) & (prev["end"] == x["end"])
+        return F.when(x.isNull(), F.lit("O")).when(same, F.concat(F.lit("I-"), x["label"])).otherwise(
+            F.concat(F.lit("B-"), x["label"]))
 
-    def first_hit(t):
-        return F.get(F.filter(sp, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])), 0)
+    return S.pinned(hits_col, F.transform(h, tag))
 
-    def tag(t, i):
-        hit = first_hit(t)
-        prev = F.get(toks, i - 1)
-        prev_in = (i > 0) & (prev["start"] < hit["end"]) & (hit["start"] < prev["end"])
-        return F.when(hit.isNull(), F.lit("O")).when(prev_in, F.concat(F.lit("I-"), hit["label"])).otherwise(
-            F.concat(F.lit("B-"), hit["label"])
-        )
 
-    return S.pinned(spans_col, S.pinned(toks_col, F.transform(toks, tag)))
+def with_bio_tags(df: DataFrame, toks_col: str, spans_col: str, out: str) -> DataFrame:
+    hits = S._tmp("hits")
+    return df.withColumn(hits, first_hits(toks_col, spans_col)).withColumn(out, bio_from_hits(hits)).drop(hits)
 
 
 def chunk_starts(n: Column, max_len: int = 256, stride: int = 128) -> Column:

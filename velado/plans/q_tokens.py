@@ -115,7 +115,7 @@ SELECT doc_id, tag, count(*) AS n FROM tag GROUP BY doc_id, tag""",
 )
 def bio_tags(spark, sf):
     d = TK.with_tokens(_gold(spark, sf), "text", "toks")
-    d = d.withColumn("tags", TK.bio_tags("toks", "gold"))
+    d = TK.with_bio_tags(d, "toks", "gold", "tags")
     rows = S.explode_rows(d, F.col("tags"), ["doc_id"], "tag")
     return rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
