@@ -28,6 +28,12 @@ HEADLINE = [
     "eval_strict",
     "eval_leak",
     "suggest_mapping",
+    "gazetteer_mask",
+    "lexicon_tokens",
+    "ann_roundtrip",
+    "first_by_label",
+    "eval_per_label",
+    "chunks",
 ]
 
 

@@ -41,3 +41,20 @@ def test_edge_reasons(spark):
     df = spark.createDataFrame([(f,) for f in frags], "f string")
     got = [r[0] for r in df.select(C.edge_reason(F.col("f"))).collect()]
     assert got == [None, "isspace-edge", "space/punct-edge", "isspace-edge", "empty-after-normalize", None]
+
+
+def test_template_offsets_round_trip(spark):
+    from velado.operators import augment as AG
+
+    df = spark.range(300).withColumnRenamed("id", "k")
+    d = AG.templated(df, "k").withColumn("back", C.parse_ann(F.col("synth_ann"), F.col("synth_text")))
+    rows = d.select("synth_text", "synth_spans", "back").collect()
+    counts = {1: 0, 2: 0, 3: 0}
+    for r in rows:
+        assert [(s["start"], s["end"]) for s in r["synth_spans"]] == [(s["start"], s["end"]) for s in r["back"]]
+        assert "{" not in r["synth_text"]
+        counts[len(r["synth_spans"])] += 1
+        for s in r["synth_spans"]:
+            frag = r["synth_text"][s["start"]:s["end"]]
+            assert frag and frag[0].isalpha()
+    assert all(v > 0 for v in counts.values())

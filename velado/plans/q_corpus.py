@@ -130,3 +130,13 @@ def span_select_end_pointer(spark, sf):
 @register("span_select_replace_longer", "V11 (replace previous if longer)", "documents")
 def span_select_replace_longer(spark, sf):
     return _select(spark, sf, S.select_replace_longer)
+
+
+@register("template_corpus", "T11 S15 (template augmentation, one sentence per document)", "documents")
+def template_corpus(spark, sf):
+    from ..operators import augment as AG
+
+    docs = table(spark, sf, "documents").select("doc_id")
+    d = AG.templated(docs, "doc_id", seed=42)
+    return d.select("doc_id", F.col("synth_text").alias("text"), F.col("synth_ann").alias("ann"),
+                    F.size("synth_spans").alias("n_ents"))
