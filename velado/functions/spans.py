@@ -192,12 +192,15 @@ def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bo
     for d in detectors:
         ds.append(dict(d, m=_tmp("m"), g=_tmp("g"), gl=_tmp("gl"), pl=_tmp("pl"), bs=_tmp("bs"),
                        mg=_tmp("mg") if d.get("group") else None))
+    df = df.select("*", *[F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0)).alias(d["m"]) for d in ds])
     cols = []
     for d in ds:
-        cols.append(F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0)).alias(d["m"]))
-        cols.append(F.split(t, d["pattern"], -1).alias(d["g"]))
+        # Gaps are needed only when there is a match; most detectors find none in most rows.
+        cols.append(F.when(F.size(F.col(d["m"])) > 0, F.split(t, d["pattern"], -1))
+                    .otherwise(F.array().cast("array<string>")).alias(d["g"]))
         if d["mg"]:
-            cols.append(F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(d["group"])).alias(d["mg"]))
+            cols.append(F.when(F.size(F.col(d["m"])) > 0, F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(d["group"])))
+                        .otherwise(F.array().cast("array<string>")).alias(d["mg"]))
     df = df.select("*", *cols)
     df = df.select("*", *[F.expr(f"transform(slice({_q(d['g'])}, 1, size({_q(d['m'])})), x -> length(x))").alias(d["gl"])
                           for d in ds])

@@ -132,12 +132,16 @@ def edge_reason(frag: Column) -> Column:
 
 def first_by_label(span_rows: DataFrame, labels, key: str = "doc_id") -> DataFrame:
     """Wide table (A8): first surface per label (in file order) as columns, plus the sorted
-    distinct labels joined by ``,``; missing values are ``''``.  One grouped pivot on ``key``."""
+    distinct labels joined by ``,``; missing values are ``''``.
+
+    The pivot is written as conditional aggregates (what ``pivot`` expands to), so the label list
+    and every label column come from one grouped aggregation: one shuffle on ``key``, no join.
+    """
     order = F.col("start").cast("long") * F.lit(1_000_000_000) + F.col("end")
-    wide = span_rows.groupBy(key).pivot("label", list(labels)).agg(F.min_by("surface", order))
-    present = span_rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels_present"))
-    out = present.join(wide, key)
-    return out.select(key, "labels_present", *[F.coalesce(F.col(f"`{lab}`"), F.lit("")).alias(lab) for lab in labels])
+    aggs = [F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels_present")]
+    for lab in labels:
+        aggs.append(F.coalesce(F.min_by("surface", F.when(F.col("label") == lab, order)), F.lit("")).alias(lab))
+    return span_rows.groupBy(key).agg(*aggs)
 
 
 def adjacent_overlap_count(spans: Column) -> Column:

@@ -43,6 +43,17 @@ def lexicon_pattern(terms, wide=False):
     return P.ci(r"(?<!\w)(?:" + "|".join(alts) + r")(?:[®™])?(?!\w)")
 
 
+def suffix_word_pattern(suffixes) -> str:
+    """Words (as the capital-word rule delimits them) whose lower case ends with a suffix.
+
+    Same start as the word rule (a word boundary, then a letter of the class and one more word
+    character); the suffix must end the word: only hyphens may follow before a non-word character.
+    One pass that yields only candidate words, instead of every word of the text.
+    """
+    suf = "|".join(P.quote_term(x) for x in sorted(set(suffixes), key=lambda t: (-len(t), t)))
+    return P.ci(r"\b(?=[" + P.UPPER_CLASS + r"]" + P.WORD_TAIL + r")" + P.WORD_TAIL + r"*(?:" + suf + r")(?!" + P.WORD_TAIL + r"*\w)")
+
+
 def _suffix_filter(text_col: str, spans_col: str, suffixes, units_re: str, radius: int, blocks: str):
     """Keep word spans ending with a drug suffix that have a unit (or digit) within ``radius`` chars."""
     suf = "(?U)(" + "|".join(P.quote_term(s) for s in suffixes) + ")$"
@@ -78,7 +89,8 @@ def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool =
         df = S.with_regex_spans(df, text, P.ci(P.DRUG_NUMBER_PATTERN), c, label="DRUG", src="number")
         parts.append(c)
     words = _tmp("words")
-    df = S.with_regex_spans(df, text, P.ci(P.CAPITAL_WORD), words, label="DRUG", src="suffix")
+    sufs = P.DRUG_SUFFIXES_WIDE if wide else P.DRUG_SUFFIXES
+    df = S.with_regex_spans(df, text, suffix_word_pattern(sufs), words, label="DRUG", src="suffix")
     c = _tmp("suf")
     df, blk = S.with_blocks(df, text)
     if wide:

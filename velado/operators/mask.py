@@ -32,7 +32,10 @@ def regex_chain_df(df: DataFrame, src: str, steps, out: str, counts: str) -> Dat
         c = _tmp(f"n_{name}")
         nxt = _tmp("t")
         df = df.withColumn(c, F.coalesce(F.regexp_count(F.col(cur), F.lit(pattern)), F.lit(0)).cast("int"))
-        df = df.withColumn(nxt, F.regexp_replace(F.col(cur), F.lit(pattern), F.lit(repl)))
+        # Most cells have no match for most patterns: the count pass decides, the replace pass
+        # runs only where something matched.
+        df = df.withColumn(nxt, F.when(F.col(c) > 0, F.regexp_replace(F.col(cur), F.lit(pattern), F.lit(repl)))
+                           .otherwise(F.col(cur)))
         cnt_cols.append((name, c))
         if cur != src:
             df = df.drop(cur)
@@ -86,7 +89,8 @@ def mask_text(
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")
             pat = F.lit(pattern)
             df = df.withColumn(c, F.aggregate(F.col(segs), F.lit(0), T._count_open(pat)).cast("int"))
-            df = df.withColumn(nxt, F.transform(F.col(segs), T._replace_open(pat, repl))).drop(segs)
+            df = df.withColumn(nxt, F.when(F.col(c) > 0, F.transform(F.col(segs), T._replace_open(pat, repl)))
+                               .otherwise(F.col(segs))).drop(segs)
             segs = nxt
             cnt_cols.append((name, c))
         tmp_out, tmp_cnt = _tmp("o"), _tmp("c")
