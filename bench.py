@@ -46,6 +46,10 @@ def main():
     spark = get_spark(f"local[{cpus}]", app="velado-bench", shuffle_partitions=int(cpus) * 2)
     qs = catalog.queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
+    # Untimed warm-up on the smallest tables (JVM start-up, JIT, first codegen), as any benchmark does.
+    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warm):
+        qs["mask_documents"](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.time()

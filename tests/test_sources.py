@@ -19,3 +19,21 @@ def test_bom_csv_and_sinks(spark):
     K.write_rejects(rej, os.path.join(d, "rejects"))
     back = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(d, "rejects"))
     assert back.columns == K.REJECT_COLUMNS and back.first()["frag"] == "a b"
+
+
+class _StubModel:
+    """Capitalised words as PER: enough to exercise the adapter contract."""
+
+    def predict(self, texts):
+        import re
+
+        return [[(m.start(), m.end(), "PER") for m in re.finditer(r"\b[A-Z][a-z]+\b", t)] for t in texts]
+
+
+def test_model_adapter_contract(spark):
+    from velado.operators import adapter as A
+
+    df = spark.createDataFrame([(1, "Juan vive en Madrid"), (2, None), (3, "sin nombres")], "id long, text string")
+    out = {r["id"]: [(s["start"], s["end"], s["label"]) for s in r["spans"]]
+           for r in A.detect_with_model(df, "id", "text", _StubModel, batch_size=2).collect()}
+    assert out == {1: [(0, 4, "PER"), (13, 19, "PER")], 2: [], 3: []}

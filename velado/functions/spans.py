@@ -404,7 +404,7 @@ def replace_spans(text: Column, spans: Column, tag: Column | str | None = None,
     return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
 
 
-def segments(text: Column, protected: Column, blocks: Column | None = None) -> Column:
+def segments(text: Column, protected: Column, blocks: Column | None = None, tag_src: str | None = None) -> Column:
     """Split ``text`` into ``array<struct<txt, prot>>`` around sorted disjoint protected spans (M6).
 
     Open segments are masked, protected ones pass through byte for byte; no placeholder text is
@@ -416,7 +416,9 @@ def segments(text: Column, protected: Column, blocks: Column | None = None) -> C
     def piece(x, prev_end):
         return F.array(
             F.struct(sub(t, prev_end, x["start"] - prev_end, blocks).alias("txt"), F.lit(False).alias("prot")),
-            F.struct(sub(t, x["start"], x["end"] - x["start"], blocks).alias("txt"), F.lit(True).alias("prot")),
+            F.struct((F.when(x["src"] == tag_src, x["label"]).otherwise(sub(t, x["start"], x["end"] - x["start"], blocks))
+                      if tag_src else sub(t, x["start"], x["end"] - x["start"], blocks)).alias("txt"),
+                     F.lit(True).alias("prot")),
         )
 
     last_end = F.coalesce(F.try_element_at(sp, F.lit(-1))["end"], F.lit(0))
@@ -451,3 +453,29 @@ def trim_span(text: Column, s: Column, edge_class: str = EDGE_CLASS, blocks: Col
     ns = s["start"] + lead
     ne = F.greatest(ns, s["end"] - trail)
     return span(ns, ne, s["label"], s["src"])
+
+
+def align(s: Column, toks: Column, mode: str) -> Column:
+    """Snap a span to token edges (V13): ``strict`` keeps it only if both edges are token edges,
+    ``contract`` shrinks to the tokens fully inside, ``expand`` grows to the tokens it touches.
+    Null when no token qualifies.  ``toks`` must be a materialised array of structs with
+    ``start``/``end``."""
+    if mode == "strict":
+        ok = F.exists(toks, lambda t: t["start"] == s["start"]) & F.exists(toks, lambda t: t["end"] == s["end"])
+        return F.when(ok, F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    if mode == "contract":
+        inside = F.filter(toks, lambda t: (t["start"] >= s["start"]) & (t["end"] <= s["end"]))
+    elif mode == "expand":
+        inside = F.filter(toks, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    else:
+        raise ValueError(mode)
+    return F.when(F.size(inside) > 0, F.struct(
+        F.array_min(F.transform(inside, lambda t: t["start"])).alias("start"),
+        F.array_max(F.transform(inside, lambda t: t["end"])).alias("end")))
+
+
+def trim_whitespace(text: Column, s: Column, blocks: Column | None = None) -> Column:
+    """Whitespace-only edge trim (V6): Python ``str.isspace`` characters."""
+    from .patterns import PY_SPACE
+
+    return trim_span(text, s, PY_SPACE, blocks)

@@ -56,6 +56,7 @@ def mask_text(
     counts: str | None = None,
     protect: bool | None = None,
     drug_lexicon=None,
+    entities: str | None = None,
 ) -> DataFrame:
     """Mask one free-text column (M8 without model spans).
 
@@ -83,7 +84,17 @@ def mask_text(
         df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules)
         segs = _tmp("segs")
         df, blk = S.with_blocks(df, src)
-        df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
+        if entities:
+            # Two-phase M8: accepted entity spans (already vetoed, non-overlapping, label = tag)
+            # become closed segments holding their tag; protected spans stay closed as they are.
+            both = _tmp("both")
+            ent = F.transform(F.col(entities), lambda e: S.span(e["start"], e["end"], e["label"], F.lit("entity")))
+            prot_src = F.transform(F.col(prot), lambda p: S.span(p["start"], p["end"], p["label"], F.lit("protect")))
+            df = df.withColumn(both, S.sort_spans(F.concat(prot_src, ent)))
+            df = df.withColumn(segs, S.pinned(blk, S.pinned(both, S.segments(F.col(src), F.col(both), F.col(blk), tag_src="entity"))))
+            df = df.withColumn("__n_entities", F.size(F.col(entities))).drop(both, blk)
+        else:
+            df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
         cnt_cols = []
         for name, pattern, repl in steps:
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")
@@ -95,12 +106,14 @@ def mask_text(
             cnt_cols.append((name, c))
         tmp_out, tmp_cnt = _tmp("o"), _tmp("c")
         df = df.withColumn(tmp_out, S.join_segments(F.col(segs)))
+        extra = [F.col("__n_entities").alias("entities")] if entities else []
         df = df.withColumn(
             tmp_cnt,
-            F.struct(*[F.col(c).alias(n) for n, c in cnt_cols], F.size(F.col(prot)).alias("protected")),
+            F.struct(*[F.col(c).alias(n) for n, c in cnt_cols], F.size(F.col(prot)).alias("protected"), *extra),
         )
-        df = df.drop(segs, prot, *[c for _, c in cnt_cols])
-    zero = F.struct(*[F.lit(0).alias(n) for n, _, _ in steps], F.lit(0).alias("protected"))
+        df = df.drop(segs, prot, *[c for _, c in cnt_cols], *(["__n_entities"] if entities else []))
+    zero = F.struct(*[F.lit(0).alias(n) for n, _, _ in steps], F.lit(0).alias("protected"),
+                    *([F.lit(0).alias("entities")] if (protect and entities) else []))
     df = df.withColumn(counts, F.when(F.col(blank), zero).otherwise(F.col(tmp_cnt)))
     df = df.withColumn(out, F.when(F.col(blank), F.col(src)).otherwise(F.col(tmp_out)))
     drop = [blank, tmp_out, tmp_cnt] + ([src] if src != col else [])

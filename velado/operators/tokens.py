@@ -127,3 +127,27 @@ def chunk_starts(n: Column, max_len: int = 256, stride: int = 128) -> Column:
     step = max_len - stride
     last = F.greatest(F.lit(0), F.ceil((n - max_len) / step)).cast("int")
     return F.transform(S.seq0(last + 1), lambda k: k * step)
+
+
+def bio_label_list(labels: DataFrame, label_col: str = "label") -> DataFrame:
+    """``O`` then ``B-x``, ``I-x`` for each distinct label in sorted order, with ids.
+
+    Distinct labels are few; ids come from ``row_number`` over the sorted distinct labels.
+    """
+    from pyspark.sql import Window as W
+
+    d = labels.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+    d = d.withColumn("k", F.row_number().over(W.orderBy(label_col)) - 1)
+    bi = d.select(F.explode(F.array(
+        F.struct(F.concat(F.lit("B-"), F.col(label_col)).alias("tag"), (2 * F.col("k") + 1).alias("id")),
+        F.struct(F.concat(F.lit("I-"), F.col(label_col)).alias("tag"), (2 * F.col("k") + 2).alias("id")))).alias("x")).select("x.*")
+    o = labels.sparkSession.createDataFrame([("O", 0)], "tag string, id int")
+    return o.unionByName(bi.select("tag", F.col("id").cast("int").alias("id")))
+
+
+def ngrams(toks_col: str, n: int) -> Column:
+    """Lower-case token n-grams joined by one space (D9 phrase keys)."""
+    toks = F.col(toks_col)
+    return S.pinned(toks_col, F.transform(
+        S.seq0(F.size(toks) - n + 1),
+        lambda i: F.lower(F.array_join(F.transform(F.slice(toks, i + 1, n), lambda t: t["tok"]), " "))))

@@ -13,6 +13,7 @@ from ..operators import tokens as TK
 from . import q_spans as QS
 from .registry import register, table
 from .sqlpat import sq
+from .q_tokens import tokens_sql
 
 # Lines that every parser must skip: a relation, a malformed entity, a note.
 EXTRA_LINES = "R1\tRel Arg1:T1 Arg2:T2\nT0\tBROKEN x y\tz\n#1\tAnnotatorNotes T1\tnote\nT99\tEMPTY 5 5\tnothing"
@@ -140,3 +141,125 @@ def template_corpus(spark, sf):
     d = AG.templated(docs, "doc_id", seed=42)
     return d.select("doc_id", F.col("synth_text").alias("text"), F.col("synth_ann").alias("ann"),
                     F.size("synth_spans").alias("n_ents"))
+
+
+@register(
+    "span_align",
+    "V13 (strict / contract / expand token alignment)",
+    "documents",
+    f"""WITH sp AS (SELECT doc_id, start, "end" FROM {QS.spans_sql([QS.NONSPACE])}),
+t AS (SELECT * FROM {tokens_sql('documents', 'doc_id')}),
+j AS (SELECT sp.doc_id, sp.start, sp."end", t.start AS ts, t."end" AS te
+      FROM sp LEFT JOIN t ON t.doc_id = sp.doc_id AND t.start < sp."end" AND sp.start < t."end")
+SELECT doc_id, start, "end",
+       CASE WHEN bool_or(ts = start) AND bool_or(te = "end") THEN start END AS strict_start,
+       CASE WHEN bool_or(ts = start) AND bool_or(te = "end") THEN "end" END AS strict_end,
+       min(ts) FILTER (WHERE ts >= start AND te <= "end") AS contract_start,
+       max(te) FILTER (WHERE ts >= start AND te <= "end") AS contract_end,
+       min(ts) AS expand_start, max(te) AS expand_end
+FROM j GROUP BY doc_id, start, "end\"""",
+)
+def span_align(spark, sf):
+    """Token alignment as a bucketed range join of span rows and token rows (linear, shuffles on
+    ``(doc, bucket)``), then one aggregate per span for the three modes."""
+    d = TK.with_tokens(QS.detect_frame(spark, sf, [QS.NONSPACE]), "text", "toks")
+    spans = S.explode_rows(d, F.col("spans"), ["doc_id"]).select("doc_id", "s.start", "s.end")
+    toks = S.explode_rows(d, F.col("toks"), ["doc_id"], "t").select("doc_id", "t.start", "t.end")
+    j = SO.bucketed_overlap_join(spans, toks, ["doc_id"])
+    inside = (F.col("ts") >= F.col("start")) & (F.col("te") <= F.col("end"))
+    strict = F.max((F.col("ts") == F.col("start")).cast("int")) + F.max((F.col("te") == F.col("end")).cast("int")) == 2
+    g = j.groupBy("doc_id", "start", "end").agg(
+        strict.alias("ok"),
+        F.min(F.when(inside, F.col("ts"))).alias("contract_start"), F.max(F.when(inside, F.col("te"))).alias("contract_end"),
+        F.min("ts").alias("expand_start"), F.max("te").alias("expand_end"))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return g.select("doc_id", "start", "end", F.when(ok, F.col("start")).alias("strict_start"),
+                    F.when(ok, F.col("end")).alias("strict_end"), "contract_start", "contract_end", "expand_start", "expand_end")
+
+
+# Spans with whitespace on their edges: a space or newline, a capitalised word, maybe a space.
+SPACED_WORD = ("W", r"[ \n][A-Z][a-z]+[ \n]?", False)
+_SP_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@register(
+    "whitespace_fix",
+    "V6 A5",
+    "documents",
+    f"""WITH sp AS (SELECT doc_id, start, "end", surface FROM {QS.spans_sql([SPACED_WORD])}),
+a AS (SELECT *, len(regexp_extract(surface, {sq('^' + _SP_CLASS + '*')})) AS lead FROM sp),
+b AS (SELECT *, len(regexp_extract(substr(surface, lead + 1), {sq(_SP_CLASS + '*$')})) AS trail FROM a),
+c AS (SELECT doc_id, start + lead AS ns, greatest(start + lead, "end" - trail) AS ne, start, "end" FROM b),
+per AS (SELECT d.doc_id, count(c.doc_id) AS before, count(c.doc_id) FILTER (WHERE c.ne > c.ns) AS after,
+               count(c.doc_id) FILTER (WHERE c.ns <> c.start OR c.ne <> c."end") AS changed
+        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT count(*) FILTER (WHERE changed > 0) AS docs_modified, sum(before) AS ents_before, sum(after) AS ents_after FROM per""",
+)
+def whitespace_fix(spark, sf):
+    d = QS.detect_frame(spark, sf, [SPACED_WORD])
+    d, blk = S.with_blocks(d, "text")
+    d = d.withColumn("fixed", S.pinned(blk, F.transform("spans", lambda s: S.trim_whitespace(F.col("text"), s, F.col(blk)))))
+    d = d.withColumn("changed", F.exists(F.arrays_zip("spans", "fixed"), lambda z: (z["spans"]["start"] != z["fixed"]["start"])
+                                         | (z["spans"]["end"] != z["fixed"]["end"])))
+    d = d.withColumn("kept", F.filter("fixed", lambda s: s["end"] > s["start"]))
+    return d.agg(F.sum(F.col("changed").cast("int")).cast("long").alias("docs_modified"),
+                 F.sum(F.size("spans")).cast("long").alias("ents_before"), F.sum(F.size("kept")).cast("long").alias("ents_after"))
+
+
+_EMAIL_PRED = ("EMAIL", QS.P.PROFILE_REGEX_DEFAULTS["email"], True)
+
+
+@register(
+    "one_label_eval",
+    "E7 S7 E1 E3",
+    "documents",
+    f"""WITH g AS (SELECT DISTINCT doc_id, start, "end" FROM {QS.spans_sql(QS.DETECT_SET)} WHERE label = 'EMAIL'),
+p AS (SELECT DISTINCT doc_id, start, "end" FROM {QS.spans_sql([_EMAIL_PRED])}),
+j AS (SELECT g.doc_id IS NOT NULL AS in_g, p.doc_id IS NOT NULL AS in_p FROM g FULL OUTER JOIN p
+      ON g.doc_id = p.doc_id AND g.start = p.start AND g."end" = p."end"),
+c AS (SELECT count(*) FILTER (WHERE in_g AND in_p) AS tp, count(*) FILTER (WHERE in_p AND NOT in_g) AS fp,
+             count(*) FILTER (WHERE in_g AND NOT in_p) AS fn FROM j)
+SELECT (SELECT count(*) FROM documents) AS docs, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c""",
+)
+def one_label_eval(spark, sf):
+    from ..operators import evaluate as EV
+
+    d = annotated(spark, sf).withColumn("gold", C.parse_ann(F.col("ann"), F.col("text"), only_label="EMAIL"))
+    d = S.with_detector_spans(d, "text", [QS._java(_EMAIL_PRED)], "pred")
+    d = d.withColumn("c", EV.strict_counts(F.col("gold"), F.col("pred")))
+    s = d.agg(F.count(F.lit(1)).alias("docs"), F.sum("c.tp").cast("long").alias("tp"),
+              F.sum("c.fp").cast("long").alias("fp"), F.sum("c.fn").cast("long").alias("fn"))
+    p, r, _ = EV.prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return s.select("docs", "tp", "fp", "fn", p.alias("p"), r.alias("r"))
+
+
+@register(
+    "label_list",
+    "A7 T9",
+    "documents",
+    f"""WITH l AS (SELECT DISTINCT label FROM {QS.spans_sql(QS.DETECT_SET)}),
+k AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM l)
+SELECT 'O' AS tag, 0 AS id
+UNION ALL SELECT 'B-' || label, CAST(2 * k + 1 AS INTEGER) FROM k
+UNION ALL SELECT 'I-' || label, CAST(2 * k + 2 AS INTEGER) FROM k""",
+)
+def label_list(spark, sf):
+    return TK.bio_label_list(parsed_rows(spark, sf).select("label"))
+
+
+@register(
+    "rejects_no_ann",
+    "J2 J1 (documents without annotations)",
+    "documents",
+    f"""WITH n AS (SELECT doc_id, count(*) AS n FROM {QS.spans_sql(QS.DETECT_SET)} GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n.n IS NULL THEN 'NO_ANN' ELSE 'OK' END AS status, coalesce(n.n, 0) AS n_spans
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+)
+def rejects_no_ann(spark, sf):
+    rows = parsed_rows(spark, sf)
+    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"))
+    docs = table(spark, sf, "documents").select("doc_id")
+    ok = docs.join(n, "doc_id", "inner").select("doc_id", F.lit("OK").alias("status"), "n_spans")
+    rej = docs.join(n, "doc_id", "left_anti").select("doc_id", F.lit("NO_ANN").alias("status"), F.lit(0).cast("long").alias("n_spans"))
+    return ok.unionByName(rej)

@@ -92,8 +92,11 @@ def lexicon_tokens(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     toks = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TK.TOKEN_RE), F.lit(0))
     rows = S.explode_rows(docs.select("doc_id", toks.alias("toks")), F.col("toks"), ["doc_id"], "tok")
-    hit = LX.tag_tokens(rows, "tok", lex.withColumn("hit", F.lower(F.col("term"))))
-    per = hit.groupBy("doc_id").agg(F.count("hit").alias("n_hits"), F.countDistinct("hit").alias("n_terms"))
+    # Pre-aggregate occurrences per (doc, token) map-side: a hot token collapses to one row per
+    # document before the join, whatever the join strategy.
+    occ = rows.groupBy("doc_id", F.lower("tok").alias("tok")).agg(F.count(F.lit(1)).alias("occ"))
+    hit = LX.tag_tokens(occ, "tok", lex.withColumn("hit", F.col("term")), how="inner")
+    per = hit.groupBy("doc_id").agg(F.sum("occ").alias("n_hits"), F.countDistinct("hit").alias("n_terms"))
     return docs.select("doc_id").join(per, "doc_id", "left").select(
         "doc_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
@@ -139,3 +142,73 @@ def policy_flags(spark, sf):
         PO.precision_first(F.col("label"), t).alias("keep_precision"),
         PO.conservative(F.col("label"), t).alias("keep_conservative"),
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Phrase lexicon derived from the data: the 50 most frequent lower-case token bigrams of the
+# benchmark passages (ties by phrase).  Bounded by construction; matched by a checked broadcast join.
+PHRASE_K = 50
+
+
+def _bigrams(df, key):
+    d = TK.with_tokens(df, "text", "toks").withColumn("g", TK.ngrams("toks", 2))
+    return S.explode_rows(d, F.col("g"), [key], "phrase")
+
+
+_TOK_RE2 = "'[\\p{L}\\p{N}_]+([\\-.][\\p{L}\\p{N}_]+)*'"
+
+
+@register(
+    "phrase_matches",
+    "D9 (token n-gram x phrase lexicon join)",
+    "documents benchmark",
+    f"""WITH bt AS (SELECT item_id, unnest(regexp_extract_all(text, {_TOK_RE2})) AS tok,
+                   generate_subscripts(regexp_extract_all(text, {_TOK_RE2}), 1) AS i FROM benchmark),
+bg AS (SELECT lower(tok) || ' ' || lower(lead(tok) OVER (PARTITION BY item_id ORDER BY i)) AS phrase FROM bt),
+ph AS (SELECT phrase FROM bg WHERE phrase IS NOT NULL GROUP BY phrase ORDER BY count(*) DESC, phrase LIMIT {PHRASE_K}),
+dt AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TOK_RE2})) AS tok,
+              generate_subscripts(regexp_extract_all(text, {_TOK_RE2}), 1) AS i FROM documents),
+dg AS (SELECT doc_id, lower(tok) || ' ' || lower(lead(tok) OVER (PARTITION BY doc_id ORDER BY i)) AS phrase FROM dt)
+SELECT d.doc_id, count(ph.phrase) AS n_phrases
+FROM documents d LEFT JOIN dg ON dg.doc_id = d.doc_id LEFT JOIN ph ON ph.phrase = dg.phrase GROUP BY d.doc_id""",
+)
+def phrase_matches(spark, sf):
+    b = _bigrams(table(spark, sf, "benchmark").select("item_id", "text"), "item_id")
+    ph = b.groupBy("phrase").count().orderBy(F.desc("count"), "phrase").limit(PHRASE_K).select(F.col("phrase").alias("term"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    occ = _bigrams(docs, "doc_id").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("occ"))
+    hit = LX.tag_tokens(occ, "phrase", ph.withColumn("hit", F.lit(1)), how="inner")
+    per = hit.groupBy("doc_id").agg(F.sum("occ").alias("n_phrases"))
+    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n_phrases", F.lit(0)).alias("n_phrases"))
+
+
+@register("mask_with_entities", "M8 (two-phase) F10p N1 N3 V10 M1 J7 D7-role", "documents")
+def mask_with_entities(spark, sf):
+    """Entity spans (title-case runs labelled by length, standing in for a tagger's output) go
+    through the conservative policy, the protected-span veto and the drug-lexicon veto, are made
+    non-overlapping, tagged through the tag map, and masked together with the regex steps."""
+    from ..operators import detect as D
+
+    prof = default_profile(drug_lexicon_extra=P.BUILTIN_DRUGS)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    d = S.with_detector_spans(docs, "text", [QS._java(ENTITY_LIKE)], "ents")
+    d = TK.with_tokens(d, "text", "toks")
+    d = D.with_drug_spans(d, "text", "prot", prof.drug_lexicon)
+    d, blk = S.with_blocks(d, "text")
+
+    def labelled(e):
+        surf = S.surface(F.col("text"), e, F.col(blk))
+        n = F.size(F.split(F.trim(surf), r"\s+"))
+        lab = F.when(n == 1, "LOC").when(n == 2, "PER").otherwise("GPE")
+        return F.struct(e["start"].alias("start"), e["end"].alias("end"), lab.alias("label"), surf.alias("src"))
+
+    d = d.withColumn("ents", S.pinned(blk, F.transform("ents", labelled)))
+    d = d.withColumn("ents", F.filter("ents", lambda e: PO.conservative(e["label"], e["src"])))
+    d = d.withColumn("ents", S.pinned("prot", PO.veto_protected(F.col("ents"), F.col("prot"))))
+    d = d.withColumn("ents", S.pinned("toks", PO.veto_lexicon(F.col("ents"), F.col("toks"), prof.drug_lexicon)))
+    tags = F.create_map(*[x for k, v in prof.tag_map.items() for x in (F.lit(k), F.lit(v))])
+    d = d.withColumn("ents", S.select_longest(F.transform("ents", lambda e: S.span(
+        e["start"], e["end"], F.coalesce(F.element_at(tags, e["label"]), F.concat(F.lit("["), e["label"], F.lit("]"))), F.lit("entity")))))
+    d = d.drop("toks", "prot", blk)
+    m = M.mask_text(d, "text", prof, out="masked", counts="c", protect=True, entities="ents")
+    return m.select("doc_id", "masked", F.col("c.entities").alias("n_entities"), F.col("c.protected").alias("n_protected"),
+                    M.count_total("c", STEP_NAMES + ["heur"]).alias("n_regex"))

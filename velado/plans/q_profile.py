@@ -92,3 +92,26 @@ def mask_table_audit(spark, sf):
     prof = default_profile(text_cols=["text"], structured_types=DOC_KINDS, protect_drugs=False)
     masked, text_cols, sc = M.mask_table(docs, prof)
     return AU.audit_table(masked, text_cols, _TEXT_STEPS, sc, docs.columns)
+
+
+def _summary_sql():
+    steps = profile_steps() + [("heur", ci(P.HEURISTIC_RESIDENCE), r"\1 [LOC]")]
+    ctes = ["s0 AS (SELECT text, text AS t0 FROM documents)"]
+    for i, (name, pat, tag) in enumerate(steps, start=1):
+        ctes.append(f"s{i} AS (SELECT *, regexp_replace(t{i-1}, {pat}, {sq(tag)}, 'g') AS t{i} FROM s{i-1})")
+    n = len(steps)
+    return f"""WITH {', '.join(ctes)}
+SELECT count(*) AS rows, 5 AS columns, count(*) * 1 AS masked_cells,
+       count(*) FILTER (WHERE t{n} IS DISTINCT FROM text) AS changed_rows FROM s{n}"""
+
+
+@register("run_summary", "P6 P3 (rows, columns, masked cells, changed pairs)", "documents", _summary_sql())
+def run_summary(spark, sf):
+    """Mask into ``text_ANON`` beside ``text`` (P3 pairs) and summarise in one aggregate."""
+    docs = table(spark, sf, "documents")
+    prof = default_profile(text_cols=["text_ANON"], protect_drugs=False)
+    masked, _, _ = M.mask_table(docs.withColumn("text_ANON", F.col("text")), prof)
+    changed = F.when(~F.col("text").eqNullSafe(F.col("text_ANON")), 1).otherwise(0)
+    agg = masked.agg(F.count(F.lit(1)).alias("rows"), F.sum(changed).cast("long").alias("changed_rows"))
+    return agg.select("rows", F.lit(len(docs.columns)).alias("columns"), (F.col("rows") * 1).alias("masked_cells"),
+                      "changed_rows")
