@@ -118,3 +118,25 @@ def test_replace_and_segments_keep_text(spark):
 def test_alternation_longest_first():
     pat = P.alternation(["a", "abc", "ab"])
     assert pat.index("abc") < pat.index("\\Qab\\E")
+
+
+def test_bucketed_overlap_join_matches_nested_loop(spark):
+    from velado.operators import spanops as SO
+
+    rnd = random.Random(11)
+    spans, toks = [], []
+    for doc in range(5):
+        for _ in range(30):
+            s = rnd.randint(0, 400)
+            spans.append((doc, s, s + rnd.randint(1, 150)))
+        pos = 0
+        while pos < 560:
+            ln = rnd.randint(1, 9)
+            toks.append((doc, pos, pos + ln))
+            pos += ln + rnd.randint(1, 3)
+    sdf = spark.createDataFrame(spans, "doc int, start int, end int").distinct()
+    tdf = spark.createDataFrame(toks, "doc int, start int, end int")
+    got = sorted((r["doc"], r["start"], r["end"], r["ts"], r["te"])
+                 for r in SO.bucketed_overlap_join(sdf, tdf, ["doc"], width=16, how="inner").collect())
+    want = sorted({(d, s, e, ts, te) for d, s, e in spans for d2, ts, te in toks if d == d2 and ts < e and s < te})
+    assert got == want
