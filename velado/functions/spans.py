@@ -181,6 +181,12 @@ def scan_column(df: DataFrame, arr: str, out: str, op: str = "sum", inclusive: b
 # ---------------------------------------------------------------------------------------------
 # Regex to spans
 # ---------------------------------------------------------------------------------------------
+def P_any_of(patterns):
+    from .patterns import any_of
+
+    return any_of(patterns)
+
+
 def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bool = False) -> DataFrame:
     """Add one span-array column per detector ``dict(out, pattern, label, src, group)``.
 
@@ -192,7 +198,13 @@ def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bo
     for d in detectors:
         ds.append(dict(d, m=_tmp("m"), g=_tmp("g"), gl=_tmp("gl"), pl=_tmp("pl"), bs=_tmp("bs"),
                        mg=_tmp("mg") if d.get("group") else None))
-    df = df.select("*", *[F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0)).alias(d["m"]) for d in ds])
+    # One relaxed alternation pass decides whether any detector can match the row at all; rows
+    # with no candidate skip every extraction (most rows, for sparse detectors).
+    hit = _tmp("any")
+    df = df.withColumn(hit, t.rlike(P_any_of([d["pattern"] for d in ds])))
+    empty = F.array().cast("array<string>")
+    df = df.select("*", *[F.when(F.col(hit), F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0))).otherwise(empty)
+                          .alias(d["m"]) for d in ds]).drop(hit)
     cols = []
     for d in ds:
         # Gaps are needed only when there is a match; most detectors find none in most rows.

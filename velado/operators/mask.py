@@ -28,10 +28,16 @@ def regex_chain_df(df: DataFrame, src: str, steps, out: str, counts: str) -> Dat
     """Apply ``(name, pattern, repl)`` steps to column ``src``; ``out`` text, ``counts`` struct."""
     cur = src
     cnt_cols = []
+    # One pass over the original text with every step's pattern (its \\b assertions removed, a
+    # superset) decides whether any step can fire; most cells match nothing and skip the chain.
+    hit = _tmp("any")
+    if steps:
+        df = df.withColumn(hit, F.coalesce(F.col(src).rlike(P.any_of([p for _, p, _ in steps])), F.lit(False)))
     for name, pattern, repl in steps:
         c = _tmp(f"n_{name}")
         nxt = _tmp("t")
-        df = df.withColumn(c, F.coalesce(F.regexp_count(F.col(cur), F.lit(pattern)), F.lit(0)).cast("int"))
+        df = df.withColumn(c, F.when(F.col(hit), F.coalesce(F.regexp_count(F.col(cur), F.lit(pattern)), F.lit(0)))
+                           .otherwise(F.lit(0)).cast("int"))
         # Most cells have no match for most patterns: the count pass decides, the replace pass
         # runs only where something matched.
         df = df.withColumn(nxt, F.when(F.col(c) > 0, F.regexp_replace(F.col(cur), F.lit(pattern), F.lit(repl)))
@@ -45,7 +51,7 @@ def regex_chain_df(df: DataFrame, src: str, steps, out: str, counts: str) -> Dat
     else:
         df = df.withColumn(out, F.col(cur)).drop(cur) if out != cur else df
     df = df.withColumn(counts, F.struct(*[F.col(c).alias(n) for n, c in cnt_cols]) if cnt_cols else F.struct())
-    return df.drop(*[c for _, c in cnt_cols])
+    return df.drop(*[c for _, c in cnt_cols], *([hit] if steps else []))
 
 
 def mask_text(
@@ -96,10 +102,14 @@ def mask_text(
         else:
             df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
         cnt_cols = []
+        # Relaxed-pattern prefilter on the whole text: a superset of any open-segment match.
+        hit = _tmp("any")
+        df = df.withColumn(hit, F.coalesce(F.col(src).rlike(P.any_of([p for _, p, _ in steps])), F.lit(False)))
         for name, pattern, repl in steps:
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")
             pat = F.lit(pattern)
-            df = df.withColumn(c, F.aggregate(F.col(segs), F.lit(0), T._count_open(pat)).cast("int"))
+            df = df.withColumn(c, F.when(F.col(hit), F.aggregate(F.col(segs), F.lit(0), T._count_open(pat)))
+                               .otherwise(F.lit(0)).cast("int"))
             df = df.withColumn(nxt, F.when(F.col(c) > 0, F.transform(F.col(segs), T._replace_open(pat, repl)))
                                .otherwise(F.col(segs))).drop(segs)
             segs = nxt
@@ -111,7 +121,7 @@ def mask_text(
             tmp_cnt,
             F.struct(*[F.col(c).alias(n) for n, c in cnt_cols], F.size(F.col(prot)).alias("protected"), *extra),
         )
-        df = df.drop(segs, prot, *[c for _, c in cnt_cols], *(["__n_entities"] if entities else []))
+        df = df.drop(segs, prot, hit, *[c for _, c in cnt_cols], *(["__n_entities"] if entities else []))
     zero = F.struct(*[F.lit(0).alias(n) for n, _, _ in steps], F.lit(0).alias("protected"),
                     *([F.lit(0).alias("entities")] if (protect and entities) else []))
     df = df.withColumn(counts, F.when(F.col(blank), zero).otherwise(F.col(tmp_cnt)))
