@@ -69,28 +69,26 @@ def _suffix_filter(text_col: str, spans_col: str, suffixes, units_re: str, radiu
 
 
 def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool = False, merged: bool = True) -> DataFrame:
-    """Medication spans to protect (D14 = D8 + D10 + D11 [+ D12] + D13), merged (V1) by default."""
-    parts = []
+    """Medication spans to protect (D14 = D8 + D10 + D11 [+ D12] + D13), merged (V1) by default.
+
+    All rules run as one multi-detector extraction: a single relaxed-alternation pass skips rows
+    where no rule can match, then each rule extracts its own spans.
+    """
+    dets = []
     lex = lexicon_pattern(lexicon, wide)
     if lex:
-        c = _tmp("lex")
-        df = S.with_regex_spans(df, text, lex, c, label="DRUG", src="lexicon")
-        parts.append(c)
-    c = _tmp("ctx")
-    df = S.with_regex_spans(
-        df, text, P.ci(P.DRUG_CONTEXT_WIDE if wide else P.DRUG_CONTEXT), c, label="DRUG", src="context", group=2
-    )
-    parts.append(c)
-    c = _tmp("dose")
-    df = S.with_regex_spans(df, text, P.ci(P.DOSE_PATTERN_WIDE if wide else P.DOSE_PATTERN), c, label="DRUG", src="dose")
-    parts.append(c)
+        dets.append(dict(out=_tmp("lex"), pattern=lex, label="DRUG", src="lexicon"))
+    dets.append(dict(out=_tmp("ctx"), pattern=P.ci(P.DRUG_CONTEXT_WIDE if wide else P.DRUG_CONTEXT),
+                     label="DRUG", src="context", group=2))
+    dets.append(dict(out=_tmp("dose"), pattern=P.ci(P.DOSE_PATTERN_WIDE if wide else P.DOSE_PATTERN),
+                     label="DRUG", src="dose"))
     if wide:
-        c = _tmp("num")
-        df = S.with_regex_spans(df, text, P.ci(P.DRUG_NUMBER_PATTERN), c, label="DRUG", src="number")
-        parts.append(c)
-    words = _tmp("words")
+        dets.append(dict(out=_tmp("num"), pattern=P.ci(P.DRUG_NUMBER_PATTERN), label="DRUG", src="number"))
     sufs = P.DRUG_SUFFIXES_WIDE if wide else P.DRUG_SUFFIXES
-    df = S.with_regex_spans(df, text, suffix_word_pattern(sufs), words, label="DRUG", src="suffix")
+    words = _tmp("words")
+    dets.append(dict(out=words, pattern=suffix_word_pattern(sufs), label="DRUG", src="suffix"))
+    df = S.with_regex_spans_multi(df, text, dets)
+    parts = [d["out"] for d in dets if d["out"] != words]
     c = _tmp("suf")
     df, blk = S.with_blocks(df, text)
     if wide:

@@ -28,8 +28,8 @@ def regex_chain_df(df: DataFrame, src: str, steps, out: str, counts: str) -> Dat
     """Apply ``(name, pattern, repl)`` steps to column ``src``; ``out`` text, ``counts`` struct."""
     cur = src
     cnt_cols = []
-    # One pass over the original text with every step's pattern (its \\b assertions removed, a
-    # superset) decides whether any step can fire; most cells match nothing and skip the chain.
+    # One pass over the original text with every step's pattern decides whether any step can fire
+    # (a step sees earlier tags, which never match later patterns); most cells skip the chain.
     hit = _tmp("any")
     if steps:
         df = df.withColumn(hit, F.coalesce(F.col(src).rlike(P.any_of([p for _, p, _ in steps])), F.lit(False)))
@@ -102,9 +102,13 @@ def mask_text(
         else:
             df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
         cnt_cols = []
-        # Relaxed-pattern prefilter on the whole text: a superset of any open-segment match.
+        # Prefilter on the whole text.  Without protected spans the text is one open segment and the
+        # exact alternation decides; with some, segment edges could create word boundaries, so the
+        # relaxed (superset) alternation is used for those rows only.
         hit = _tmp("any")
-        df = df.withColumn(hit, F.coalesce(F.col(src).rlike(P.any_of([p for _, p, _ in steps])), F.lit(False)))
+        pats = [p for _, p, _ in steps]
+        exact, loose = F.col(src).rlike(P.any_of(pats)), F.col(src).rlike(P.any_of(pats, relax=True))
+        df = df.withColumn(hit, F.coalesce(F.when(F.size(F.col(prot)) == 0, exact).otherwise(loose), F.lit(False)))
         for name, pattern, repl in steps:
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")
             pat = F.lit(pattern)

@@ -83,9 +83,20 @@ def veto_protected(entities: Column, protected: Column) -> Column:
     return F.filter(entities, lambda e: ~F.exists(protected, lambda p: S.overlaps(e, p)))
 
 
-def veto_lexicon(entities: Column, toks: Column, lexicon) -> Column:
-    """Drop entity spans with an overlapping token in the drug lexicon (N3).  ``toks`` must be a
-    materialised token array; ``lexicon`` a small fixed list (large ones: token join first)."""
+def lexicon_hits(toks: Column, lexicon) -> Column:
+    """The document's tokens that are drug-lexicon terms (usually none): materialise once per row."""
+    lex = _lit_array(sorted({t.lower() for t in lexicon}))
+    return F.filter(toks, lambda t: F.array_contains(lex, F.lower(t["tok"])))
+
+
+def veto_lexicon(entities: Column, toks: Column, lexicon=None) -> Column:
+    """Drop entity spans with an overlapping token in the drug lexicon.
+
+    ``toks`` is a materialised token array; pass ``lexicon=None`` when it already holds only the
+    lexicon hits (``lexicon_hits``), which makes the test per entity proportional to the hits.
+    """
+    if lexicon is None:
+        return F.filter(entities, lambda e: ~F.exists(toks, lambda t: S.overlaps(e, t)))
     lex = _lit_array(sorted({t.lower() for t in lexicon}))
     return F.filter(entities, lambda e: ~F.exists(
         toks, lambda t: S.overlaps(e, t) & F.array_contains(lex, F.lower(t["tok"]))))

@@ -204,11 +204,12 @@ def mask_with_entities(spark, sf):
     d = d.withColumn("ents", S.pinned(blk, F.transform("ents", labelled)))
     d = d.withColumn("ents", F.filter("ents", lambda e: PO.conservative(e["label"], e["src"])))
     d = d.withColumn("ents", S.pinned("prot", PO.veto_protected(F.col("ents"), F.col("prot"))))
-    d = d.withColumn("ents", S.pinned("toks", PO.veto_lexicon(F.col("ents"), F.col("toks"), prof.drug_lexicon)))
+    d = d.withColumn("lex_hits", PO.lexicon_hits(F.col("toks"), prof.drug_lexicon))
+    d = d.withColumn("ents", S.pinned("lex_hits", PO.veto_lexicon(F.col("ents"), F.col("lex_hits"))))
     tags = F.create_map(*[x for k, v in prof.tag_map.items() for x in (F.lit(k), F.lit(v))])
     d = d.withColumn("ents", S.select_longest(F.transform("ents", lambda e: S.span(
         e["start"], e["end"], F.coalesce(F.element_at(tags, e["label"]), F.concat(F.lit("["), e["label"], F.lit("]"))), F.lit("entity")))))
-    d = d.drop("toks", "prot", blk)
+    d = d.drop("toks", "lex_hits", "prot", blk)
     m = M.mask_text(d, "text", prof, out="masked", counts="c", protect=True, entities="ents")
     return m.select("doc_id", "masked", F.col("c.entities").alias("n_entities"), F.col("c.protected").alias("n_protected"),
                     M.count_total("c", STEP_NAMES + ["heur"]).alias("n_regex"))

@@ -170,8 +170,8 @@ SELECT CASE WHEN list_contains({_LEX_SQL}, lw) THEN 'DRUG'
 FROM c GROUP BY 1""",
 )
 def weak_span_counts(spark, sf):
-    spans = WK.weak_spans(spark, table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    return spans.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    arr = WK.weak_span_array(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return WK.label_counts_inrow(arr, "doc_id")
 
 
 @register("balanced_sample", "W5 W6 T6", "documents")
