@@ -58,3 +58,24 @@ def test_template_offsets_round_trip(spark):
             frag = r["synth_text"][s["start"]:s["end"]]
             assert frag and frag[0].isalpha()
     assert all(v > 0 for v in counts.values())
+
+
+def test_policy_predicates(spark):
+    from velado.functions import spans as S
+    from velado.operators import policy as PO
+
+    rows = [("Hospital Universitario La Paz", "ORG"), ("SAMUR", "ORG"), ("Juan Pérez", "PER"), ("Adiro", "PER"),
+            ("urgencias", "ORG"), ("Madrid", "GPE"), ("metformina", "LOC")]
+    df = spark.createDataFrame(rows, "t string, label string")
+    got = df.select("t", PO.is_drug_name(F.col("t")).alias("drug"), PO.is_generic_acronym(F.col("t")).alias("acr"),
+                    PO.precision_first(F.col("label"), F.col("t")).alias("pf"),
+                    PO.conservative(F.col("label"), F.col("t")).alias("cons"),
+                    PO.in_drug_lexicon(F.col("t"), ["adiro"]).alias("lex")).collect()
+    g = {r["t"]: r for r in got}
+    assert g["Hospital Universitario La Paz"]["pf"] and not g["SAMUR"]["pf"] and g["SAMUR"]["acr"]
+    assert g["Juan Pérez"]["cons"] and not g["Adiro"]["cons"] and g["Adiro"]["lex"] and g["Adiro"]["drug"]
+    assert not g["urgencias"]["pf"] and g["Madrid"]["cons"] and not g["metformina"]["cons"]
+    t = spark.createDataFrame([("Tratamiento con Adiro 100 mg hoy", [(16, 21, "X", None), (26, 29, "Y", None)])],
+                              f"text string, sp {S.SPANS_TYPE}")
+    flags = t.select(F.transform("sp", lambda s: PO.probable_drug_segment(F.col("text"), s, ["adiro"])).alias("f")).first()["f"]
+    assert flags == [True, False]

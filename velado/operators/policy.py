@@ -100,3 +100,24 @@ def veto_lexicon(entities: Column, toks: Column, lexicon=None) -> Column:
     lex = _lit_array(sorted({t.lower() for t in lexicon}))
     return F.filter(entities, lambda e: ~F.exists(
         toks, lambda t: S.overlaps(e, t) & F.array_contains(lex, F.lower(t["tok"]))))
+
+
+def in_drug_lexicon(t: Column, lexicon) -> Column:
+    """Whole value, trimmed and lower-cased, is a lexicon term (F11p)."""
+    return F.array_contains(_lit_array(sorted({x.lower() for x in lexicon})), F.lower(F.trim(t)))
+
+
+def drug_label(label: Column, drug_labels=("FARMACO", "DRUG", "MEDICAMENTO")) -> Column:
+    """Entity label, upper-cased, is one of the drug labels (F12p, drug-only corpora)."""
+    return F.upper(label).isin(*drug_labels)
+
+
+def probable_drug_segment(text: Column, s: Column, lexicon, blocks: Column | None = None, window: int = 40) -> Column:
+    """A span looks like medication (F7p): a lexicon token inside, a dose inside, or a treatment
+    connector (``... con``) right before it within ``window`` characters."""
+    seg = F.lower(S.surface(text, s, blocks))
+    words = "|".join(P.quote_term(x) for x in sorted({t.lower() for t in lexicon}, key=lambda t: (-len(t), t)))
+    lex_inside = seg.rlike(r"(?U)\b(" + words + r")\b") if words else F.lit(False)
+    dose_inside = seg.rlike(r"(?iU)\d+(?:[.,]\d+)?\s*" + P.DOSE_UNITS + r"\b")
+    left = F.lower(S.left_context(text, s["start"], window, blocks))
+    return lex_inside | dose_inside | left.rlike(r"(?U)\bcon\s*$")
