@@ -113,22 +113,61 @@ def _select(spark, sf, fn):
     return S.explode_rows(d, F.col("kept"), ["doc_id"]).select("doc_id", "s.start", "s.end", "s.label")
 
 
-@register("span_select_first", "V9 (keep first, drop later overlaps)", "documents")
+# Oracles for the sequential rules: recursive CTEs over each document's spans in Spark's order
+# (start, end, then detector and match order, as the stable array sort keeps them).
+_ORDERED = f"""sp AS (SELECT doc_id, start, "end", label,
+                      row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", det, i) AS k FROM {QS.spans_sql(QS.MERGE_SET)})"""
+
+_SCAN_SQL = f"""WITH RECURSIVE {_ORDERED},
+r AS (SELECT doc_id, k, start, "end", label, "end" AS last_end, TRUE AS kept FROM sp WHERE k = 1
+      UNION ALL
+      SELECT sp.doc_id, sp.k, sp.start, sp."end", sp.label,
+             CASE WHEN sp.start >= r.last_end THEN sp."end" ELSE r.last_end END, sp.start >= r.last_end
+      FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.k = r.k + 1)
+SELECT doc_id, start, "end", label FROM r WHERE kept"""
+
+_REPLACE_SQL = f"""WITH RECURSIVE {_ORDERED},
+r AS (SELECT doc_id, k, [{{'s': start, 'e': "end", 'l': label}}] AS kept FROM sp WHERE k = 1
+      UNION ALL
+      SELECT sp.doc_id, sp.k,
+             CASE WHEN sp.start < r.kept[-1].e AND r.kept[-1].s < sp."end"
+                  THEN CASE WHEN sp."end" - sp.start > r.kept[-1].e - r.kept[-1].s
+                            THEN list_append(r.kept[1:len(r.kept) - 1], {{'s': sp.start, 'e': sp."end", 'l': sp.label}})
+                            ELSE r.kept END
+                  ELSE list_append(r.kept, {{'s': sp.start, 'e': sp."end", 'l': sp.label}}) END
+      FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.k = r.k + 1),
+last AS (SELECT doc_id, kept FROM r QUALIFY k = max(k) OVER (PARTITION BY doc_id))
+SELECT doc_id, x.s AS start, x.e AS "end", x.l AS label FROM (SELECT doc_id, unnest(kept) AS x FROM last)"""
+
+_LONGEST_SQL = f"""WITH RECURSIVE sp AS (SELECT doc_id, start, "end", label,
+          row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, start, det, i) AS k
+          FROM {QS.spans_sql(QS.MERGE_SET)}),
+r AS (SELECT doc_id, k, [{{'s': start, 'e': "end", 'l': label}}] AS kept FROM sp WHERE k = 1
+      UNION ALL
+      SELECT sp.doc_id, sp.k,
+             CASE WHEN len(list_filter(r.kept, lambda x: sp.start < x.e AND x.s < sp."end")) > 0 THEN r.kept
+                  ELSE list_append(r.kept, {{'s': sp.start, 'e': sp."end", 'l': sp.label}}) END
+      FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.k = r.k + 1),
+last AS (SELECT doc_id, kept FROM r QUALIFY k = max(k) OVER (PARTITION BY doc_id))
+SELECT doc_id, x.s AS start, x.e AS "end", x.l AS label FROM (SELECT doc_id, unnest(kept) AS x FROM last)"""
+
+
+@register("span_select_first", "V9 (keep first, drop later overlaps)", "documents", _SCAN_SQL)
 def span_select_first(spark, sf):
     return _select(spark, sf, S.select_first)
 
 
-@register("span_select_longest", "V10 (longest first, ties by start)", "documents")
+@register("span_select_longest", "V10 (longest first, ties by start)", "documents", _LONGEST_SQL)
 def span_select_longest(spark, sf):
     return _select(spark, sf, S.select_longest)
 
 
-@register("span_select_end_pointer", "V12 (sorted, start >= last end)", "documents")
+@register("span_select_end_pointer", "V12 (sorted, start >= last end)", "documents", _SCAN_SQL)
 def span_select_end_pointer(spark, sf):
     return _select(spark, sf, S.select_end_pointer)
 
 
-@register("span_select_replace_longer", "V11 (replace previous if longer)", "documents")
+@register("span_select_replace_longer", "V11 (replace previous if longer)", "documents", _REPLACE_SQL)
 def span_select_replace_longer(spark, sf):
     return _select(spark, sf, S.select_replace_longer)
 

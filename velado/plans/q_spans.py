@@ -38,9 +38,9 @@ def _re2(det):
 def spans_sql(dets, source="documents", key="doc_id", text="text"):
     """DuckDB: one row per match with code-point offsets (unnest + running sum of gap/match lengths)."""
     parts = []
-    for lab, pat in (_re2(d) for d in dets):
+    for det, (lab, pat) in enumerate(_re2(d) for d in dets):
         parts.append(
-            f"""SELECT {key} AS doc_id, '{lab}' AS label, i, m[i] AS surface,
+            f"""SELECT {key} AS doc_id, '{lab}' AS label, {det} AS det, i, m[i] AS surface,
                    sum(len(g[i]) + len(m[i])) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING)
                      - len(m[i]) AS start_
             FROM (SELECT {key}, m, g, generate_subscripts(m, 1) AS i
@@ -49,7 +49,7 @@ def spans_sql(dets, source="documents", key="doc_id", text="text"):
         )
     union = "\nUNION ALL\n".join(parts)
     return f"""(SELECT doc_id, label, CAST(start_ AS INTEGER) AS start,
-                CAST(start_ + len(surface) AS INTEGER) AS "end", surface FROM ({union}))"""
+                CAST(start_ + len(surface) AS INTEGER) AS "end", surface, det, i FROM ({union}))"""
 
 
 def _detect(spark, sf, dets):
