@@ -68,7 +68,32 @@ def eval_strict(spark, sf):
                     "c.tp", "c.fp", "c.fn", p.alias("p"), r.alias("r"), f1.alias("f1"))
 
 
-@register("eval_iou", "E2 J6", "documents")
+def _iou_sql():
+    iou = ("CASE WHEN (g.e - g.s) + (x.e - x.s) - greatest(0, least(g.e, x.e) - greatest(g.s, x.s)) > 0 "
+           "THEN greatest(0, least(g.e, x.e) - greatest(g.s, x.s)) / "
+           "((g.e - g.s) + (x.e - x.s) - greatest(0, least(g.e, x.e) - greatest(g.s, x.s))) ELSE 0.0 END")
+    return f"""WITH RECURSIVE {_islands_sql(GOLD_SET, 'gold')},
+{_islands_sql(PRED_SET, 'pred')},
+g AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM gold),
+pl AS (SELECT doc_id, list({{'s': s, 'e': e, 'j': j}} ORDER BY j) AS preds
+       FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS j FROM pred) GROUP BY doc_id),
+r AS (SELECT d.doc_id, 0 AS k, CAST([] AS BIGINT[]) AS used, 0 AS tp FROM documents d
+      UNION ALL
+      SELECT doc_id, k, CASE WHEN hit THEN list_append(used, best.j) ELSE used END, tp + CASE WHEN hit THEN 1 ELSE 0 END
+      FROM (SELECT r.doc_id, r.k + 1 AS k, r.used, r.tp, b.best,
+                   b.best IS NOT NULL AND -b.best.nv >= 0.5 AS hit
+            FROM r JOIN g ON g.doc_id = r.doc_id AND g.k = r.k + 1
+            LEFT JOIN pl ON pl.doc_id = r.doc_id,
+            LATERAL (SELECT list_min(list_transform(list_filter(coalesce(pl.preds, []), lambda x: NOT list_contains(r.used, x.j)),
+                                                    lambda x: {{'nv': -({iou}), 'j': x.j}})) AS best) b)),
+fin AS (SELECT doc_id, tp FROM r QUALIFY k = max(k) OVER (PARTITION BY doc_id)),
+n AS (SELECT d.doc_id, (SELECT count(*) FROM gold WHERE gold.doc_id = d.doc_id) AS ng,
+             (SELECT count(*) FROM pred WHERE pred.doc_id = d.doc_id) AS np FROM documents d),
+c AS (SELECT n.doc_id, fin.tp, n.np - fin.tp AS fp, n.ng - fin.tp AS fn FROM n JOIN fin ON fin.doc_id = n.doc_id)
+SELECT doc_id, CAST(tp AS INTEGER) AS tp, CAST(fp AS INTEGER) AS fp, CAST(fn AS INTEGER) AS fn, {_PRF} FROM c"""
+
+
+@register("eval_iou", "E2 J6", "documents", _iou_sql())
 def eval_iou(spark, sf):
     d = gold_pred(spark, sf).withColumn("c", EV.iou_counts(F.col("gold"), F.col("pred"), 0.5))
     p, r, f1 = EV.prf(F.col("c.tp"), F.col("c.fp"), F.col("c.fn"))
