@@ -174,7 +174,27 @@ def weak_span_counts(spark, sf):
     return WK.label_counts_inrow(arr, "doc_id")
 
 
-@register("balanced_sample", "W5 W6 T6", "documents")
+def _balanced_sql():
+    names = "[" + ", ".join(sq(x) for x in sorted(set(P.COMMON_GIVEN_NAMES))) + "]"
+    key = "concat_ws('|', {seed}, doc_id, i, \"left\", span, \"right\")"
+    return f"""WITH t AS {tokens_sql('documents', 'doc_id')},
+c AS (SELECT t.doc_id, t.i, t.tok AS span,
+             substr(d.text, greatest(t.start - 50, 0) + 1, t.start - greatest(t.start - 50, 0)) AS "left",
+             substr(d.text, t."end" + 1, 50) AS "right",
+             lower(substr(d.text, greatest(t.start - 20, 0) + 1, t.start - greatest(t.start - 20, 0)) || ' ' ||
+                   substr(d.text, t."end" + 1, 20)) AS ctx, lower(t.tok) AS lw
+      FROM t JOIN documents d USING (doc_id)),
+l AS (SELECT doc_id, i, "left", span, "right",
+             CASE WHEN list_contains({_LEX_SQL}, lw) THEN 'DRUG' WHEN list_contains({names}, lw) THEN 'SENSITIVE'
+                  WHEN regexp_matches(ctx, {sq(WK.DOSE_CTX_RE2)}) THEN 'DRUG' ELSE 'OTHER' END AS label FROM c),
+cap AS (SELECT least(5000, CAST(floor(count(*) * 0.5) AS BIGINT)) AS k FROM l),
+o AS (SELECT l.*, row_number() OVER (ORDER BY md5({key.format(seed="'42'")})) AS rn FROM l WHERE label = 'OTHER'),
+keep AS (SELECT doc_id, i, "left", span, "right", label FROM l WHERE label <> 'OTHER'
+         UNION ALL SELECT doc_id, i, "left", span, "right", label FROM o, cap WHERE rn <= cap.k)
+SELECT *, md5({key.format(seed="'43'")}) AS order_key FROM keep"""
+
+
+@register("balanced_sample", "W5 W6 T6", "documents", _balanced_sql())
 def balanced_sample(spark, sf):
     spans = WK.weak_spans(spark, table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
     return WK.balance(spans, seed=42)
