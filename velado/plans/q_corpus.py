@@ -68,7 +68,31 @@ def label_counts(spark, sf):
     return parsed_rows(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("corpus_report", "A3 V9 V13 J1", "documents")
+def _report_sql():
+    return f"""WITH RECURSIVE sp AS (SELECT doc_id, start, "end", label,
+            row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", det, i) AS k FROM {QS.spans_sql(QS.DETECT_SET)}),
+r AS (SELECT doc_id, k, start, "end", "end" AS last_end, TRUE AS kept FROM sp WHERE k = 1
+      UNION ALL
+      SELECT sp.doc_id, sp.k, sp.start, sp."end", CASE WHEN sp.start >= r.last_end THEN sp."end" ELSE r.last_end END,
+             sp.start >= r.last_end
+      FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.k = r.k + 1),
+t AS (SELECT * FROM {tokens_sql('documents', 'doc_id')}),
+kept AS (SELECT r.doc_id, r.start, r."end",
+                EXISTS (SELECT 1 FROM t WHERE t.doc_id = r.doc_id AND t.start < r."end" AND r.start < t."end") AS aligned
+         FROM r WHERE kept),
+per AS (SELECT d.doc_id, d.lang,
+               (SELECT count(*) FROM sp WHERE sp.doc_id = d.doc_id) AS n_spans,
+               (SELECT count(*) FROM kept WHERE kept.doc_id = d.doc_id) AS n_kept,
+               (SELECT count(*) FROM kept WHERE kept.doc_id = d.doc_id AND NOT kept.aligned) AS n_mis
+        FROM documents d),
+labs AS (SELECT d.lang, string_agg(DISTINCT sp.label, ',' ORDER BY sp.label) AS labels
+         FROM sp JOIN documents d ON d.doc_id = sp.doc_id GROUP BY d.lang)
+SELECT per.lang AS split, count(*) AS docs, sum(n_kept - n_mis) AS ents, coalesce(any_value(labs.labels), '') AS labels,
+       sum(n_spans - n_kept) AS skipped_overlaps, sum(n_mis) AS misaligned
+FROM per LEFT JOIN labs ON labs.lang = per.lang GROUP BY per.lang"""
+
+
+@register("corpus_report", "A3 V9 V13 J1", "documents", _report_sql())
 def corpus_report(spark, sf):
     d = annotated(spark, sf).withColumn("spans", C.parse_ann(F.col("ann"), F.col("text")))
     d = TK.with_tokens(d, "text", "toks")
