@@ -170,7 +170,7 @@ SELECT CASE WHEN list_contains({_LEX_SQL}, lw) THEN 'DRUG'
 FROM c GROUP BY 1""",
 )
 def weak_span_counts(spark, sf):
-    arr = WK.weak_span_array(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    arr = WK.weak_span_array(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", labels_only=True)
     return WK.label_counts_inrow(arr, "doc_id")
 
 
