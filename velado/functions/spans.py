@@ -142,7 +142,7 @@ def sql_str(v) -> str:
 def scan_columns(df: DataFrame, pairs, op: str = "sum", inclusive: bool = False) -> DataFrame:
     """For each ``(arr, out)`` add ``out`` = prefix scan of int array column ``arr``.
 
-    Blocks of ``B = max(64, ceil(sqrt(n)))`` elements: block totals by scalar ``aggregate`` (no
+    Blocks of ``B = max(4, ceil(sqrt(n)))`` elements: block totals by scalar ``aggregate`` (no
     array concatenation), block bases by a scan of the totals, and each element adds the scalar
     scan of its own block prefix.  Cost O(n * B) per row instead of O(n^2) for a concat fold.
     All arrays advance level by level, so the plan has four projections whatever their number.
@@ -156,7 +156,7 @@ def scan_columns(df: DataFrame, pairs, op: str = "sum", inclusive: bool = False)
         raise ValueError(op)
     extra = 1 if inclusive else 0
     names = [(_q(a), o, _tmp("blk"), _tmp("tot"), _tmp("base")) for a, o in pairs]
-    df = df.select("*", *[F.expr(f"cast(greatest(64, ceil(sqrt(size({a})))) as int)").alias(blk)
+    df = df.select("*", *[F.expr(f"cast(greatest(4, ceil(sqrt(size({a})))) as int)").alias(blk)
                           for a, _, blk, _, _ in names])
     df = df.select("*", *[F.expr(
         f"transform(CASE WHEN size({a}) > 0 THEN sequence(0, cast(ceil(size({a}) / {_q(blk)}) as int) - 1) "
