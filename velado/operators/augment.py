@@ -1,6 +1,6 @@
 """Template augmentation (T11): one medication sentence per input row, with entity offsets.
 
-Choices are repeatable hashes of ``(seed, key)`` (the reference is unseeded); drugs are drawn
+Choices are repeatable md5 hashes of ``(seed, key)`` (the reference is unseeded); drugs are drawn
 without replacement by hash rank; offsets come from the position of each placeholder as it is
 filled left to right, so ``Sintrom`` is never found inside ``Sintrom®``.
 """
@@ -26,14 +26,16 @@ def _pick(values, h: Column) -> Column:
 def templated(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Add ``synth_text``, ``synth_spans`` (label FARMACO) and ``synth_ann`` for each row."""
     def h(tag):
-        return F.xxhash64(F.lit(seed), F.lit(tag), F.col(key))
+        # First 32 bits of md5(seed|tag|key) as a non-negative integer.
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col(key).cast("string"))), 1, 8),
+                      16, 10).cast("long")
 
     u = F.pmod(h("k"), F.lit(100))
     k = F.when(u < P.TEMPLATE_MIX[0], 1).when(u < P.TEMPLATE_MIX[0] + P.TEMPLATE_MIX[1], 2).otherwise(3)
     tmpl = F.when(k == 1, _pick(P.TEMPLATES_1, h("t"))).when(k == 2, _pick(P.TEMPLATES_2, h("t"))) \
         .otherwise(_pick(P.TEMPLATES_3, h("t")))
     ranked = F.array_sort(F.transform(_arr(P.TEMPLATE_DRUGS), lambda d: F.struct(
-        F.xxhash64(F.lit(seed), F.col(key), d).alias("r"), d.alias("d"))))
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), d)).alias("r"), d.alias("d"))))
     df = df.withColumn("__k", k).withColumn("__drugs", F.transform(F.slice(ranked, 1, k), lambda x: x["d"]))
     text = tmpl
     for name, values in (("{dx}", P.TEMPLATE_DIAGNOSES), ("{motivo}", P.TEMPLATE_REASONS),

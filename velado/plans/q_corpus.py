@@ -196,7 +196,46 @@ def span_select_replace_longer(spark, sf):
     return _select(spark, sf, S.select_replace_longer)
 
 
-@register("template_corpus", "T11 S15 (template augmentation, one sentence per document)", "documents")
+def _template_sql(seed=42):
+    from ..functions import patterns as PT
+
+    def lst(xs):
+        return "[" + ", ".join(sq(x) for x in xs) + "]"
+
+    def h(tag):
+        return f"('0x' || substr(md5(concat_ws('|', '{seed}', {sq(tag)}, CAST(doc_id AS VARCHAR))), 1, 8))::BIGINT"
+
+    def pick(xs, tag):
+        return f"{lst(xs)}[({h(tag)} % {len(xs)}) + 1]"
+
+    a, b = PT.TEMPLATE_MIX[0], PT.TEMPLATE_MIX[0] + PT.TEMPLATE_MIX[1]
+    tmpl = (f"CASE WHEN k = 1 THEN {pick(PT.TEMPLATES_1, 't')} WHEN k = 2 THEN {pick(PT.TEMPLATES_2, 't')} "
+            f"ELSE {pick(PT.TEMPLATES_3, 't')} END")
+    fill = "tmpl"
+    for name, values in (("{dx}", PT.TEMPLATE_DIAGNOSES), ("{motivo}", PT.TEMPLATE_REASONS),
+                         ("{dosis}", PT.TEMPLATE_DOSES), ("{via}", PT.TEMPLATE_ROUTES)):
+        fill = f"replace({fill}, {sq(name)}, {pick(values, name)})"
+    ranked = (f"list_transform(list_sort(list_transform({lst(PT.TEMPLATE_DRUGS)}, "
+              f"lambda x: {{'r': md5(concat_ws('|', '{seed}', CAST(doc_id AS VARCHAR), x)), 'd': x}})), lambda y: y.d)")
+    return f"""WITH a AS (SELECT doc_id, CASE WHEN {h('k')} % 100 < {a} THEN 1 WHEN {h('k')} % 100 < {b} THEN 2 ELSE 3 END AS k
+           FROM documents),
+b AS (SELECT doc_id, k, {tmpl} AS tmpl, {ranked}[1:k] AS drugs FROM a),
+c AS (SELECT doc_id, k, drugs, {fill} AS t0 FROM b),
+f1 AS (SELECT *, strpos(t0, '{{f1}}') - 1 AS s1, replace(t0, '{{f1}}', drugs[1]) AS t1 FROM c),
+f2 AS (SELECT *, CASE WHEN strpos(t1, '{{f2}}') > 0 THEN strpos(t1, '{{f2}}') - 1 END AS s2,
+              CASE WHEN strpos(t1, '{{f2}}') > 0 THEN replace(t1, '{{f2}}', drugs[2]) ELSE t1 END AS t2 FROM f1),
+f3 AS (SELECT *, CASE WHEN strpos(t2, '{{f3}}') > 0 THEN strpos(t2, '{{f3}}') - 1 END AS s3,
+              CASE WHEN strpos(t2, '{{f3}}') > 0 THEN replace(t2, '{{f3}}', drugs[3]) ELSE t2 END AS t3 FROM f2)
+SELECT doc_id, t3 AS text,
+       concat_ws(chr(10),
+         'T1' || chr(9) || 'FARMACO ' || s1 || ' ' || (s1 + length(drugs[1])) || chr(9) || drugs[1],
+         CASE WHEN s2 IS NOT NULL THEN 'T2' || chr(9) || 'FARMACO ' || s2 || ' ' || (s2 + length(drugs[2])) || chr(9) || drugs[2] END,
+         CASE WHEN s3 IS NOT NULL THEN 'T3' || chr(9) || 'FARMACO ' || s3 || ' ' || (s3 + length(drugs[3])) || chr(9) || drugs[3] END) AS ann,
+       CAST(1 + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT AS INTEGER) AS n_ents
+FROM f3"""
+
+
+@register("template_corpus", "T11 S15 (template augmentation, one sentence per document)", "documents", _template_sql())
 def template_corpus(spark, sf):
     from ..operators import augment as AG
 
