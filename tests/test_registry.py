@@ -10,7 +10,8 @@ from .conftest import SF
 
 ROWS_ONLY = {"eval_iou", "balanced_sample", "corpus_report", "span_select_first", "span_select_longest",
              "span_select_end_pointer", "span_select_replace_longer", "protected_mask", "protected_mask_wide",
-             "tagger_train_eval", "tagger_spans_eval", "template_corpus", "mask_with_entities", "pretokenized_features", "span_classifier_veto"}
+             "tagger_train_eval", "tagger_spans_eval", "template_corpus", "mask_with_entities", "pretokenized_features",
+             "span_classifier_veto"}
 
 
 def test_entry_runs(spark):
