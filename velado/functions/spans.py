@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import any_of
+
 SPAN_FIELDS = "start:int,end:int,label:string,src:string"
 SPAN_TYPE = f"struct<{SPAN_FIELDS}>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -181,12 +183,6 @@ def scan_column(df: DataFrame, arr: str, out: str, op: str = "sum", inclusive: b
 # ---------------------------------------------------------------------------------------------
 # Regex to spans
 # ---------------------------------------------------------------------------------------------
-def P_any_of(patterns):
-    from .patterns import any_of
-
-    return any_of(patterns)
-
-
 def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bool = False) -> DataFrame:
     """Add one span-array column per detector ``dict(out, pattern, label, src, group)``.
 
@@ -201,7 +197,7 @@ def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bo
     # One relaxed alternation pass decides whether any detector can match the row at all; rows
     # with no candidate skip every extraction (most rows, for sparse detectors).
     hit = _tmp("any")
-    df = df.withColumn(hit, t.rlike(P_any_of([d["pattern"] for d in ds])))
+    df = df.withColumn(hit, t.rlike(any_of([d["pattern"] for d in ds])))
     empty = F.array().cast("array<string>")
     df = df.select("*", *[F.when(F.col(hit), F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0))).otherwise(empty)
                           .alias(d["m"]) for d in ds]).drop(hit)

@@ -17,7 +17,6 @@ from .registry import REGISTRY, register, table
 @register("mask_stream", "2.16 M8 D1 (readStream -> parquet sink, availableNow)", "documents",
           REGISTRY["mask_documents"].sql)
 def mask_stream(spark, sf):
-    schema = table(spark, sf, "documents", spread=False).select("doc_id", "lang", "text").schema
     full = table(spark, sf, "documents", spread=False).schema
     s = MS.masked_stream(spark, sf, "documents.parquet", full, "text", default_profile())
     names = QM.STEP_NAMES + ["heur"]
@@ -26,7 +25,6 @@ def mask_stream(spark, sf):
     s = s.select("doc_id", "lang", "masked", *[F.col(f"c.{n}").alias(f"n_{n}") for n in names],
                  count_total("c", names).alias("n_total"))
     out = MS.run_to_sink(s, "mask_stream")
-    _ = schema
     return spark.read.parquet(out)
 
 
