@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velado.llm import bpe, hostrules, packing, sharding
+from velado.llm import bpe, hostrules, jaccard, packing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_docs(spark, sf_dir))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_docs(spark, sf_dir))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_rules(_docs(spark, sf_dir))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pack": op2_pack,
         "op5_bpe": op5_bpe,
         "op7_shard": op7_shard,
+        "op9_jaccard": op9_jaccard,
         "op10_host_rules": op10_host_rules,
     }
 

@@ -49,6 +49,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     join, never a collected neighbour list. No edges give no rows.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -58,9 +59,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         linked = step.join(low, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = stored(small.where("u <> v").distinct())
-        same = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (e, new)]
         e = new
-        if same[0] == same[1]:
+        before, seen = seen, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before == seen or seen[0] == 0:
             break
     else:
         raise RuntimeError("components did not settle")
