@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velado.llm import bpe, hostrules, jaccard, packing, sharding
+from velado.llm import bpe, hostrules, jaccard, packing, sharding, substring
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return substring.remove_repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -35,6 +41,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": op1_substring,
         "op2_pack": op2_pack,
         "op5_bpe": op5_bpe,
         "op7_shard": op7_shard,
