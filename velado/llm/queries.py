@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velado.llm import bpe, hostrules, jaccard, langid, packing, sharding, substring
+from velado.llm import bpe, hostrules, jaccard, langid, packing, sharding, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_docs(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_docs(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": op4_langid,
         "op5_bpe": op5_bpe,
         "op7_shard": op7_shard,
+        "op8_toxicity": op8_toxicity,
         "op9_jaccard": op9_jaccard,
         "op10_host_rules": op10_host_rules,
     }
