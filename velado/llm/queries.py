@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velado.llm import bpe, hostrules, jaccard, langid, packing, sharding, substring, toxicity
+from velado.llm import bpe, hostrules, jaccard, langid, packing, quality, search, sharding, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(_docs(spark, sf_dir))
 
@@ -31,6 +35,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_docs(spark, sf_dir))
 
@@ -51,8 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
         "op2_pack": op2_pack,
+        "op3_search": op3_search,
         "op4_langid": op4_langid,
         "op5_bpe": op5_bpe,
+        "op6_quality": op6_quality,
         "op7_shard": op7_shard,
         "op8_toxicity": op8_toxicity,
         "op9_jaccard": op9_jaccard,
