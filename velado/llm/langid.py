@@ -189,26 +189,26 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_lang: int
     return model
 
 
-def identify(docs: DataFrame, model: ByteGru | None, *keep: str) -> DataFrame:
-    """``doc_id, lang_pred, score`` and the columns ``keep`` (their names may not clash with these).
+def identify(docs: DataFrame, model: ByteGru | None) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct), ``lang_pred`` and ``score`` of every row.
 
     ``und`` with score 0 for a null text or one without a letter, and for all rows if there is no model.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered = Remembered(model) if model else None
+        names = np.array([*(model.langs if model else []), "und"], object)
         for t in tiles(batches):
             best, score = predict(t, remembered) if model else (np.full(len(t), -1), np.zeros(len(t)))
-            names = np.array([*(model.langs if model else []), "und"], object)
-            out = t.batch.drop_columns(["text"]).append_column("lang_pred", pa.array(names[best].tolist(), pa.string()))
-            yield out.append_column("score", pa.array(score.astype(float)))
+            columns = [t.batch.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score.astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
-    rows = text_rows(docs, *keep).select("doc_id", *keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(work, f"{fields}, lang_pred string, score double")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document row. Repeated rows come back each, an empty table
     gives no rows, other columns are ignored; ``lang`` is read for training only."""
-    return identify(docs, fit(docs)).select("doc_id", (fold(PARTS) == HELD).alias("held_out"), "lang_pred", "score")
+    found = identify(text_rows(docs), fit(docs)).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", (fold(PARTS) == HELD).alias("held_out"), "lang_pred", "score")

@@ -216,23 +216,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Atten
     return model
 
 
-def score_rows(docs: DataFrame, model: AttentionGru | None, *keep: str) -> DataFrame:
-    """``keep`` columns and ``toxicity`` for every row; null, empty and wordless texts score 0."""
+def score_rows(docs: DataFrame, model: AttentionGru | None) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct) and ``score`` of every row; null, empty and wordless texts
+    score 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tiles(batches, "text_"):
+        for t in tiles(batches):
             score = model.score(t) if model else np.zeros(len(t))
-            yield t.batch.drop_columns(["text_"]).append_column("toxicity_", pa.array(score.astype(float)))
+            yield pa.RecordBatch.from_arrays([t.batch.column("row"), pa.array(score.astype(float))], ["row", "score"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text_"))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_")
-    return rows.mapInArrow(work, f"{fields}, toxicity_ double")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document row. Repeated rows come back each; an empty table
     gives no rows; other columns are ignored."""
-    rows = score_rows(docs, fit(docs, labels), "doc_id")
-    score = F.col("toxicity_").alias("score")
-    return rows.select("doc_id", (fold(PARTS) == HELD).alias("held_out"), score, (F.col("toxicity_") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score_rows(text_rows(docs), fit(docs, labels)).select("row.doc_id", "score")
+    return scored.select("doc_id", (fold(PARTS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
