@@ -107,12 +107,22 @@ def best_fit(left: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...],
 
 
 def pack_plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) pairs that hold every length of the histogram exactly once each."""
-    left = histogram.astype(np.int64).copy()
-    plan = []
-    patterns = enumerate_patterns(np.flatnonzero(left), size)
-    repeats = np.floor(fit_repeats(patterns, left) + 1e-6).astype(np.int64)
-    for k in np.argsort(-repeats):
+    """(pattern, repeats) pairs that hold every length of the histogram exactly once each.
+
+    The fitted repeats are rounded down, to the nearest, and to nothing but whole tens; each rounding is packed up
+    with its residuals, and the plan with the fewest sequences is taken.
+    """
+    patterns = enumerate_patterns(np.flatnonzero(histogram), size)
+    fitted = fit_repeats(patterns, histogram)
+    plans = [_rounded(patterns, r, histogram, size) for r in (np.floor(fitted + 1e-6), np.rint(fitted), np.floor(fitted / 10) * 10)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _rounded(patterns: np.ndarray, repeats: np.ndarray, histogram: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    left, plan = histogram.astype(np.int64).copy(), []
+    for k in np.argsort(-repeats, kind="stable"):
+        if repeats[k] < 1:
+            break
         pattern = tuple(int(x) for x in patterns[k] if x)
         need = np.bincount(pattern, minlength=len(left))
         n = min(int(repeats[k]), *(int(left[x]) // int(need[x]) for x in set(pattern)))
