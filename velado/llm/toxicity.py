@@ -26,7 +26,7 @@ GRAMS = (3, 4, 5)
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 16, 3, 8
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
 #: Labelled documents of each class to train on.
-PER_CLASS = 1600
+PER_CLASS = 1000
 
 
 def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,9 +42,9 @@ def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     values, owners, grams = mix(chars.astype(np.uint64) + np.uint64(77)), [], []
     for g in GRAMS:
         begin = np.flatnonzero(at + g <= np.repeat(size, size))
-        owners.append(np.repeat(np.arange(len(first)), size)[begin])
-        grams.append(spans_hash(values, begin, begin + g) % np.uint64(GRAM_BUCKETS))
-    owner, gram = np.concatenate(owners), np.concatenate(grams).astype(np.int64)
+        owners.append(np.repeat(np.arange(len(first), dtype=np.int32), size)[begin])
+        grams.append((spans_hash(values, begin, begin + g) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
+    owner, gram = np.concatenate(owners), np.concatenate(grams)
     order = np.argsort(owner, kind="stable")
     n = np.bincount(owner, minlength=len(first))
     return (keys % np.uint64(WORD_BUCKETS)).astype(np.int64), gram[order], owner[order], n, inverse
@@ -143,21 +143,28 @@ class AttentionGru:
         np.add.at(g["gram"], t["grams"][at], np.repeat(dx[:, WORD_DIM:] / t["n"][used][:, None], t["n"][used], axis=0))
         return g
 
-    def start_from_log_odds(self, t: dict, doc: np.ndarray, label: np.ndarray) -> None:
-        """Set the first number of each word and n-gram vector to its smoothed log odds of a toxic document."""
-        for name, buckets, of in (("word", WORD_BUCKETS, t["word"][t["number"]]), ("gram", GRAM_BUCKETS, None)):
-            if of is None:
-                begin = np.concatenate([[0], np.cumsum(t["n"])])
-                n = t["n"][t["number"]]
-                at = np.repeat(begin[t["number"]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                of, owner = t["grams"][at], np.repeat(doc, n)
-            else:
-                owner = doc
-            pair = np.unique(owner * buckets + of)
-            seen = [np.bincount((pair % buckets)[label[pair // buckets] == y], minlength=buckets) for y in (0, 1)]
-            total = [max(int((label == y).sum()), 1) for y in (0, 1)]
-            odds = np.log((seen[1] + 0.3) / (total[1] + 1)) - np.log((seen[0] + 0.3) / (total[0] + 1))
-            self.w[name][:, 0] = np.clip(odds, -2, 6) * (seen[0] + seen[1] >= 4)
+    def start_from_log_odds(self, t: dict, first: np.ndarray, label: np.ndarray, block: int = 64) -> None:
+        """Set the first number of each word and n-gram vector to its smoothed log odds of a toxic document.
+
+        Document d has the words ``first[d]:first[d + 1]``; a few documents at a time are counted.
+        """
+        begin = np.concatenate([[0], np.cumsum(t["n"])])
+        seen = {"word": np.zeros((2, WORD_BUCKETS)), "gram": np.zeros((2, GRAM_BUCKETS))}
+        for d in range(0, len(label), block):
+            last = min(d + block, len(label))
+            doc = np.repeat(np.arange(last - d), np.diff(first[d : last + 1]))
+            pair = np.unique(doc * len(t["n"]) + t["number"][first[d] : first[last]])
+            doc, own = pair // len(t["n"]), pair % len(t["n"])
+            n = t["n"][own]
+            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            for name, buckets, owner, of in (("word", WORD_BUCKETS, doc, t["word"][own]), ("gram", GRAM_BUCKETS, np.repeat(doc, n), t["grams"][at])):
+                once = np.unique(owner * buckets + of)
+                for y in (0, 1):
+                    seen[name][y] += np.bincount((once % buckets)[label[d + once // buckets] == y], minlength=buckets)
+        total = [max(int((label == y).sum()), 1) for y in (0, 1)]
+        for name, (clean, toxic) in seen.items():
+            odds = np.log((toxic + 0.3) / (total[1] + 1)) - np.log((clean + 0.3) / (total[0] + 1))
+            self.w[name][:, 0] = np.clip(odds, -2, 6) * (clean + toxic >= 4)
 
     def train(self, t: Tile, label: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 64, seed: int = 9) -> None:
         word, grams, owner, n, number = distinct_words(t)
@@ -165,7 +172,7 @@ class AttentionGru:
         start, length, doc = windows(t)
         if not len(start):
             return
-        self.start_from_log_odds(have, np.repeat(np.arange(len(t)), t.n_words), label)
+        self.start_from_log_odds(have, t.first, label)
         rng, adam = np.random.default_rng(seed), Adam(self.w, 0.01)
         for turn in range(rounds):
             have["x"] = self.inputs(word, grams, owner, n)
