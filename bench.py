@@ -43,7 +43,8 @@ def main():
     from velado.plans import catalog
     from velado.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", app="velado-bench", shuffle_partitions=int(cpus) * 2)
+    spark = get_spark(f"local[{cpus}]", app="velado-bench", shuffle_partitions=int(cpus) * 2,
+                      extra={"spark.velado.inputPartitions": str(int(cpus) * 2)})
     qs = catalog.queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
     # Untimed warm-up on the smallest tables (JVM start-up, JIT, first codegen), as any benchmark does.

@@ -12,7 +12,8 @@ def spark():
     from velado.session import get_spark
 
     os.environ.setdefault("VELADO_DRIVER_MEMORY", "4g")
-    s = get_spark("local[2]", app="velado-tests", shuffle_partitions=4)
+    s = get_spark("local[2]", app="velado-tests", shuffle_partitions=4,
+                  extra={"spark.velado.inputPartitions": "4"})
     # Tests set their own checkpoint folder only because none is configured locally.
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="velado-test-ckpt-"))

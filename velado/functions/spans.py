@@ -14,6 +14,8 @@ of matches stay linear-ish instead of quadratic.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +185,12 @@ def scan_column(df: DataFrame, arr: str, out: str, op: str = "sum", inclusive: b
 # ---------------------------------------------------------------------------------------------
 # Regex to spans
 # ---------------------------------------------------------------------------------------------
+def any_match(text: Column, patterns) -> Column:
+    """Whether any of the patterns matches somewhere in the text."""
+    tests = [text.rlike(p) for p in any_of(patterns)] or [F.lit(False)]
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+
+
 def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bool = False) -> DataFrame:
     """Add one span-array column per detector ``dict(out, pattern, label, src, group)``.
 
@@ -194,10 +202,10 @@ def with_regex_spans_multi(df: DataFrame, text: str, detectors, with_surface: bo
     for d in detectors:
         ds.append(dict(d, m=_tmp("m"), g=_tmp("g"), gl=_tmp("gl"), pl=_tmp("pl"), bs=_tmp("bs"),
                        mg=_tmp("mg") if d.get("group") else None))
-    # One relaxed alternation pass decides whether any detector can match the row at all; rows
+    # One test of the whole text decides whether any detector can match the row at all; rows
     # with no candidate skip every extraction (most rows, for sparse detectors).
     hit = _tmp("any")
-    df = df.withColumn(hit, t.rlike(any_of([d["pattern"] for d in ds])))
+    df = df.withColumn(hit, any_match(t, [d["pattern"] for d in ds]))
     empty = F.array().cast("array<string>")
     df = df.select("*", *[F.when(F.col(hit), F.regexp_extract_all(t, F.lit(d["pattern"]), F.lit(0))).otherwise(empty)
                           .alias(d["m"]) for d in ds]).drop(hit)

@@ -10,21 +10,24 @@ from . import patterns as P
 from .text import mask_full
 
 
-def date_to_year(value: Column, dtype=None) -> Column:
+def date_to_year(value: Column, dtype=None, year_pivot: int = 2075) -> Column:
     """Year of a date-like value as a string; ``''`` if unparseable; blank strings returned as is.
 
-    Native dates/timestamps give their year directly.  Strings try the day-first formats in
-    order (``try_to_timestamp``: null instead of an error under ANSI).
+    Native dates and timestamps give their year. Text loses a time of day (also after ``T``) and is read
+    day first, then month first. A two-digit year is the one in the hundred years up to ``year_pivot``.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.year(value).cast("string")
-    s = F.trim(value.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in P.DATE_FORMATS + ["yyyy-MM-dd HH:mm:ss"]])
+    text = value.cast("string")
+    s = F.regexp_replace(F.trim(text), P.TIME_TAIL, "")
+    year = lambda fmt: F.year(F.try_to_timestamp(s, F.lit(fmt)))
+    short = F.coalesce(*[year(fmt) for fmt in P.DATE_FORMATS_SHORT])
+    short = F.lit(year_pivot) - F.pmod(F.lit(year_pivot) - short, F.lit(100))
+    long = F.when(s.rlike(r"\d{4}"), F.coalesce(*[year(fmt) for fmt in P.DATE_FORMATS]))
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.trim(value.cast("string")) == "", value.cast("string"))
-        .when(parsed.isNull(), F.lit(""))
-        .otherwise(F.year(parsed).cast("string"))
+        F.when(text.isNull(), F.lit(None).cast("string"))
+        .when(F.trim(text) == "", text)
+        .otherwise(F.coalesce(F.coalesce(long, short).cast("string"), F.lit("")))
     )
 
 
@@ -41,7 +44,7 @@ def mask_struct_value(value: Column, kind: str, profile, dtype=None):
     if kind in ("keep", "num", "cat"):
         return value, F.lit(0)
     if kind == "date":
-        return date_to_year(value, dtype), one
+        return date_to_year(value, dtype, profile.year_pivot), one
     if kind == "pii":
         return mask_full(value, strategy, "[X]"), one
     tag = P.KIND_TAGS.get(kind, "[X]")

@@ -24,7 +24,7 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     def files(ext):
         df = spark.read.text(root, wholetext=True, pathGlobFilter=f"*.{ext}", recursiveFileLookup=True)
-        path = F.col("_metadata.file_path")
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         return df.select(
             F.regexp_extract(path, r"/([^/]+)/(?:brat/)?[^/]+$", 1).alias("split"),
             F.regexp_extract(path, r"/([^/]+)\.[^./]+$", 1).alias("stem"),
@@ -40,13 +40,14 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
         .select("split", "stem", F.col("txt").alias("text"), "ann")
 
 
-def parse_ann(ann: Column, text: Column, lenient: bool = False, only_label: str | None = None) -> Column:
+def parse_ann(ann: Column, text: Column, lenient: bool = False, only_label: str | None = None,
+              file_order: bool = False) -> Column:
     """Annotation text -> ``array<span>`` (S5; S6 when ``lenient``; S7 with ``only_label``).
 
     Keeps ``T`` lines of the form ``T1<TAB>LABEL s e[;s e]<TAB>surface``; discontinuous segments
     become separate spans; malformed lines and segments are skipped; spans must satisfy
     ``0 <= s < e <= len(text)``.  The lenient form also accepts ``T1 LABEL s e ...`` separated by
-    spaces and keeps only the first segment.
+    spaces and keeps only the first segment.  Spans are sorted by place, or stay in ``file_order``.
     """
     lines = F.transform(F.split(F.coalesce(ann, F.lit("")), r"\r?\n", -1), lambda x: F.trim(x))
     n = F.length(F.coalesce(text, F.lit("")))
@@ -83,7 +84,7 @@ def parse_ann(ann: Column, text: Column, lenient: bool = False, only_label: str
     out = F.flatten(F.transform(lines, segs))
     if only_label:
         out = F.filter(out, lambda x: x["label"] == only_label)
-    return S.sort_spans(out)
+    return out if file_order else S.sort_spans(out)
 
 
 def ann_lines(spans: Column, text: Column, blocks: Column | None = None) -> Column:
@@ -130,17 +131,16 @@ def edge_reason(frag: Column) -> Column:
     )
 
 
-def first_by_label(span_rows: DataFrame, labels, key: str = "doc_id") -> DataFrame:
-    """Wide table (A8): first surface per label (in file order) as columns, plus the sorted
+def first_by_label(span_rows: DataFrame, labels, key: str = "doc_id", order: str = "pos") -> DataFrame:
+    """Wide table (A8): first surface per label (by ``order``, the span's place in its file) as columns, plus the sorted
     distinct labels joined by ``,``; missing values are ``''``.
 
     The pivot is written as conditional aggregates (what ``pivot`` expands to), so the label list
     and every label column come from one grouped aggregation: one shuffle on ``key``, no join.
     """
-    order = F.col("start").cast("long") * F.lit(1_000_000_000) + F.col("end")
     aggs = [F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels_present")]
     for lab in labels:
-        aggs.append(F.coalesce(F.min_by("surface", F.when(F.col("label") == lab, order)), F.lit("")).alias(lab))
+        aggs.append(F.coalesce(F.min_by("surface", F.when(F.col("label") == lab, F.col(order))), F.lit("")).alias(lab))
     return span_rows.groupBy(key).agg(*aggs)
 
 

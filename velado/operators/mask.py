@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import text as T
 from ..functions.structured import mask_struct_value
@@ -32,7 +31,7 @@ def regex_chain_df(df: DataFrame, src: str, steps, out: str, counts: str) -> Dat
     # (a step sees earlier tags, which never match later patterns); most cells skip the chain.
     hit = _tmp("any")
     if steps:
-        df = df.withColumn(hit, F.coalesce(F.col(src).rlike(P.any_of([p for _, p, _ in steps])), F.lit(False)))
+        df = df.withColumn(hit, S.any_match(F.col(src), [p for _, p, _ in steps]))
     for name, pattern, repl in steps:
         c = _tmp(f"n_{name}")
         nxt = _tmp("t")
@@ -102,13 +101,15 @@ def mask_text(
         else:
             df = df.withColumn(segs, S.pinned(blk, S.segments(F.col(src), F.col(prot), F.col(blk)))).drop(blk)
         cnt_cols = []
-        # Prefilter on the whole text.  Without protected spans the text is one open segment and the
-        # exact alternation decides; with some, segment edges could create word boundaries, so the
-        # relaxed (superset) alternation is used for those rows only.
+        # Prefilter on what the steps see: the whole text where it is one open segment, else each
+        # open segment, since a segment edge can make or end a match.
         hit = _tmp("any")
         pats = [p for _, p, _ in steps]
-        exact, loose = F.col(src).rlike(P.any_of(pats)), F.col(src).rlike(P.any_of(pats, relax=True))
-        df = df.withColumn(hit, F.coalesce(F.when(F.size(F.col(prot)) == 0, exact).otherwise(loose), F.lit(False)))
+        whole = F.size(F.col(prot)) == 0
+        if entities:
+            whole = whole & (F.coalesce(F.size(F.col(entities)), F.lit(0)) <= 0)
+        parts = F.exists(F.col(segs), lambda s: ~s["prot"] & S.any_match(s["txt"], pats))
+        df = df.withColumn(hit, F.coalesce(F.when(whole, S.any_match(F.col(src), pats)).otherwise(parts), F.lit(False)))
         for name, pattern, repl in steps:
             c, nxt = _tmp(f"n_{name}"), _tmp("segs")
             pat = F.lit(pattern)

@@ -107,17 +107,25 @@ def in_drug_lexicon(t: Column, lexicon) -> Column:
     return F.array_contains(_lit_array(sorted({x.lower() for x in lexicon})), F.lower(F.trim(t)))
 
 
-def drug_label(label: Column, drug_labels=("FARMACO", "DRUG", "MEDICAMENTO")) -> Column:
+def drug_label(label: Column, drug_labels=tuple(P.DRUG_LABELS)) -> Column:
     """Entity label, upper-cased, is one of the drug labels (F12p, drug-only corpora)."""
     return F.upper(label).isin(*drug_labels)
 
 
-def probable_drug_segment(text: Column, s: Column, lexicon, blocks: Column | None = None, window: int = 40) -> Column:
-    """A span looks like medication (F7p): a lexicon token inside, a dose inside, or a treatment
-    connector (``... con``) right before it within ``window`` characters."""
-    seg = F.lower(S.surface(text, s, blocks))
-    words = "|".join(P.quote_term(x) for x in sorted({t.lower() for t in lexicon}, key=lambda t: (-len(t), t)))
-    lex_inside = seg.rlike(r"(?U)\b(" + words + r")\b") if words else F.lit(False)
-    dose_inside = seg.rlike(r"(?iU)\d+(?:[.,]\d+)?\s*" + P.DOSE_UNITS + r"\b")
-    left = F.lower(S.left_context(text, s["start"], window, blocks))
-    return lex_inside | dose_inside | left.rlike(r"(?U)\bcon\s*$")
+def probable_drug_segment(text: Column, s: Column, lexicon, blocks: Column | None = None, window: int = 40,
+                          protected: Column | None = None) -> Column:
+    """A span looks like medication (F7p): it overlaps a protected span, holds a lexicon token, a word
+    with a dose or a number, or a treatment word and ``con`` stand right before it within ``window``
+    characters."""
+    seg = S.surface(text, s, blocks)
+    tests = [seg.rlike(P.ci(P.DOSE_PATTERN_WIDE)), seg.rlike(P.ci(P.DRUG_NUMBER_PATTERN)),
+             S.left_context(text, s["start"], window, blocks).rlike(P.ci(P.TREATMENT_BEFORE))]
+    if lexicon:
+        toks = F.regexp_extract_all(F.lower(seg), F.lit(P.SEGMENT_WORD), F.lit(0))
+        tests.append(F.arrays_overlap(toks, _lit_array(sorted({t.lower() for t in lexicon}))))
+    if protected is not None:
+        tests.append(F.exists(protected, lambda p: S.overlaps(s, p)))
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out

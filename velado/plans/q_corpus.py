@@ -46,7 +46,7 @@ def ann_roundtrip(spark, sf):
 
 def _first_by_label_sql():
     cols = ", ".join(
-        f"coalesce(arg_min(surface, CAST(start AS BIGINT) * 1000000000 + \"end\") FILTER (WHERE label = '{lab}'), '') AS \"{lab}\""
+        f"coalesce(arg_max(surface, CAST(start AS BIGINT) * 1000000000 + \"end\") FILTER (WHERE label = '{lab}'), '') AS \"{lab}\""
         for lab in LABELS
     )
     return f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels_present, {cols}
@@ -55,7 +55,13 @@ FROM {QS.spans_sql(QS.DETECT_SET)} GROUP BY doc_id"""
 
 @register("first_by_label", "A8 (pivot)", "documents", _first_by_label_sql())
 def first_by_label(spark, sf):
-    return C.first_by_label(parsed_rows(spark, sf, with_surface=True), LABELS)
+    """Annotation files whose lines run from the last span to the first: the first of a label in the file
+    is the last in the text."""
+    d = annotated(spark, sf)
+    d = d.withColumn("ann", F.array_join(F.reverse(F.split("ann", "\n")), "\n"))
+    d = d.withColumn("spans", C.parse_ann(F.col("ann"), F.col("text"), file_order=True))
+    rows = SO.explode_spans(d, "spans", ["doc_id", "lang"], text="text", with_index=True)
+    return C.first_by_label(rows, LABELS, order="i")
 
 
 @register(
@@ -100,13 +106,18 @@ def corpus_report(spark, sf):
     # A span no token touches cannot be aligned (the role of a failed expand alignment).
     d = d.withColumn("misaligned", S.pinned("toks", F.size(F.filter(F.col("kept"), lambda s: ~F.exists(
         F.col("toks"), lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))))))
-    return d.groupBy(F.col("lang").alias("split")).agg(
-        F.count(F.lit(1)).alias("docs"),
-        F.sum(F.size("kept") - F.col("misaligned")).alias("ents"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("spans", lambda s: s["label"]))))), ",").alias("labels"),
-        F.sum(F.size("spans") - F.size("kept")).alias("skipped_overlaps"),
-        F.sum("misaligned").alias("misaligned"),
-    )
+    # One row per document and label (an empty document has a null one); counts are added once per document.
+    d = d.select("lang", F.size("kept").alias("n_kept"), "misaligned", F.size("spans").alias("n_spans"),
+                 F.array_distinct(F.transform("spans", lambda s: s["label"])).alias("labels"))
+    d = d.select("*", F.posexplode_outer("labels").alias("k", "label"))
+    once = lambda c: F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, c).otherwise(0))
+    per = d.groupBy("lang", "label").agg(
+        once(F.lit(1)).alias("docs"), once(F.col("n_kept") - F.col("misaligned")).alias("ents"),
+        once(F.col("n_spans") - F.col("n_kept")).alias("skipped"), once(F.col("misaligned")).alias("mis"))
+    return per.groupBy(F.col("lang").alias("split")).agg(
+        F.sum("docs").alias("docs"), F.sum("ents").alias("ents"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
+        F.sum("skipped").alias("skipped_overlaps"), F.sum("mis").alias("misaligned"))
 
 
 _SP = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -359,9 +370,5 @@ SELECT d.doc_id, CASE WHEN n.n IS NULL THEN 'NO_ANN' ELSE 'OK' END AS status, co
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
 )
 def rejects_no_ann(spark, sf):
-    rows = parsed_rows(spark, sf)
-    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"))
-    docs = table(spark, sf, "documents").select("doc_id")
-    ok = docs.join(n, "doc_id", "inner").select("doc_id", F.lit("OK").alias("status"), "n_spans")
-    rej = docs.join(n, "doc_id", "left_anti").select("doc_id", F.lit("NO_ANN").alias("status"), F.lit(0).cast("long").alias("n_spans"))
-    return ok.unionByName(rej)
+    d = annotated(spark, sf).withColumn("n_spans", F.size(C.parse_ann(F.col("ann"), F.col("text"))).cast("long"))
+    return d.select("doc_id", F.when(F.col("n_spans") > 0, "OK").otherwise("NO_ANN").alias("status"), "n_spans")

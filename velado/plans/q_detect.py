@@ -38,40 +38,40 @@ def protected_mask_wide(spark, sf):
     return d.select("doc_id", "masked", F.col("c.protected").alias("n_protected"))
 
 
-# Gazetteer derived from the data: the 50 most frequent title-case words of the benchmark passages
-# (which are embedded in the documents), ties by word.  A top-k, so its size is bounded.
-GAZ_K = 50
+# Gazetteer derived from the data: all title-case words of the benchmark passages (which are embedded
+# in the documents).
 GAZ_WORD = "[A-Z][a-z]{5,}"
 
 
 def gazetteer_terms(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(GAZ_WORD), 0)).alias("term"))
-    top = b.groupBy("term").count().orderBy(F.desc("count"), "term").limit(GAZ_K)
-    return top.select("term")
+    b = table(spark, sf, "benchmark")
+    return b.select(F.explode(F.regexp_extract_all("text", F.lit(GAZ_WORD), 0)).alias("term")).distinct()
 
 
-# Oracle: Unicode word runs (RE2 has only an ASCII \\b); a run equal to a term, ignoring case, is a match.
+# Oracle: Unicode word runs (RE2 has only an ASCII \b); a run equal to a term, ignoring case, is a match.
 _W = "[\\p{L}\\p{N}_]+"
 _GAZ_SQL = f"""WITH w AS (SELECT unnest(regexp_extract_all(text, {sq(GAZ_WORD)})) AS term FROM benchmark),
-top AS (SELECT term FROM w GROUP BY term ORDER BY count(*) DESC, term LIMIT {GAZ_K}),
-lx AS (SELECT list(lower(term)) AS terms FROM top),
-d AS (SELECT doc_id, text, regexp_extract_all(text, {sq(_W)}) AS m, string_split_regex(text, {sq(_W)}) AS g FROM documents)
-SELECT doc_id,
-       CASE WHEN text IS NULL THEN NULL ELSE
+lx AS (SELECT DISTINCT lower(term) AS term FROM w),
+d AS (SELECT doc_id, text, regexp_extract_all(text, {sq(_W)}) AS m, string_split_regex(text, {sq(_W)}) AS g FROM documents),
+t AS (SELECT doc_id, unnest(m) AS word FROM d),
+h AS (SELECT t.doc_id, list(DISTINCT lx.term) AS terms, count(*) AS n FROM t JOIN lx ON lx.term = lower(t.word) GROUP BY t.doc_id)
+SELECT d.doc_id,
+       CASE WHEN text IS NULL THEN NULL WHEN h.n IS NULL THEN text ELSE
        array_to_string(list_transform(range(1, len(m) + 1),
-           lambda i: g[i] || CASE WHEN list_contains(lx.terms, lower(m[i])) THEN '[LOC]' ELSE m[i] END), '') || g[len(m) + 1] END AS masked,
-       coalesce(len(list_filter(m, lambda x: list_contains(lx.terms, lower(x)))), 0) AS n_loc
-FROM d, lx"""
+           lambda i: g[i] || CASE WHEN list_contains(h.terms, lower(m[i])) THEN '[LOC]' ELSE m[i] END), '') || g[len(m) + 1] END AS masked,
+       coalesce(h.n, 0) AS n_loc
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id"""
 
 
 @register("gazetteer_mask", "D5 S8 O2", "documents benchmark", _GAZ_SQL)
 def gazetteer_mask(spark, sf):
-    terms = LX.collect_small(gazetteer_terms(spark, sf), limit=200)
-    prof = default_profile(regex={}, gazetteer_cities=terms or [])
+    """Every place name of a lexicon of any size, by the word-run join, longest first (V10), masked (M1)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    steps = [s for s in (M.T.gazetteer_step(prof.gazetteer),) if s]
-    d = M.regex_chain_df(docs, "text", steps, "masked", "c")
-    return d.select("doc_id", "masked", F.coalesce(F.col("c.gazetteer"), F.lit(0)).alias("n_loc"))
+    found = LX.lexicon_spans(docs, "text", "doc_id", gazetteer_terms(spark, sf))
+    d = docs.join(found, "doc_id", "left").withColumn("spans", S.select_longest(F.col("spans")))
+    d, blk = S.with_blocks(d, "text")
+    masked = S.pinned(blk, S.replace_spans(F.col("text"), F.col("spans"), "[LOC]", blocks=F.col(blk)))
+    return d.select("doc_id", masked.alias("masked"), F.size("spans").cast("long").alias("n_loc"))
 
 
 _LEX_WORD = r"[A-Za-z]{4,}"
@@ -144,41 +144,32 @@ def policy_flags(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Phrase lexicon derived from the data: the 50 most frequent lower-case token bigrams of the
-# benchmark passages (ties by phrase).  Bounded by construction; matched by a checked broadcast join.
-PHRASE_K = 50
-
-
-def _bigrams(df, key):
-    d = TK.with_tokens(df, "text", "toks").withColumn("g", TK.ngrams("toks", 2))
-    return S.explode_rows(d, F.col("g"), [key], "phrase")
-
-
-_TOK_RE2 = "'[\\p{L}\\p{N}_]+([\\-.][\\p{L}\\p{N}_]+)*'"
+# Phrase lexicon derived from the data: all runs of two and three lower-case words of the benchmark
+# passages.
+PHRASES = ["[a-z]{4,} [a-z]{4,}", "[a-z]{3,} [a-z]{3,} [a-z]{3,}"]
 
 
 @register(
     "phrase_matches",
-    "D9 (token n-gram x phrase lexicon join)",
+    "D9 (word-run x phrase lexicon join, several lengths)",
     "documents benchmark",
-    f"""WITH bt AS (SELECT item_id, unnest(regexp_extract_all(text, {_TOK_RE2})) AS tok,
-                   generate_subscripts(regexp_extract_all(text, {_TOK_RE2}), 1) AS i FROM benchmark),
-bg AS (SELECT lower(tok) || ' ' || lower(lead(tok) OVER (PARTITION BY item_id ORDER BY i)) AS phrase FROM bt),
-ph AS (SELECT phrase FROM bg WHERE phrase IS NOT NULL GROUP BY phrase ORDER BY count(*) DESC, phrase LIMIT {PHRASE_K}),
-dt AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TOK_RE2})) AS tok,
-              generate_subscripts(regexp_extract_all(text, {_TOK_RE2}), 1) AS i FROM documents),
-dg AS (SELECT doc_id, lower(tok) || ' ' || lower(lead(tok) OVER (PARTITION BY doc_id ORDER BY i)) AS phrase FROM dt)
-SELECT d.doc_id, count(ph.phrase) AS n_phrases
-FROM documents d LEFT JOIN dg ON dg.doc_id = d.doc_id LEFT JOIN ph ON ph.phrase = dg.phrase GROUP BY d.doc_id""",
+    f"""WITH ph AS (SELECT unnest(regexp_extract_all(text, {sq(PHRASES[0])})) AS phrase FROM benchmark
+       UNION SELECT unnest(regexp_extract_all(text, {sq(PHRASES[1])})) FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(text, {sq(_W)}) AS m, string_split_regex(text, {sq(_W)}) AS g FROM documents),
+i AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM d),
+r AS (SELECT doc_id, lower(m[i] || g[i + 1] || m[i + 1]) AS phrase, length(m[i]) AS w FROM i WHERE i < len(m)
+      UNION ALL SELECT doc_id, lower(m[i] || g[i + 1] || m[i + 1] || g[i + 2] || m[i + 2]), length(m[i]) FROM i WHERE i < len(m) - 1)
+SELECT d.doc_id, count(ph.phrase) AS n_phrases, CAST(coalesce(sum(length(ph.phrase)), 0) AS BIGINT) AS n_chars
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN ph ON ph.phrase = r.phrase GROUP BY d.doc_id""",
 )
 def phrase_matches(spark, sf):
-    b = _bigrams(table(spark, sf, "benchmark").select("item_id", "text"), "item_id")
-    ph = b.groupBy("phrase").count().orderBy(F.desc("count"), "phrase").limit(PHRASE_K).select(F.col("phrase").alias("term"))
+    b = table(spark, sf, "benchmark")
+    lists = [b.select(F.explode(F.regexp_extract_all("text", F.lit(p), 0)).alias("term")) for p in PHRASES]
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    occ = _bigrams(docs, "doc_id").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("occ"))
-    hit = LX.tag_tokens(occ, "phrase", ph.withColumn("hit", F.lit(1)), how="inner")
-    per = hit.groupBy("doc_id").agg(F.sum("occ").alias("n_phrases"))
-    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n_phrases", F.lit(0)).alias("n_phrases"))
+    found = LX.lexicon_spans(docs, "text", "doc_id", LX.union_terms(*lists), label="PHRASE")
+    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_phrases"), F.coalesce(chars, F.lit(0)).alias("n_chars"))
 
 
 @register("mask_with_entities", "M8 (two-phase) F10p N1 N3 V10 M1 J7 D7-role", "documents")

@@ -17,7 +17,7 @@ from .registry import REGISTRY, register, table
 @register("mask_stream", "2.16 M8 D1 (readStream -> parquet sink, availableNow)", "documents",
           REGISTRY["mask_documents"].sql)
 def mask_stream(spark, sf):
-    full = table(spark, sf, "documents", spread=False).schema
+    full = table(spark, sf, "documents").schema
     s = MS.masked_stream(spark, sf, "documents.parquet", full, "text", default_profile())
     names = QM.STEP_NAMES + ["heur"]
     from ..operators.mask import count_total
@@ -38,7 +38,7 @@ FROM events GROUP BY 1, 2""",
 def event_windows(spark, sf):
     """Update-mode stream: each micro-batch appends its changed windows with the batch id; the
     final table keeps the latest version of each (window, key) - no driver-side memory sink."""
-    full = table(spark, sf, "events", spread=False).schema
+    full = table(spark, sf, "events").schema
     src = spark.readStream.schema(full).option("pathGlobFilter", "events.parquet").parquet(sf)
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = MS.windowed_counts(src, "ts", "event_type", "1 hour", "10 minutes")

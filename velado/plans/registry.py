@@ -34,22 +34,16 @@ def register(name: str, operators: str, tables: str, sql: str | None = None):
     return deco
 
 
-# Text tables whose per-row work is CPU-heavy, with the key that spreads them evenly.
+# Keys that spread the rows of the text tables evenly.
 SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+# Session setting: hash-repartition the text tables into so many partitions.  Unset (as on a cluster,
+# where the scan has splits enough) they are read as they are.  Bench and tests set it, since their
+# files are one row group, which is one task.
+SPREAD_CONF = "spark.velado.inputPartitions"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one driver table.
-
-    A text table scanned as fewer partitions than the cluster's parallelism (one large row group)
-    is hash-repartitioned on its key so per-row text work uses every core; with many input splits
-    (the large-scale case) the scan is left as it is.  Hash partitioning on the document key also
-    gives later per-document windows their distribution without another shuffle.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one driver table."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    keys = SPREAD_KEYS.get(name)
-    if spread and keys:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target * 2, *keys)
-    return df
+    parts = spark.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts), *SPREAD_KEYS[name]) if parts and name in SPREAD_KEYS else df

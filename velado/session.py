@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,8 +44,8 @@ def get_spark(master: str | None = None, app: str = "velado", shuffle_partitions
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Use the cluster's ``spark.checkpoint.dir`` when set; set our own only when it is unset.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...); a machine-local temporary folder
-    is used only as the fallback for local tests.
+    On a cluster the setting names a shared folder (HDFS/S3/...) and must be there; a machine-local
+    temporary folder is used only where driver and executors are one process.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -52,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+    if not (conf_dir or fallback or local):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = conf_dir or fallback or tempfile.mkdtemp(prefix="velado-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
