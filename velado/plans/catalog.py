@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from . import q_corpus, q_detect, q_eval, q_mask, q_ml, q_profile, q_spans, q_tokens  # noqa: F401
+from . import q_corpus, q_detect, q_eval, q_mask, q_ml, q_notes, q_profile, q_spans, q_tokens  # noqa: F401
 from . import q_stream  # noqa: F401  (after q_mask: reuses its oracle)
 from .registry import REGISTRY, TABLES  # noqa: F401
 

@@ -13,7 +13,18 @@ def sq(s: str) -> str:
 
 
 def re2(pattern: str) -> str:
-    return pattern.replace(r"\w", r"[\p{L}\p{N}_]")
+    """``\\w`` spelled out: a class of its own, or members of the class that it stands in."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two.startswith("\\"):
+            out.append(two if two != r"\w" else r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]")
+            i += 2
+            continue
+        inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+        out.append(pattern[i])
+        i += 1
+    return "".join(out)
 
 
 def ci(pattern: str) -> str:
