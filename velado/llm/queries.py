@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velado.llm import bpe, hostrules, jaccard, langid, packing, quality, search, sharding, substring, toxicity
+from velado.llm import bpe, hostrules, jaccard, langid, oracles, packing, quality, search, sharding, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrules.host_rules(_docs(spark, sf_dir))
+    return hostrules.host_rules(_docs(spark, sf_dir)).drop("host_rate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring": oracles.OP1, "op3_search": oracles.OP3, "op9_jaccard": oracles.OP9, "op10_host_rules": oracles.OP10}
