@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from velado.llm.gru import Adam, glorot, gru_backward, gru_forward, gru_step
 from velado.llm.learn import fold
-from velado.llm.util import text_rows
-from velado.llm.words import Tile, spans_hash, tile, tiles
+from velado.llm.util import small_batches, text_rows
+from velado.llm.words import Tile, byte_values, spans_hash, tile, tiles
 
 PIECE, HIDDEN = 24, 20
 #: Documents of each language to train on, and words taken from all of them for each language.
@@ -113,8 +113,8 @@ class Remembered:
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
 
     def __call__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        raw = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)[data]
-        keys, first, inverse = np.unique(spans_hash(raw, start, start + length), return_index=True, return_inverse=True)
+        hashes = spans_hash(data, start, start + length, byte_values(5))
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, model: ByteGru | None) -> DataFrame:
             columns = [t.batch.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score.astype(float))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from velado.llm.gru import Adam, glorot, gru_backward, gru_forward, gru_step, sigmoid
 from velado.llm.learn import fold, sample_labels
-from velado.llm.util import text_rows
-from velado.llm.words import LOWER, Tile, mix, spans_hash, tile, tiles
+from velado.llm.util import small_batches, text_rows
+from velado.llm.words import LOWER, Tile, byte_values, spans_hash, tile, tiles
 
 WINDOW, STRIDE, HIDDEN = 48, 32, 12
 GRAMS = (3, 4, 5)
@@ -39,11 +39,11 @@ def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     source = np.repeat(t.start[first], size) + at - 1
     chars = low[np.clip(source, 0, max(len(low) - 1, 0))].copy()
     chars[off[:-1]], chars[off[1:] - 1] = 1, 2
-    values, owners, grams = mix(chars.astype(np.uint64) + np.uint64(77)), [], []
+    owners, grams = [], []
     for g in GRAMS:
         begin = np.flatnonzero(at + g <= np.repeat(size, size))
         owners.append(np.repeat(np.arange(len(first), dtype=np.int32), size)[begin])
-        grams.append((spans_hash(values, begin, begin + g) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
+        grams.append((spans_hash(chars, begin, begin + g, byte_values(4)) % np.uint64(GRAM_BUCKETS)).astype(np.int32))
     owner, gram = np.concatenate(owners), np.concatenate(grams)
     order = np.argsort(owner, kind="stable")
     n = np.bincount(owner, minlength=len(first))
@@ -232,6 +232,7 @@ def score_rows(docs: DataFrame, model: AttentionGru | None) -> DataFrame:
             score = model.score(t) if model else np.zeros(len(t))
             yield pa.RecordBatch.from_arrays([t.batch.column("row"), pa.array(score.astype(float))], ["row", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 

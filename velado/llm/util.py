@@ -26,8 +26,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000) -> None:
+    """Let Arrow batches hold at most ``size`` bytes and ``rows`` rows, so a task holds few texts at a time."""
+    for key, bound in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        spark.conf.set(key, str(bound))
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` and the named columns; other columns never meet the operators' own names."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
 
 

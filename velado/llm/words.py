@@ -13,7 +13,8 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 
-TILE_BYTES = 4 << 20
+TILE_BYTES = 2 << 20
+HASH_BLOCK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 SEP = np.zeros(256, bool)
@@ -31,8 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-@lru_cache(4)
-def _byte_values(seed: int) -> np.ndarray:
+@lru_cache(8)
+def byte_values(seed: int) -> np.ndarray:
+    """A random 64-bit number for each byte."""
     return np.random.default_rng(seed).integers(1, 2**64, 256, dtype=_U)
 
 
@@ -54,12 +56,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each span, the same wherever the span stands."""
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
-    inverse = _powers(pow(_BASE, -1, 1 << 64), len(values) + 1)
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of ``values[start:end]`` (of ``table[values]`` if given) for each span, the same wherever it stands.
+
+    Goes through the spans in blocks of nearby ones, so the working arrays stay small.
+    """
+    if len(start) > 1 and (start[1:] < start[:-1]).any():
+        order = np.argsort(start, kind="stable")
+        out = np.empty(len(start), _U)
+        out[order] = spans_hash(values, start[order], end[order], table)
+        return out
+    out, i = np.empty(len(start), _U), 0
+    while i < len(start):
+        low = int(start[i])
+        j = int(np.searchsorted(start, low + HASH_BLOCK))
+        a, b = start[i:j] - low, end[i:j] - low
+        part = values[low : low + int(b.max())]
+        part = part if table is None else table[part]
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(part * _powers(_BASE, len(part)), out=sums[1:])
+        inverse = _powers(pow(_BASE, -1, 1 << 64), len(part) + 1)
+        out[i:j] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 @dataclass
@@ -81,7 +100,7 @@ class Tile:
         return np.diff(self.first)
 
     def word_hash(self, seed: int = 1, data: np.ndarray | None = None) -> np.ndarray:
-        return spans_hash(_byte_values(seed)[self.data if data is None else data], self.start, self.end)
+        return spans_hash(self.data if data is None else data, self.start, self.end, byte_values(seed))
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of k words that lie in one document, and the windows' hashes."""
