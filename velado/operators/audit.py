@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
+
 
 def audit_table(masked: DataFrame, text_cols, text_step_names, struct_count_cols, all_cols) -> DataFrame:
     """One aggregate over the masked table's count columns (one pass, partial aggregation).
@@ -36,6 +38,12 @@ def audit_table(masked: DataFrame, text_cols, text_step_names, struct_count_cols
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def per_entity(masked: DataFrame, counts: str) -> DataFrame:
+    """``(scope, key, n)`` rows ``per_ent``: how often each entity label was masked in the whole table."""
+    one = S.explode_rows(masked, F.col(f"{counts}.ents"), [], "key")
+    return one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.lit("per_ent").alias("scope"), "key", "n")
+
+
 def write_audit(audit: DataFrame, profile_dict: dict, out_dir: str, run_id: str) -> None:
     """Audit rows and the normalised profile (sizes only, never sample values) under ``run_id``."""
     import json

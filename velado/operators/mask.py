@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import text as T
 from ..functions.structured import mask_struct_value
 from . import detect as D
+from . import policy as PO
+from . import tokens as TK
 
 _n = [0]
 
@@ -135,6 +138,47 @@ def mask_text(
     return df.drop(*[d for d in drop if d != out])
 
 
+def entity_tags(text: str, entities: str, profile, protected: str, lexicon_hits: str | None, blocks: str):
+    """The entity phase (M8, F1p, N1, N3, V10, M1): tagger spans to the closed segments that replace them.
+
+    Labels outside the profile's ``ner_labels`` go, then spans that touch protected medication or a
+    token of the drug lexicon; of what overlaps the longest stays.  A span's label becomes its tag, or
+    one block character for each character (``redact``).
+    """
+    kept = PO.label_filter(F.col(entities), profile.ner_labels)
+    kept = S.pinned(protected, PO.veto_protected(kept, F.col(protected)))
+    if lexicon_hits:
+        kept = S.pinned(lexicon_hits, PO.veto_lexicon(kept, F.col(lexicon_hits)))
+    pairs = [x for k, v in profile.tag_map.items() for x in (F.lit(k), F.lit(v))]
+    tags = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+
+    def closed(e):
+        tag = F.coalesce(F.element_at(tags, e["label"]), F.concat(F.lit("["), e["label"], F.lit("]")))
+        if profile.masking_strategy == "redact":
+            tag = F.repeat(F.lit(P.REDACT_CHAR), e["end"] - e["start"])
+        return S.span(e["start"], e["end"], tag, e["label"])
+
+    return S.pinned(blocks, F.transform(S.select_longest(kept), closed))
+
+
+def mask_entities(df: DataFrame, text: str, entities: str, profile, out: str = "masked", counts: str = "c") -> DataFrame:
+    """Two-phase masking of one column (M8): the spans of a tagger in ``entities``, then the regex steps.
+
+    ``counts`` has one number for each step, and ``ents``: the labels that were masked.
+    """
+    prot, tags, blk = _tmp("prot"), _tmp("tags"), _tmp("blk")
+    df = D.with_drug_spans(df, text, prot, profile.drug_lexicon, wide=profile.wide_drug_rules)
+    hits = None
+    if profile.drug_lexicon:
+        toks, hits = _tmp("toks"), _tmp("hits")
+        df = TK.with_tokens(df, text, toks).withColumn(hits, PO.lexicon_hits(F.col(toks), profile.drug_lexicon)).drop(toks)
+    df, blk = S.with_blocks(df, text, blk)
+    df = df.withColumn(tags, entity_tags(text, entities, profile, prot, hits, blk)).drop(prot, blk, *([hits] if hits else []))
+    df = mask_text(df, text, profile, out=out, counts=counts, protect=True, entities=tags)
+    ents = S.pinned(tags, F.transform(tags, lambda e: e["src"]))
+    return df.withColumn(counts, F.struct(F.col(f"{counts}.*"), ents.alias("ents"))).drop(tags)
+
+
 def count_total(counts_col: str, names) -> F.Column:
     """Sum of detections in a counts struct (``per_col`` contribution); ``protected`` excluded."""
     terms = [F.col(f"{counts_col}.{n}") for n in names if n != "protected"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import structured as ST
+from ..operators import audit as A
 from ..operators import detect as D
 from ..operators import mask as M
 from ..operators import policy as PO
@@ -164,6 +165,59 @@ def protected_mask_notes(spark, sf):
     return d.select("o_orderkey", "masked")
 
 
+# What a tagger says about a note: a place after "en" or "a", a person, a drug taken for an organisation, and a label
+# that the profile does not list.
+PREDICTED = [("LOC", r"\b(?:en|a)\s+(" + "|".join(TOWNS) + ")", 1), ("PER", "sola", 0), ("ORG", r"Recibe\s+(\w+)", 1), ("OTHER", "Fin", 0)]
+NER_LABELS = ["PER", "LOC", "ORG"]
+
+
+def predicted_notes(spark, sf):
+    dets = [dict(out=f"p{i}", pattern=p, label=lab, src="tagger", group=g) for i, (lab, p, g) in enumerate(PREDICTED)]
+    d = S.with_regex_spans_multi(notes(spark, sf), "text", dets)
+    return d.withColumn("entities", F.concat(*[d["out"] for d in dets])).drop(*[d["out"] for d in dets])
+
+
+def _ner_sql(place, person):
+    """The protected mask, but for the residence sentence: its place and person are entities."""
+    base = _protected_mask_sql()
+    k = next(i for i, (_, text) in enumerate(SENTENCES) if "Vive en" in text)
+    when, text = SENTENCES[k]
+    mask = text
+    for pat, tag in [(p, t) for _, p, t in _STEPS]:
+        mask = f"regexp_replace({mask}, {pat}, {sq(tag)}, 'g')"
+    return base.replace(f"CASE WHEN {when} THEN {mask} ELSE '' END", f"CASE WHEN {when} THEN concat('Vive en ', {place}, ' ', {person}, '. ') ELSE '' END")
+
+
+_TOWN = _pick(TOWNS, "c_custkey")
+
+
+def _masked_entities(spark, sf, strategy):
+    prof = default_profile(regex=dict(P.PROFILE_REGEX_DEFAULTS), drug_lexicon_extra=P.BUILTIN_DRUGS, ner_labels=NER_LABELS,
+                           masking={"strategy": strategy, "tag_map": dict(P.DEFAULT_TAG_MAP)})
+    return M.mask_entities(predicted_notes(spark, sf), "text", "entities", prof)
+
+
+@register("ner_mask_notes", "M8 D7 L6-role F1p N1 N3 V10 M1", "orders customer", _ner_sql("'[LOC]'", "'[NOMBRE]'"))
+def ner_mask_notes(spark, sf):
+    return _masked_entities(spark, sf, "tag").select("o_orderkey", "masked")
+
+
+@register("ner_redact_notes", "M8 M1 (redact)", "orders customer", _ner_sql(f"repeat('█', length({_TOWN}))", "'████'"))
+def ner_redact_notes(spark, sf):
+    return _masked_entities(spark, sf, "redact").select("o_orderkey", "masked")
+
+
+@register(
+    "ner_audit_notes",
+    "A1 (per_ent)",
+    "orders customer",
+    f"""SELECT 'per_ent' AS scope, label AS key, count(*) AS n FROM (SELECT unnest(['LOC', 'PER']) AS label FROM {NOTES_SQL}
+WHERE {next(when for when, text in SENTENCES if 'Vive en' in text)}) GROUP BY label""",
+)
+def ner_audit_notes(spark, sf):
+    return A.per_entity(_masked_entities(spark, sf, "tag"), "c")
+
+
 _RENDERED = [("slash", _LONG, True), ("short", _SHORT, True), ("iso", f"concat(CAST({_YEAR} AS STRING), '-', {_pad(_MONTH, 2)}, '-', {_pad(_DAY, 2)})", True),
              ("iso_time", f"concat(CAST({_YEAR} AS STRING), '-', {_pad(_MONTH, 2)}, '-', {_pad(_DAY, 2)}, 'T10:20:30')", True),
              ("year_first", f"concat(CAST({_YEAR} AS STRING), '/', {_pad(_MONTH, 2)}, '/', {_pad(_DAY, 2)})", True),
