@@ -25,3 +25,12 @@ def test_medication_is_protected_and_the_rest_masked(spark):
     for r in rows:
         assert all(x in r["masked"] for x in r["surfaces"].split("|"))
         assert "@" not in r["masked"] and "DNI 0" not in r["masked"]
+
+
+def test_span_classifier_vetoes_drugs_only(spark):
+    from velado.plans.q_ml import span_classifier_veto
+
+    got = {r["entity_label"]: (r["n_entities"], r["n_kept"]) for r in span_classifier_veto(spark, SF).collect()}
+    assert set(got) == {"LOC", "PER", "ORG", "OTHER"}
+    assert got["ORG"][1] < 0.1 * got["ORG"][0]  # drugs taken for organisations
+    assert got["PER"][1] > 0.9 * got["PER"][0]
