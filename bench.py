@@ -34,6 +34,16 @@ HEADLINE = [
     "first_by_label",
     "eval_per_label",
     "chunks",
+    "mask_notes",
+    "protected_mask_notes",
+    "ner_mask_notes",
+    "phrase_matches",
+    "rejects_no_ann",
+    "corpus_report",
+    "eval_iou",
+    "span_align",
+    "balanced_sample",
+    "date_years",
 ]
 
 

@@ -92,11 +92,11 @@ def lexicon_tokens(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     toks = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TK.TOKEN_RE), F.lit(0))
     rows = S.explode_rows(docs.select("doc_id", toks.alias("toks")), F.col("toks"), ["doc_id"], "tok")
-    # Pre-aggregate occurrences per (doc, token) map-side: a hot token collapses to one row per
-    # document before the join, whatever the join strategy.
-    occ = rows.groupBy("doc_id", F.lower("tok").alias("tok")).agg(F.count(F.lit(1)).alias("occ"))
-    hit = LX.tag_tokens(occ, "tok", lex.withColumn("hit", F.col("term")), how="inner")
-    per = hit.groupBy("doc_id").agg(F.sum("occ").alias("n_hits"), F.countDistinct("hit").alias("n_terms"))
+    # The lexicon (broadcast if it counts as small) drops most tokens before anything is shuffled; then one row per
+    # (document, term) and one per document, which share the shuffle on the document.
+    hit = LX.tag_tokens(rows, "tok", lex.withColumn("hit", F.col("term")), how="inner").repartition("doc_id")
+    occ = hit.groupBy("doc_id", "hit").agg(F.count(F.lit(1)).alias("occ"))
+    per = occ.groupBy("doc_id").agg(F.sum("occ").alias("n_hits"), F.count(F.lit(1)).alias("n_terms"))
     return docs.select("doc_id").join(per, "doc_id", "left").select(
         "doc_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 

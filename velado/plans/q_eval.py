@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..operators import evaluate as EV
-from ..operators import spanops as SO
 from . import q_spans as QS
 from .registry import register, table
 
@@ -116,9 +115,7 @@ def eval_per_label(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     d = S.with_detector_spans(docs, "text", [QS._java(x) for x in GOLD_SET], "g")
     d = S.with_detector_spans(d, "text", [QS._java(x) for x in PRED_SET], "p")
-    g = SO.explode_spans(d.select("doc_id", "g"), "g", ["doc_id"])
-    p = SO.explode_spans(d.select("doc_id", "p"), "p", ["doc_id"])
-    return EV.per_label(g, p)
+    return EV.per_label(d, "g", "p")
 
 
 @register(
