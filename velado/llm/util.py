@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a join side that may be broadcast after they were counted (16 bytes each: 32 MB at most).
-BROADCAST_ROWS = 2_000_000
+#: Rows of a join side that may be broadcast after they were counted (some 40 bytes each: 40 MB at most).
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
