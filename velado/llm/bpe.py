@@ -34,7 +34,7 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A cut falls where the rolling hash is 0 modulo this: the mean chunk in bytes.
 MEAN_CHUNK = 512
 ROLL = 8
-MEMORY_BYTES = 128 << 20
+MEMORY_BYTES = 64 << 20
 
 
 def default_path() -> str:
@@ -52,12 +52,15 @@ class Bounded(dict):
 
     def __missing__(self, key):
         if self.held > self.limit:
-            self.clear()
-            self.held = 0
+            self.forget()
         self[key] = value = self.make(key)
         self.held += self.cost(key, value)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class Codec:
     """Encoder and decoder of one byte-level BPE file; exact for texts between sync points."""
@@ -78,7 +81,7 @@ class Codec:
         self.bytes.update({x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])})
         self.bytes = [self.bytes[i] for i in range(len(self.bytes))]
         self.csv = [b"%d," % i for i in range(len(self.bytes))]
-        self.units = Bounded(self._unit, lambda k, v: 180 + 2 * len(k))
+        self.units = Bounded(self._unit, lambda k, v: 240 + 3 * len(k))
         # Token ids are merge ranks in such files; the same merges then run without a pre-tokenizer cache.
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=_pattern(), mergeable_ranks=ranks, special_tokens={})
 
@@ -152,7 +155,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.codec = codec(path)
-        self.chunks = Bounded(lambda t: Chunk(t.decode(), self.codec), lambda k, v: 400 + 6 * len(k))
+        self.chunks = Bounded(lambda t: Chunk(t.decode(), self.codec), lambda k, v: 600 + 6 * len(k), MEMORY_BYTES // 2)
         self.joins = Bounded(self._plain, lambda k, v: 300 + 6 * len(k), MEMORY_BYTES // 4)
 
     def _plain(self, text: str) -> tuple[int, bytes, bytes]:
@@ -236,6 +239,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*columns, *more], names[: 4 + len(more)])
+        encoder.codec.units.forget()  # the worker lives on
 
     rows = text_rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()

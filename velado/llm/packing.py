@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        codec(path).units.forget()  # the worker lives on
 
     rows = text_rows(docs).withColumn("key", row_key())
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ GRAMS = (3, 4, 5)
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 16, 3, 8
 PARTS, HELD, THRESHOLD = 3, 1, 0.7
 #: Labelled documents of each class to train on.
-PER_CLASS = 1000
+PER_CLASS = 800
 
 
 def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
