@@ -116,6 +116,12 @@ def test_minimax_cuts_against_dynamic_programming(seed):
     assert all(sum(sizes[a:b]) <= capacity for a, b in zip(starts, [*starts[1:], len(sizes)]))
 
 
+def test_few_small_pieces_share_sequences():
+    h = np.zeros(129, np.int64)
+    h[3:33] = 1  # thirty lengths once each, 525 ids
+    assert sum(n for _, n in packing.pack_plan(h, 128)) == 5
+
+
 def test_sharding_rows(make):
     rows = EDGE + [(100 + i, t, "en", "h") for i, t in enumerate(noise(6, 400, 30))] + [(900 + i, "copied text", "en", "h") for i in range(80)]
     got = sharding.shard_by_bytes(make(rows)).toPandas()

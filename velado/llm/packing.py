@@ -90,19 +90,16 @@ def best_fit(left: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...],
             top -= 1
         if top <= 0:
             return plan
-        pattern, room, counts = [], size, {}
-        while room > 0:
-            fits = np.flatnonzero(left[1 : min(room, top) + 1])
-            fits = fits[::-1] + 1
-            pick = next((int(x) for x in fits[:8] if left[x] > counts.get(int(x), 0)), 0) if len(fits) else 0
-            if not pick:
-                break
+        pattern, room = [], size
+        while room > 0 and len(fits := np.flatnonzero(left[1 : min(room, top) + 1])):
+            pick = int(fits[-1]) + 1
+            left[pick] -= 1
             pattern.append(pick)
-            counts[pick] = counts.get(pick, 0) + 1
             room -= pick
-        repeat = min(int(left[x]) // k for x, k in counts.items())
-        for x, k in counts.items():
-            left[x] -= k * repeat
+        more = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+        for x in pattern:
+            left[x] -= more
+        repeat = 1 + more
         plan.append((tuple(pattern), repeat))
 
 
