@@ -91,6 +91,20 @@ def test_toxicity_held_out(spark, make):
     assert toxicity.detect(make([]), table).count() == 0
 
 
+def test_bias_counts_the_windows_trained_on(spark, make, monkeypatch):
+    """The clean windows that training adds count in the share that the bias is moved from."""
+    rng, seen, ends = random.Random(8), [], []
+    step, close = toxicity.AttentionGru.backprop, toxicity.AttentionGru.to_rate
+    monkeypatch.setattr(toxicity.AttentionGru, "backprop", lambda self, t, start, length, label: (seen.extend(label), step(self, t, start, length, label))[1])
+    monkeypatch.setattr(toxicity.AttentionGru, "to_rate", lambda self, share, rate: (ends.append((share, rate, self.w["bias"][0])), close(self, share, rate))[1])
+    docs = [(i, prose(rng, "en", 120, ["vilgrub"] if i % 2 else ()), "en", "h") for i in range(120)]
+    table = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(make(docs), table)
+    (share, rate, bias), odds = ends[0], lambda p: np.log(p / (1 - p))
+    assert share == pytest.approx(np.mean(seen), abs=1e-6) and share < 0.3 and abs(rate - 0.5) < 0.1
+    assert model.w["bias"][0] - bias == pytest.approx(odds(rate) - odds(np.mean(seen)), abs=1e-3)
+
+
 def test_windows_overlap_and_cover():
     import pyarrow as pa
 

@@ -166,12 +166,13 @@ class AttentionGru:
             odds = np.log((toxic + 0.3) / (total[1] + 1)) - np.log((clean + 0.3) / (total[0] + 1))
             self.w[name][:, 0] = np.clip(odds, -2, 6) * (clean + toxic >= 4)
 
-    def train(self, t: Tile, label: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 64, seed: int = 9) -> None:
+    def train(self, t: Tile, label: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 64, seed: int = 9) -> float | None:
+        """Learn the documents' labels. Returns the toxic share of the windows trained on (None without windows)."""
         word, grams, owner, n, number = distinct_words(t)
         have = {"word": word, "grams": grams, "n": n, "number": number, "blind": True}
         start, length, doc = windows(t)
         if not len(start):
-            return
+            return None
         self.start_from_log_odds(have, t.first, label)
         rng, adam = np.random.default_rng(seed), Adam(self.w, 0.01)
         for turn in range(rounds):
@@ -194,6 +195,13 @@ class AttentionGru:
                     adam.step(self.backprop(have, start[part], length[part], label[doc[part]].astype(np.float32)))
                 have["x"] = self.inputs(word, grams, owner, n)
             adam.rate *= 0.5
+        return float(label[doc[rows]].mean())
+
+    def to_rate(self, share: float | None, rate: float) -> None:
+        """Move the bias from the toxic share of the windows trained on to the rate of toxic documents."""
+        if share is not None and 0 < share < 1:
+            rate = min(max(rate, 1e-3), 0.999)
+            self.w["bias"] += np.float32(np.log(rate / (1 - rate)) - np.log(share / (1 - share)))
 
     def score(self, t: Tile) -> np.ndarray:
         """Score of each document: its highest window (0 for a text without words)."""
@@ -216,10 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Atten
     if table.label.nunique() < 2:
         return None
     model = AttentionGru.new()
-    model.train(tile(pa.RecordBatch.from_pydict({"text": pa.array(table.text.tolist(), pa.string())})), table.label.to_numpy())
+    share = model.train(tile(pa.RecordBatch.from_pydict({"text": pa.array(table.text.tolist(), pa.string())})), table.label.to_numpy())
     rate = labels.where(fold(PARTS) != HELD).agg(F.avg("toxic")).first()[0]
-    rate, balance = min(max(float(rate), 1e-3), 0.999), table.label.mean()
-    model.w["bias"] += np.float32(np.log(rate / (1 - rate)) - np.log(balance / (1 - balance)))  # the sample's classes are even
+    model.to_rate(share, float(rate))
     return model
 
 
