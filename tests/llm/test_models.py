@@ -105,6 +105,16 @@ def test_bias_counts_the_windows_trained_on(spark, make, monkeypatch):
     assert model.w["bias"][0] - bias == pytest.approx(odds(rate) - odds(np.mean(seen)), abs=1e-3)
 
 
+def test_toxicity_driver_gets_windows_only(spark, make, monkeypatch):
+    """However long the sampled texts are, the driver learns from three windows a document."""
+    rng, seen, cut = random.Random(9), [], toxicity.tile
+    monkeypatch.setattr(toxicity, "tile", lambda batch: (seen.append(cut(batch)), seen[-1])[1])
+    docs = [(i, prose(rng, "en", 3000, ["vilgrub"] * 40 if i % 2 else ()), "en", "h") for i in range(30)]
+    model = toxicity.fit(make(docs), spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int"))
+    assert model is not None and len(seen) == toxicity.ROUNDS and toxicity.PER_CLASS == 1600
+    assert all(t.n_words.max() <= toxicity.WINDOW and len(t) <= 3 * len(docs) for t in seen)
+
+
 def test_windows_overlap_and_cover():
     import pyarrow as pa
 

@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from velado.llm.gru import Adam, glorot, gru_backward, gru_forward, gru_step, sigmoid
 from velado.llm.learn import fold, sample_labels
-from velado.llm.util import small_batches, text_rows
-from velado.llm.words import LOWER, Tile, byte_values, spans_hash, tile, tiles
+from velado.llm.util import small_batches, stored, text_rows
+from velado.llm.words import LOWER, Tile, byte_values, mix, spans_hash, tile, tiles
 
 WINDOW, STRIDE, HIDDEN = 48, 32, 12
 GRAMS = (3, 4, 5)
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 16, 3, 8
-PARTS, HELD, THRESHOLD = 3, 1, 0.7
+PARTS, HELD, THRESHOLD, ROUNDS = 3, 1, 0.7, 3
 #: Labelled documents of each class to train on.
-PER_CLASS = 800
+PER_CLASS = 1600
 
 
 def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,63 +143,49 @@ class AttentionGru:
         np.add.at(g["gram"], t["grams"][at], np.repeat(dx[:, WORD_DIM:] / t["n"][used][:, None], t["n"][used], axis=0))
         return g
 
-    def start_from_log_odds(self, t: dict, first: np.ndarray, label: np.ndarray, block: int = 64) -> None:
-        """Set the first number of each word and n-gram vector to its smoothed log odds of a toxic document.
+    def start_from_log_odds(self, seen: np.ndarray, total: np.ndarray) -> None:
+        """Set the first number of each word and n-gram vector to its smoothed log odds of a toxic document, from
+        ``document_counts`` and the number of clean and toxic documents."""
+        clean, toxic = seen
+        odds = np.log((toxic + 0.3) / (total[1] + 1)) - np.log((clean + 0.3) / (total[0] + 1))
+        odds = np.clip(odds, -2, 6) * (clean + toxic >= 4)
+        self.w["word"][:, 0], self.w["gram"][:, 0] = odds[:WORD_BUCKETS], odds[WORD_BUCKETS:]
 
-        Document d has the words ``first[d]:first[d + 1]``; a few documents at a time are counted.
-        """
-        begin = np.concatenate([[0], np.cumsum(t["n"])])
-        seen = {"word": np.zeros((2, WORD_BUCKETS)), "gram": np.zeros((2, GRAM_BUCKETS))}
-        for d in range(0, len(label), block):
-            last = min(d + block, len(label))
-            doc = np.repeat(np.arange(last - d), np.diff(first[d : last + 1]))
-            pair = np.unique(doc * len(t["n"]) + t["number"][first[d] : first[last]])
-            doc, own = pair // len(t["n"]), pair % len(t["n"])
-            n = t["n"][own]
-            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for name, buckets, owner, of in (("word", WORD_BUCKETS, doc, t["word"][own]), ("gram", GRAM_BUCKETS, np.repeat(doc, n), t["grams"][at])):
-                once = np.unique(owner * buckets + of)
-                for y in (0, 1):
-                    seen[name][y] += np.bincount((once % buckets)[label[d + once // buckets] == y], minlength=buckets)
-        total = [max(int((label == y).sum()), 1) for y in (0, 1)]
-        for name, (clean, toxic) in seen.items():
-            odds = np.log((toxic + 0.3) / (total[1] + 1)) - np.log((clean + 0.3) / (total[0] + 1))
-            self.w[name][:, 0] = np.clip(odds, -2, 6) * (clean + toxic >= 4)
-
-    def train(self, t: Tile, label: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 64, seed: int = 9) -> float | None:
-        """Learn the documents' labels. Returns the toxic share of the windows trained on (None without windows)."""
+    def best_and_clean(self, t: Tile, label: np.ndarray, key: np.ndarray, turn: int, most: int) -> tuple[np.ndarray, ...]:
+        """Windows of a tile to learn from: the highest of each document, and as another window of the clean documents,
+        which are clean throughout, at most ``most`` in the order of a hash. First word, length, document, place in
+        the order (the highest windows come first, with a flag)."""
+        start, length, doc = windows(t)
+        word, grams, owner, n, number = distinct_words(t)
+        x = self.inputs(word, grams, owner, n)
+        if turn:
+            rank = self.logits(x, number, start, length)
+        else:
+            # A window's first rank: its two strongest words, by the log odds they start from.
+            own = x[:, 0] + x[:, WORD_DIM] * 2
+            rank = np.array([np.sort(own[number[a : a + m]])[-2:].sum() for a, m in zip(start, length)])
+        best = np.lexsort((-rank, doc))
+        best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
+        order = mix(mix(key.astype(np.int64).view(np.uint64))[doc] + (start - t.first[doc]).astype(np.uint64) * np.uint64(2 * ROUNDS) + np.uint64(turn)).view(np.int64)
+        other = np.flatnonzero(label[doc] == 0)
+        other = other[np.argsort(order[other], kind="stable")][:most]
+        rows = np.concatenate([best, other])
+        return start[rows], length[rows], doc[rows], order[rows], np.arange(len(rows)) >= len(best)
+
+    def learn(self, t: Tile, label: np.ndarray, adam: Adam, rng: np.random.Generator, epochs: int = 2, batch: int = 64) -> None:
+        """Backpropagation over the tile's documents, each of one window."""
         word, grams, owner, n, number = distinct_words(t)
         have = {"word": word, "grams": grams, "n": n, "number": number, "blind": True}
-        start, length, doc = windows(t)
-        if not len(start):
-            return None
-        self.start_from_log_odds(have, t.first, label)
-        rng, adam = np.random.default_rng(seed), Adam(self.w, 0.01)
-        for turn in range(rounds):
+        have["x"] = self.inputs(word, grams, owner, n)
+        for _ in range(epochs):
+            order = rng.permutation(len(t))
+            for part in (order[i : i + batch] for i in range(0, len(order), batch)):
+                adam.step(self.backprop(have, t.first[part], t.n_words[part], label[part].astype(np.float32)))
             have["x"] = self.inputs(word, grams, owner, n)
-            if turn:
-                rank = self.logits(have["x"], number, start, length)
-            else:
-                # A window's first rank: its two strongest words, by the log odds they start from.
-                own = have["x"][:, 0] + have["x"][:, WORD_DIM] * 2
-                rank = np.array([np.sort(own[number[a : a + m]])[-2:].sum() for a, m in zip(start, length)])
-            best = np.lexsort((-rank, doc))
-            best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
-            # Clean documents are clean throughout: another window of theirs as well.
-            other = rng.permutation(len(doc))
-            other = other[label[doc[other]] == 0][: 2 * len(best)]
-            rows = np.concatenate([best, other])
-            for _ in range(epochs):
-                order = rng.permutation(rows)
-                for part in (order[i : i + batch] for i in range(0, len(order), batch)):
-                    adam.step(self.backprop(have, start[part], length[part], label[doc[part]].astype(np.float32)))
-                have["x"] = self.inputs(word, grams, owner, n)
-            adam.rate *= 0.5
-        return float(label[doc[rows]].mean())
-
-    def to_rate(self, share: float | None, rate: float) -> None:
+
+    def to_rate(self, share: float, rate: float) -> None:
         """Move the bias from the toxic share of the windows trained on to the rate of toxic documents."""
-        if share is not None and 0 < share < 1:
+        if 0 < share < 1:
             rate = min(max(rate, 1e-3), 0.999)
             self.w["bias"] += np.float32(np.log(rate / (1 - rate)) - np.log(share / (1 - share)))
 
@@ -213,20 +199,90 @@ class AttentionGru:
         return np.where(np.isinf(out), 0.0, sigmoid(out))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionGru | None:
+def document_counts(t: Tile, label: np.ndarray, block: int = 64) -> np.ndarray:
+    """Clean and toxic documents of the tile that have each word bucket, then each n-gram bucket; a few documents at a
+    time are counted."""
+    word, grams, _, count, number = distinct_words(t)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    seen = np.zeros((2, WORD_BUCKETS + GRAM_BUCKETS), np.int64)
+    for d in range(0, len(label), block):
+        last = min(d + block, len(label))
+        doc = np.repeat(np.arange(last - d), np.diff(t.first[d : last + 1]))
+        pair = np.unique(doc * len(count) + number[t.first[d] : t.first[last]])
+        doc, own = pair // max(len(count), 1), pair % max(len(count), 1)
+        n = count[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for low, buckets, owner, of in ((0, WORD_BUCKETS, doc, word[own]), (WORD_BUCKETS, GRAM_BUCKETS, np.repeat(doc, n), grams[at])):
+            once = np.unique(owner * buckets + of)
+            for y in (0, 1):
+                seen[y, low : low + buckets] += np.bincount((once % buckets)[label[d + once // buckets] == y], minlength=buckets)
+    return seen
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tile, np.ndarray]]:
+    """Tiles that have words, and their documents' labels."""
+    for t in tiles(batches):
+        if t.n_words.any():
+            yield t, t.batch.column("label").to_numpy()
+
+
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``document_counts`` of all rows, and the clean and toxic rows that have words. The driver gets one row a bucket."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, label in _labelled(batches):
+            seen = np.concatenate([document_counts(t, label), [[(t.n_words[label == y] > 0).sum()] for y in (0, 1)]], 1)
+            at = np.flatnonzero(seen.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["at", "clean", "toxic"])
+
+    got = rows.mapInArrow(work, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen = np.zeros((2, WORD_BUCKETS + GRAM_BUCKETS + 1), np.int64)
+    seen[:, got["at"].to_numpy()] = [got["clean"].to_numpy(), got["toxic"].to_numpy()]
+    return seen[:, :-1], seen[:, -1]
+
+
+def _chosen(rows: DataFrame, model: AttentionGru, turn: int, n: int) -> tuple[Tile, np.ndarray]:
+    """The windows to learn from in this round, as a tile, and their labels: the highest window of each of the ``n``
+    documents, and 2 x ``n`` windows of the clean ones. Only these come to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, label in _labelled(batches):
+            start, length, doc, order, other = model.best_and_clean(t, label, t.batch.column("key").to_numpy(), turn, 2 * n)
+            texts = [b" ".join(t.data[t.start[a] : t.end[a + m - 1]].tobytes().split()) for a, m in zip(start, length)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(other), pa.array(order), pa.array(label[doc].astype(np.int32)), pa.array(texts, pa.binary())], ["other", "place", "label", "words"]
+            )
+
+    found = rows.mapInArrow(work, "other boolean, place long, label int, words binary")
+    got = found.orderBy("other", "place", "words").limit(3 * n).toArrow()
+    texts = got["words"].combine_chunks().cast(pa.large_binary()).view(pa.large_string())
+    return tile(pa.RecordBatch.from_arrays([texts], ["text"])), got["label"].to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 9) -> AttentionGru | None:
     """Train on at most ``per_class`` labelled documents of each class outside the held-out fold, by whole texts.
 
-    None if either class is missing: every score is then 0.
+    The texts stay in tasks, which count words and rank windows. The driver gets one row a bucket, and in each round
+    three windows a document, so its memory does not grow with the documents' length. None if either class is missing:
+    every score is then 0.
     """
     picked = sample_labels(labels, "toxic", PARTS, HELD, per_class)
-    rows = text_rows(docs).join(F.broadcast(picked), "doc_id")  # at most 2 x per_class rows
-    table = rows.orderBy(F.xxhash64("doc_id", "text")).toPandas()
-    if table.label.nunique() < 2:
+    rows = text_rows(docs).join(F.broadcast(picked), "doc_id")
+    rows = stored(rows.select("text", "label", F.xxhash64("doc_id", "text").alias("key")))
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return None
     model = AttentionGru.new()
-    share = model.train(tile(pa.RecordBatch.from_pydict({"text": pa.array(table.text.tolist(), pa.string())})), table.label.to_numpy())
+    seen, total = _counted(rows)
+    if not total.any():
+        return model
+    model.start_from_log_odds(seen, total)
+    rng, adam = np.random.default_rng(seed), Adam(model.w, 0.01)
+    for turn in range(ROUNDS):
+        t, label = _chosen(rows, model, turn, int(total.sum()))
+        model.learn(t, label, adam, rng)
+        adam.rate *= 0.5
     rate = labels.where(fold(PARTS) != HELD).agg(F.avg("toxic")).first()[0]
-    model.to_rate(share, float(rate))
+    model.to_rate(float(label.mean()), float(rate))
     return model
 
 
