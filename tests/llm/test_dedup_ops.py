@@ -51,6 +51,16 @@ def test_planted_passage_and_edges(make):
     assert substring.remove_repeats(make([])).count() == 0
 
 
+def test_spans_of_equal_rows_are_bounded_by_one_document(make):
+    rng = random.Random(6)
+    text = " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))
+    docs = make([(7, text, "en", "h")] * 3000 + [(None, text + " z", "en", "h")] * 2 + [(8, "y " + text[:400], "en", "h")])
+    spans = substring.repeated_spans(docs).toPandas()
+    assert len(spans) and spans.spans.map(len).max() <= 60
+    got = substring.remove_repeats(docs).toPandas()
+    assert len(got) == 3003 and (got.n_removed[got.doc_id == 7] == 60).all() and (got.n_removed[got.doc_id.isna()] == 61).all()
+
+
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 

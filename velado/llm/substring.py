@@ -114,7 +114,9 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def _by_key(places: DataFrame) -> DataFrame:
-    return places.groupBy("key").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    """The spans of each key. Repeated rows share a key and have equal places: one of each stays, so an array is bounded
+    by one document."""
+    return places.select("key", "start", "words").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
 
 
 def _span_arrays(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
