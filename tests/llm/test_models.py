@@ -115,6 +115,25 @@ def test_toxicity_driver_gets_windows_only(spark, make, monkeypatch):
     assert all(t.n_words.max() <= toxicity.WINDOW and len(t) <= 3 * len(docs) for t in seen)
 
 
+def test_repeated_rows_are_sampled_once(spark, make, monkeypatch):
+    """A hot or null id does not fill the training samples, nor come to the driver row by row."""
+    rng, seen = random.Random(10), {}
+    hot, null = prose(rng, "en", 30), prose(rng, "en", 30)
+    docs = [(i, prose(rng, "en", 30, ["vilgrub"] if i % 2 else ()), "en", "h") for i in range(24)]
+    table = spark.createDataFrame([(i, i % 2, i % 2) for i in range(24)], "doc_id long, quality int, toxic int")
+    free = langid.fold(langid.PARTS) != langid.HELD
+    ids = [r.doc_id for r in spark.range(24).withColumnRenamed("id", "doc_id").where(free & (langid.fold(3) != 1)).collect()]
+    docs = make(docs + [(ids[0], hot, "en", "h")] * 200 + [(None, null, "en", "h")] * 200)
+    spy = lambda of, name, size: monkeypatch.setattr(of, name, lambda *a, f=getattr(of, name): (seen.setdefault(f"{of.__name__}.{name}", size(a[0])), f(*a))[1])
+    spy(langid, "tile", lambda batch: batch.num_rows)
+    spy(quality, "learn", len)
+    spy(toxicity, "_counted", lambda rows: rows.count())
+    langid.fit(docs)
+    quality.classify(docs, table)
+    toxicity.fit(docs, table)
+    assert len(seen) == 3 and max(seen.values()) <= 26, seen
+
+
 def test_windows_overlap_and_cover():
     import pyarrow as pa
 

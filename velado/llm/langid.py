@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velado.llm.gru import Adam, glorot, gru_backward, gru_forward, gru_step
-from velado.llm.learn import fold
-from velado.llm.util import small_batches, text_rows
+from velado.llm.learn import fold, one_row
+from velado.llm.util import row_key, small_batches, text_rows
 from velado.llm.words import Tile, byte_values, spans_hash, tile, tiles
 
 PIECE, HIDDEN = 24, 20
@@ -157,20 +157,21 @@ def predict(t: Tile, remembered: Remembered) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> ByteGru | None:
     """Train on documents with a language outside the held-out fold; None if there are none.
 
-    Bounded: ``docs_per_lang`` documents of each language, lowest hash of the id first, and ``words_per_lang``
-    words drawn from their whole texts.
+    Bounded: ``docs_per_lang`` documents of each language, lowest hash of id and text first (repeated rows count
+    once), and ``words_per_lang`` words drawn from their whole texts.
     """
     rows = text_rows(docs, "lang").where((fold(PARTS) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
-    ids = [rows.where(F.col("lang") == x).select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("key")) for x in langs]
-    ids = [x.orderBy("key", "doc_id").limit(docs_per_lang) for x in ids]
-    picked = ids[0]
-    for x in ids[1:]:
+    keyed = rows.withColumn("key", row_key())
+    ids = keyed.select("key", "lang").distinct()
+    picks = [ids.where(F.col("lang") == x).orderBy("key").limit(docs_per_lang) for x in langs]
+    picked = picks[0]
+    for x in picks[1:]:
         picked = picked.union(x)
-    chosen = F.broadcast(picked.select("key").distinct())  # at most langs x docs_per_lang rows
-    table = rows.withColumn("key", F.xxhash64("doc_id", "text")).join(chosen, "key").orderBy("key", "doc_id").toPandas()
+    chosen = F.broadcast(picked)  # at most langs x docs_per_lang rows
+    table = one_row(keyed.join(chosen, ["key", "lang"]).select("key", "lang", "text"), ["key", "lang"]).orderBy("key", "lang").toPandas()
     rng = np.random.default_rng(3)
     seqs, lengths, labels = [], [], []
     for i, lang in enumerate(langs):

@@ -18,3 +18,11 @@ def sample_labels(labels: DataFrame, label: str, parts: int, held: int, per_clas
     rows = rows.where(fold(parts) != held)
     pick = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     return pick[0].union(pick[1])
+
+
+def one_row(rows: DataFrame, keys: list[str], value: str = "text") -> DataFrame:
+    """One row for each value of ``keys``: the one whose ``value`` has the lowest hash (null values count last). Repeats
+    are folded in each task before the shuffle, so a hot key is a row a task."""
+    rest = F.struct(F.xxhash64(value).alias("hash"), *[c for c in rows.columns if c not in keys])
+    found = rows.groupBy(*keys).agg(F.min(F.struct(F.col(value).isNull().alias("none"), rest.alias("rest"))).alias("first"))
+    return found.select(*keys, "first.rest.*").select(*rows.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velado.llm.gru import Adam, glorot, gru_backward, gru_forward, gru_step, sigmoid
-from velado.llm.learn import fold, sample_labels
+from velado.llm.learn import fold, one_row, sample_labels
 from velado.llm.util import small_batches, stored, text_rows
 from velado.llm.words import LOWER, Tile, byte_values, mix, spans_hash, tile, tiles
 
@@ -261,13 +261,14 @@ def _chosen(rows: DataFrame, model: AttentionGru, turn: int, n: int) -> tuple[Ti
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 9) -> AttentionGru | None:
     """Train on at most ``per_class`` labelled documents of each class outside the held-out fold, by whole texts.
+    A repeated id counts once (the text with the lowest hash).
 
     The texts stay in tasks, which count words and rank windows. The driver gets one row a bucket, and in each round
     three windows a document, so its memory does not grow with the documents' length. None if either class is missing:
     every score is then 0.
     """
     picked = sample_labels(labels, "toxic", PARTS, HELD, per_class)
-    rows = text_rows(docs).join(F.broadcast(picked), "doc_id")
+    rows = one_row(text_rows(docs).join(F.broadcast(picked), "doc_id"), ["doc_id"])  # at most 2 x per_class rows
     rows = stored(rows.select("text", "label", F.xxhash64("doc_id", "text").alias("key")))
     if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return None
