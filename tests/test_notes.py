@@ -34,3 +34,17 @@ def test_span_classifier_vetoes_drugs_only(spark):
     assert set(got) == {"LOC", "PER", "ORG", "OTHER"}
     assert got["ORG"][1] < 0.1 * got["ORG"][0]  # drugs taken for organisations
     assert got["PER"][1] > 0.9 * got["PER"][0]
+
+
+def test_token_veto_hits(spark):
+    from velado.operators import ml
+    from velado.plans.q_ml import span_classifier_veto
+
+    ents = spark.createDataFrame([(1, 0, 5), (1, 10, 80), (1, 90, 95), (2, 0, 5)], "doc long, start int, end int")
+    toks = spark.createDataFrame([(1, 4, 9, "DRUG"), (1, 70, 75, "DRUG"), (1, 95, 99, "DRUG"), (2, 0, 5, "OTHER")], "doc long, start int, end int, pred string")
+    assert sorted(tuple(r) for r in ml.veto_hits(ents, toks, ["doc"]).collect()) == [(1, 0, 5, True), (1, 10, 80, True)]
+    got = {r["entity_label"]: r for r in span_classifier_veto(spark, SF).collect()}
+    print("VETO", {k: tuple(r)[1:] for k, r in got.items()})
+    assert got["ORG"]["n_token_veto"] > 0 and got["ORG"]["n_span_veto"] > 0
+    for r in got.values():
+        assert max(r["n_span_veto"], r["n_token_veto"]) <= r["n_entities"] - r["n_kept"] <= r["n_span_veto"] + r["n_token_veto"]
