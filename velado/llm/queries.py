@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velado.llm import bpe, hostrules, jaccard, langid, oracles, packing, quality, search, sharding, substring, toxicity
+from velado.llm import bpe, hostrules, jaccard, langid, ngramlm, oracles, packing, quality, ranked, repair, search, sharding, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_rules(_docs(spark, sf_dir)).drop("host_rate")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.perplexity(_docs(spark, sf_dir))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard": op9_jaccard,
         "op10_host_rules": op10_host_rules,
+        "op11_ranked": op11_ranked,
+        "op12_lm": op12_lm,
+        "op13_repair": op13_repair,
     }
 
 

@@ -122,10 +122,11 @@ def _text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def tile(batch: pa.RecordBatch, column: str = "text") -> Tile:
+def tile(batch: pa.RecordBatch, column: str = "text", sep: np.ndarray = SEP) -> Tile:
+    """Words are the runs of bytes that are not marked in ``sep``."""
     raw, off = _text_buffers(batch.column(column))
     data, off = raw[off[0] : off[-1]], off - off[0]
-    inside = ~SEP[data]
+    inside = ~sep[data]
     begins, ends = inside.copy(), inside.copy()
     if len(data):
         begins[1:] &= ~inside[:-1]
@@ -149,7 +150,7 @@ def cuts(batch: pa.RecordBatch, column: str = "text", limit: int = TILE_BYTES) -
         at = to
 
 
-def tiles(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TILE_BYTES) -> Iterator[Tile]:
+def tiles(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TILE_BYTES, sep: np.ndarray = SEP) -> Iterator[Tile]:
     for batch in batches:
         for part in cuts(batch, column, limit):
-            yield tile(part, column)
+            yield tile(part, column, sep)
