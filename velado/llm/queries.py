@@ -86,4 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": oracles.OP1, "op3_search": oracles.OP3, "op9_jaccard": oracles.OP9, "op10_host_rules": oracles.OP10}
+    return {
+        "op1_substring": oracles.OP1,
+        "op3_search": oracles.OP3,
+        "op9_jaccard": oracles.OP9,
+        "op10_host_rules": oracles.OP10,
+        "op11_ranked": oracles.OP11,
+        "op12_lm": oracles.OP12,
+        "op13_repair": oracles.OP13,
+    }
