@@ -68,9 +68,12 @@ def _suffix_filter(text_col: str, spans_col: str, suffixes, units_re: str, radiu
     return S.pinned(blocks, F.filter(F.col(spans_col), keep))
 
 
-def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool = False, merged: bool = True) -> DataFrame:
+def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool = False, merged: bool = True,
+                    found: str | None = None) -> DataFrame:
     """Medication spans to protect (D14 = D8 + D10 + D11 [+ D12] + D13), merged (V1) by default.
 
+    ``found`` names a column of spans that a lexicon table gave (``lexicon.lexicon_spans``; null: none).
+
     All rules run as one multi-detector extraction: a single relaxed-alternation pass skips rows
     where no rule can match, then each rule extracts its own spans.
     """
@@ -97,7 +100,7 @@ def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool =
         df = df.withColumn(c, _suffix_filter(text, words, P.DRUG_SUFFIXES, P.DOSE_UNITS, 20, blk))
     parts.append(c)
     df = df.drop(words, blk)
-    allc = F.concat(*[F.col(p) for p in parts])
+    allc = F.concat(*[F.col(p) for p in parts], *([F.coalesce(F.col(found), S.empty_spans())] if found else []))
     df = df.withColumn(out, S.merge_spans(allc) if merged else allc)
     return df.drop(*parts)
 

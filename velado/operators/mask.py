@@ -65,12 +65,14 @@ def mask_text(
     protect: bool | None = None,
     drug_lexicon=None,
     entities: str | None = None,
+    protected: str | None = None,
 ) -> DataFrame:
     """Mask one free-text column (M8 without model spans).
 
     Order: protect medication (D14 -> merged spans), regex keys in profile order, gazetteer,
     residence heuristic, restore.  ``counts`` gets a struct with one int per step plus
     ``protected`` (number of merged protected spans).  Blank text is returned unchanged, counts 0.
+    ``protected`` names a column that holds the merged protected spans already (dropped here).
     """
     out = out or col
     counts = counts or f"{col}__counts"
@@ -88,8 +90,9 @@ def mask_text(
         df = df.withColumn(tmp_cnt, F.struct(F.col(tmp_cnt + ".*"), F.lit(0).alias("protected")))
     else:
         lex = profile.drug_lexicon if drug_lexicon is None else drug_lexicon
-        prot = _tmp("prot")
-        df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules)
+        prot = protected or _tmp("prot")
+        if not protected:
+            df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules)
         segs = _tmp("segs")
         df, blk = S.with_blocks(df, src)
         if entities:
@@ -143,7 +146,8 @@ def entity_tags(text: str, entities: str, profile, protected: str, lexicon_hits:
 
     Labels outside the profile's ``ner_labels`` go, then spans that touch protected medication or a
     token of the drug lexicon; of what overlaps the longest stays.  A span's label becomes its tag, or
-    one block character for each character (``redact``).
+    one block character (``redact``), whatever its length; ``redact_length`` in the profile's masking settings
+    gives one for each character, as the oldest version did, which tells the length.
     """
     kept = PO.label_filter(F.col(entities), profile.ner_labels)
     kept = S.pinned(protected, PO.veto_protected(kept, F.col(protected)))
@@ -155,26 +159,28 @@ def entity_tags(text: str, entities: str, profile, protected: str, lexicon_hits:
     def closed(e):
         tag = F.coalesce(F.element_at(tags, e["label"]), F.concat(F.lit("["), e["label"], F.lit("]")))
         if profile.masking_strategy == "redact":
-            tag = F.repeat(F.lit(P.REDACT_CHAR), e["end"] - e["start"])
+            tag = F.repeat(F.lit(P.REDACT_CHAR), e["end"] - e["start"]) if profile.redact_length else F.lit(P.REDACT_CHAR)
         return S.span(e["start"], e["end"], tag, e["label"])
 
     return S.pinned(blocks, F.transform(S.select_longest(kept), closed))
 
 
-def mask_entities(df: DataFrame, text: str, entities: str, profile, out: str = "masked", counts: str = "c") -> DataFrame:
+def mask_entities(df: DataFrame, text: str, entities: str, profile, out: str = "masked", counts: str = "c",
+                  lexicon_spans: str | None = None) -> DataFrame:
     """Two-phase masking of one column (M8): the spans of a tagger in ``entities``, then the regex steps.
 
-    ``counts`` has one number for each step, and ``ents``: the labels that were masked.
+    ``counts`` has one number for each step, and ``ents``: the labels that were masked.  ``lexicon_spans`` names a
+    column of spans found by a lexicon table, which are protected as the profile's own terms are.
     """
     prot, tags, blk = _tmp("prot"), _tmp("tags"), _tmp("blk")
-    df = D.with_drug_spans(df, text, prot, profile.drug_lexicon, wide=profile.wide_drug_rules)
+    df = D.with_drug_spans(df, text, prot, profile.drug_lexicon, wide=profile.wide_drug_rules, found=lexicon_spans)
     hits = None
     if profile.drug_lexicon:
         toks, hits = _tmp("toks"), _tmp("hits")
         df = TK.with_tokens(df, text, toks).withColumn(hits, PO.lexicon_hits(F.col(toks), profile.drug_lexicon)).drop(toks)
     df, blk = S.with_blocks(df, text, blk)
-    df = df.withColumn(tags, entity_tags(text, entities, profile, prot, hits, blk)).drop(prot, blk, *([hits] if hits else []))
-    df = mask_text(df, text, profile, out=out, counts=counts, protect=True, entities=tags)
+    df = df.withColumn(tags, entity_tags(text, entities, profile, prot, hits, blk)).drop(blk, *([hits] if hits else []))
+    df = mask_text(df, text, profile, out=out, counts=counts, protect=True, entities=tags, protected=prot)
     ents = S.pinned(tags, F.transform(tags, lambda e: e["src"]))
     return df.withColumn(counts, F.struct(F.col(f"{counts}.*"), ents.alias("ents"))).drop(tags)
 
