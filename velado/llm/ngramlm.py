@@ -1,7 +1,8 @@
 """Operator 12, language-model scoring: an interpolated modified Kneser-Ney model of the corpus.
 
-Texts become token hashes in tasks, which fold equal n-grams of a buffer before they emit them. One shuffle deals
-the n-grams over ranges of their 64-bit key (``xxhash64`` of the token hashes); each task sorts its range, adds up
+Tokens are counted first: a token's number is its place among all tokens sorted by hash. Texts then become n-grams of
+such numbers, packed into few longs, and tasks fold equal n-grams of a buffer before they emit them. One shuffle deals
+the n-grams over ranges of their 64-bit key (``xxhash64`` of the packed numbers); each task sorts its range, adds up
 equal keys and streams keys and counts into arrays of that range in the shared folder. The same pass gives, folded
 again, what the next lower order needs (n-grams without their first token, each once: continuation counts), the sums
 of every context, and the counts of counts that set the three discounts. Workers memory-map the arrays and find keys
@@ -31,8 +32,8 @@ FOLDS, HELD = 7, 2
 BUFFER = 1 << 21
 #: n-grams of an array, up to MAX_BITS; beyond that arrays grow with the corpus (they are written as a stream).
 SHARD_ROWS, MAX_BITS = 1 << 20, 13
-#: Hashes of the token after the last word and of the mark before the first.
-END, START = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
+#: Hash of the token after the last word; numbers of the mark before the first and of tokens without a number.
+END, START, UNKNOWN = 0x1F83D9ABFB41BD6B, 0, -1
 _U, _I = np.uint64, np.int64
 _P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 
@@ -65,65 +66,145 @@ def distinct(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray]
     return [c[at] for c in cols], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
+def pack(cols: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Numbers of up to ``bits`` bits side by side in as few longs as hold them."""
+    per = 62 // bits
+    out = []
+    for i in range(0, len(cols), per):
+        x = cols[i].astype(_I)
+        for c in cols[i + 1 : i + per]:
+            x = (x << _I(bits)) | c
+        out.append(x)
+    return out
+
+
+def unpack(packed: list[np.ndarray], k: int, bits: int) -> list[np.ndarray]:
+    per, out = 62 // bits, []
+    for i, x in zip(range(0, k, per), packed):
+        n = min(per, k - i)
+        out += [(x >> _I(bits * (n - 1 - j))) & _I((1 << bits) - 1) for j in range(n)]
+    return out
+
+
+def longs(k: int, bits: int) -> list[str]:
+    """Names of the columns that hold ``k`` packed numbers."""
+    return [f"p{i + 1}" for i in range(-(-k // (62 // bits)))]
+
+
+def token_hashes(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place in its document (from 0, a mark before the first word), and document of every token; END closes each."""
+    n = t.n_words + 2
+    begin = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
+    h = np.full(begin[-1], END, _I)
+    words = spans_hash(LOWER[t.data], t.start, t.end, byte_values(21)).astype(_I)
+    h[(place > 0) & (place < np.repeat(n, n) - 1)] = words
+    return h, place, np.repeat(np.arange(len(t)), n)
+
+
+@dataclass
+class Model:
+    """Where the arrays of a model lie, and its few global numbers."""
+
+    folder: str
+    order: int
+    bits: int
+    shards: dict[str, dict[int, int]] = field(default_factory=dict)
+    discount: dict[int, np.ndarray] = field(default_factory=dict)
+    tokens: int = 0
+    words: int = 0
+    total: float = 0.0  # of the lowest order's counts
+    gamma: float = 1.0  # weight of the uniform distribution
+
+    @property
+    def number_bits(self) -> int:
+        """Bits of a token's number; START is 0, and the highest stays free."""
+        return max(1, (self.words + 1).bit_length())
+
+    @property
+    def count_type(self) -> type:
+        return np.uint32 if self.tokens < 1 << 32 else _I
+
+    @property
+    def first_number(self) -> dict[int, int]:
+        """Of each vocabulary shard, the number of its first token."""
+        out, n = {}, 1
+        for s in sorted(self.shards.get("v", {})):
+            out[s] = n
+            n += self.shards["v"][s]
+        return out
+
+
 @dataclass
 class Tokens:
-    """Token hashes of a tile, each document with START before and END after its words."""
+    """Token numbers of a tile, each document with START before and the end after its words."""
 
-    h: np.ndarray
+    number: np.ndarray
+    count: np.ndarray  # in the training texts
     place: np.ndarray  # of a token in its document, 0 for START
     doc: np.ndarray
 
     def gram(self, k: int, at: np.ndarray) -> list[np.ndarray]:
         """Tokens of the n-grams of ``k`` that end at ``at``."""
-        return [self.h[at - j] for j in range(k - 1, -1, -1)]
+        return [self.number[at - j] for j in range(k - 1, -1, -1)]
 
 
-def tokens(t: Tile) -> Tokens:
-    n = t.n_words + 2
-    begin = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
-    h = np.full(begin[-1], START, _I)
-    h[begin[1:] - 1] = END
-    words = spans_hash(LOWER[t.data], t.start, t.end, byte_values(21)).astype(_I)
-    h[(place > 0) & (place < np.repeat(n, n) - 1)] = words
-    return Tokens(h, place, np.repeat(np.arange(len(t)), n))
+def _vocabulary():
+    """Rows ``(key, c)``: token hashes and their counts, folded by buffers."""
 
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "c"])
+        for a in range(0, out.num_rows, 1 << 16):
+            yield out.slice(a, 1 << 16)
 
-def _count(order: int):
-    """Rows ``(lvl, w1..wn, c)``: n-grams of the top order; those of lower orders that begin a text; tokens (level 0)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for t in tiles(batches):
+            h, place, _ = token_hashes(t)
+            held.append(h[place > 0])
+            size += len(h)
+            if size >= BUFFER:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return work
+
+
+def _count(model: Model):
+    """Rows ``(lvl, packed numbers, c)``: n-grams of the top order; those of lower orders that begin a text."""
+    order, bits = model.order, model.number_bits
+    names = longs(order, bits)
 
     def emit(lvl: int, cols: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         cols, n = distinct(cols, n)
-        cols = cols + [np.zeros(len(n), _I)] * (order - len(cols))
-        names = ["lvl", *(f"w{i + 1}" for i in range(order)), "c"]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), lvl, np.int32)), *map(pa.array, cols), pa.array(n)], names)
+        cols = cols + [np.zeros(len(n), _I)] * (len(names) - len(cols))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), lvl, np.int32)), *map(pa.array, cols), pa.array(n)], ["lvl", *names, "c"])
+
+    def flush(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for lvl, parts in held.items():
+            cols = [np.concatenate(c) for c in zip(*parts)]
+            out = emit(lvl, cols, np.ones(len(cols[0]), _I))
+            for a in range(0, out.num_rows, 1 << 16):
+                yield out.slice(a, 1 << 16)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(model)
         held: dict[int, list] = {}
         size = 0
         for t in tiles(batches):
-            x = tokens(t)
-            for lvl in range(order + 1):
-                if lvl == 0:
-                    at, k = np.flatnonzero(x.place > 0), 1
-                elif lvl == order:
-                    at, k = np.flatnonzero(x.place >= max(order - 1, 1)), order
-                else:
-                    at, k = np.flatnonzero((x.place == lvl - 1) & (x.place > 0)), lvl
-                cols = x.gram(k, at)
-                held.setdefault(lvl, []).append((cols, np.ones(len(at), _I)))
-            size += len(x.h)
+            x = tables.tokens(t)
+            for lvl in range(1, order + 1):
+                at = np.flatnonzero(x.place >= max(order - 1, 1) if lvl == order else (x.place == lvl - 1) & (x.place > 0))
+                held.setdefault(lvl, []).append(pack(x.gram(lvl, at), bits))
+            size += len(x.place)
             if size >= BUFFER:
                 yield from flush(held)
                 held, size = {}, 0
-        yield from flush(held)
-
-    def flush(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for lvl, parts in held.items():
-            cols = [np.concatenate(c) for c in zip(*(p[0] for p in parts))]
-            out = emit(lvl, cols, np.concatenate([p[1] for p in parts]))
-            for a in range(0, out.num_rows, 1 << 16):
-                yield out.slice(a, 1 << 16)
+        if held:
+            yield from flush(held)
 
     return work
 
@@ -161,16 +242,37 @@ class _Writer:
         self.files = []
 
 
-def _merge(level: int, order: int, folder: str, bits: int):
-    """Sorted rows ``(lvl, key, w1..w<level>, c)`` into the arrays of their tables, and rows for what comes next.
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of a sorted stream whose last is ``c``: rows that agree in all others become one, with the sum of c."""
+    carry = None
+    for batch in batches:
+        *cols, c = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+        if carry is not None:
+            *cols, c = (np.concatenate([a, b]) for a, b in zip(carry, (*cols, c)))
+        if not len(c):
+            continue
+        new = np.ones(len(c), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in cols], axis=0)
+        at = np.flatnonzero(new)
+        rows = [*(x[at] for x in cols), np.add.reduceat(c, at)]
+        carry = [x[-1:] for x in rows]
+        yield [x[:-1] for x in rows]
+    if carry is not None:
+        yield carry
+
+
+def _merge(model: Model, level: int):
+    """Sorted rows ``(lvl, key, packed numbers, c)`` into the arrays of their order, and rows for what comes next.
 
     kind 0: an n-gram one token shorter with its continuation count; 1: a context with its sum and its numbers of
-    n-grams counted once, twice, more; 2: counts of counts; 3: a shard and its rows; lvl 0 rows are plain tokens.
+    n-grams counted once, twice, more; 2: counts of counts; 3: a shard and its rows.
     """
-    names = ["kind", "lvl", *(f"w{i + 1}" for i in range(max(level - 1, 1))), "c", "n1", "n2", "n3", "n4"]
+    order, bits = model.order, model.number_bits
+    packed = longs(max(level - 1, 1), bits)
+    names = ["kind", "lvl", *packed, "c", "n1", "n2", "n3", "n4"]
 
     def rows(kind: int, lvl: int, cols: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-        cols = cols + [np.zeros(len(n), _I)] * (max(level - 1, 1) - len(cols))
+        cols = cols + [np.zeros(len(n), _I)] * (len(packed) - len(cols))
         n = n[:, None] if n.ndim == 1 else n
         n = np.hstack([n, np.zeros((len(n), 5 - n.shape[1]), _I)])
         return pa.RecordBatch.from_arrays(
@@ -178,74 +280,67 @@ def _merge(level: int, order: int, folder: str, bits: int):
         )
 
     def folded(cols: list[np.ndarray], c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one, two, more = (c == 1), (c == 2), (c > 2)
-        n = np.stack([c, one, two, more], 1).astype(_I)
+        n = np.stack([c, c == 1, c == 2, c > 2], 1).astype(_I)
         if level == 1:
             yield rows(1, level, [], n.sum(0, keepdims=True))
             return
-        yield rows(1, level, *distinct(cols[:-1], n))
-        yield rows(0, level - 1, *distinct(cols[1:], np.ones(len(c), _I)))
+        numbers = unpack(cols, level, bits)
+        yield rows(1, level, *distinct(pack(numbers[:-1], bits), n))
+        yield rows(0, level - 1, *distinct(pack(numbers[1:], bits), np.ones(len(c), _I)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writers = {lvl: _Writer(folder, f"n{lvl}", bits) for lvl in (0, level)}
-        counts, total = np.zeros(5, _I), np.zeros(2, _I)
+        writer = _Writer(model.folder, f"n{level}", model.bits)
+        counts = np.zeros(5, _I)
         buffer: list[tuple[list[np.ndarray], np.ndarray]] = []
-        size, carry = 0, None
-
-        def take(lvl: np.ndarray, key: np.ndarray, cols: list[np.ndarray], c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal size, buffer
-            for x in np.unique(lvl):
-                is_x = lvl == x
-                if x in writers:
-                    writers[x].add(key[is_x], [c[is_x]])
-                if x == 0:
-                    total[:] += [c[is_x].sum(), is_x.sum()]
-                elif x == level:
-                    buffer.append(([y[is_x] for y in cols], c[is_x]))
-                    size += int(is_x.sum())
-                    counts[1:] += np.bincount(np.minimum(c[is_x], 5), minlength=6)[1:5]
-                else:  # beginnings of texts wait for their own order
-                    yield rows(0, int(x), [y[is_x] for y in cols[: int(x)]], c[is_x])
-            if size >= BUFFER:
-                yield from drain()
+        size = 0
 
         def drain() -> Iterator[pa.RecordBatch]:
-            nonlocal size, buffer
             cols = [np.concatenate(x) for x in zip(*(b[0] for b in buffer))]
             for out in folded(cols, np.concatenate([b[1] for b in buffer])):
                 for a in range(0, out.num_rows, 1 << 16):
                     yield out.slice(a, 1 << 16)
-            buffer, size = [], 0
 
-        for batch in batches:
-            lvl, key, *cols, c = (batch.column(i).to_numpy() for i in range(batch.num_columns))
-            if carry is not None:
-                lvl, key, c = (np.concatenate([a, b]) for a, b in zip(carry[:3], (lvl, key, c)))
-                cols = [np.concatenate([a, b]) for a, b in zip(carry[3], cols)]
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            new[1:] = np.any([x[1:] != x[:-1] for x in (lvl, key, *cols)], axis=0)
-            at = np.flatnonzero(new)
-            c = np.add.reduceat(c, at)
-            lvl, key, cols = lvl[at], key[at], [x[at] for x in cols]
-            carry = (lvl[-1:], key[-1:], c[-1:], [x[-1:] for x in cols])
-            yield from take(lvl[:-1], key[:-1], [x[:-1] for x in cols], c[:-1])
-        if carry is not None:
-            yield from take(carry[0], carry[1], carry[3], carry[2])
+        for lvl, key, *cols, c in _summed(batches):
+            for x in np.unique(lvl):
+                mine = lvl == x
+                if x < level:  # beginnings of texts wait for their own order
+                    yield rows(0, int(x), [y[mine] for y in cols[: len(longs(int(x), bits))]], c[mine])
+                    continue
+                writer.add(key[mine], [c[mine].astype(model.count_type)])
+                counts[1:] += np.bincount(np.minimum(c[mine], 5), minlength=6)[1:5]
+                buffer.append(([y[mine] for y in cols], c[mine]))
+                size += int(mine.sum())
+            if size >= BUFFER:
+                yield from drain()
+                buffer, size = [], 0
         if buffer:
             yield from drain()
         yield rows(2, level, [], counts[None])
-        yield rows(2, 0, [], np.concatenate([total, np.zeros(3, _I)])[None])
-        for lvl, w in writers.items():
-            w.close()
-            if w.done:
-                done = np.array(w.done, _I)
-                yield rows(3, lvl, [done[:, 0]], done[:, 1])
+        writer.close()
+        if writer.done:
+            done = np.array(writer.done, _I)
+            yield rows(3, level, [done[:, 0]], done[:, 1])
 
     return work, ", ".join(["kind int", "lvl int", *(f"{c} long" for c in names[2:])])
 
 
+def _words(folder: str, bits: int):
+    """Sorted rows ``(key, c)`` of the vocabulary into its arrays; a row a shard with its rows and the sum of c."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, total = _Writer(folder, "v", bits), 0
+        for key, c in _summed(batches):
+            writer.add(key, [c])
+            total += int(c.sum())
+        writer.close()
+        done = np.array(writer.done, _I).reshape(-1, 2)
+        sums = np.zeros(len(done), _I)
+        sums[:1] = total
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (done[:, 0], done[:, 1], sums)], ["shard", "n", "total"])
+
+    return work
+
+
 def _contexts(folder: str, table: str, bits: int):
     """Contexts sorted by key into arrays: their sums and their weights for the next lower order."""
 
@@ -257,7 +352,7 @@ def _contexts(folder: str, table: str, bits: int):
         w.close()
         if w.done:
             done = np.array(w.done, _I)
-            yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], ["w1", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], ["shard", "n"])
 
     return work
 
@@ -276,31 +371,16 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *d])
 
 
-@dataclass
-class Model:
-    """Where the arrays of a model lie, and its few global numbers."""
-
-    folder: str
-    order: int
-    bits: int
-    shards: dict[str, dict[int, int]] = field(default_factory=dict)
-    discount: dict[int, np.ndarray] = field(default_factory=dict)
-    tokens: int = 0
-    words: int = 0
-    total: float = 0.0  # of the lowest order's counts
-    gamma: float = 1.0  # weight of the uniform distribution
-
-
 class Tables:
     """The arrays of a model, memory-mapped when a key first falls into them."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
+        self.model, self.open, self.first = model, {}, model.first_number
 
-    def find(self, table: str, keys: np.ndarray, kinds: tuple[type, ...] = (_I,)) -> list[np.ndarray]:
-        """The values of ``keys`` in a table; 0 where it has no such key."""
+    def find(self, table: str, keys: np.ndarray, kinds: tuple[type, ...], place: bool = False) -> list[np.ndarray]:
+        """The values of ``keys`` in a table, 0 where it has no such key; with ``place`` also the keys' numbers."""
         want, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(want), k) for k in kinds]
+        out = [np.zeros(len(want), k) for k in kinds] + [np.full(len(want), UNKNOWN, _I)] * place
         shards = shard_of(want, self.model.bits)
         for s in np.unique(shards):
             rows = self.model.shards.get(table, {}).get(int(s), 0)
@@ -315,21 +395,34 @@ class Tables:
             hit = have[at] == want[a:b]
             for o, v in zip(out, values):
                 o[a:b][hit] = v[at[hit]]
+            if place:
+                out[-1][a:b][hit] = self.first[int(s)] + at[hit]
         return [o[back] for o in out]
 
+    def tokens(self, t: Tile) -> Tokens:
+        h, place, doc = token_hashes(t)
+        count, number = self.find("v", h, (_I,), place=True)
+        number[place == 0], count[place == 0] = START, 0
+        return Tokens(number, count, place, doc)
+
     def log10(self, x: Tokens) -> np.ndarray:
         """log10 probability of every token; 0 at START."""
         m = self.model
-        p = np.zeros(len(x.h))
+        grams = lambda k, at: xxhash64(pack(x.gram(k, at), m.number_bits))
+        p = np.zeros(len(x.place))
         at = np.flatnonzero(x.place > 0)
-        a = self.find("n1", xxhash64([x.h[at]]))[0]
-        p[at] = m.gamma / (m.words + 1) + (a - m.discount[1][np.minimum(a, 3)]) / max(m.total, 1)
+        known = at[x.number[at] != UNKNOWN]
+        p[at] = m.gamma / (m.words + 1)
+        a = self.find("n1", grams(1, known), (m.count_type,))[0].astype(_I)
+        p[known] += (a - m.discount[1][np.minimum(a, 3)]) / max(m.total, 1)
         for k in range(2, m.order + 1):
             at = np.flatnonzero(x.place >= k - 1)
-            total, gamma = self.find(f"c{k}", xxhash64(x.gram(k - 1, at - 1)), (_I, float))
+            at = at[np.all([c != UNKNOWN for c in x.gram(k - 1, at - 1)], axis=0)]
+            total, gamma = self.find(f"c{k}", grams(k - 1, at - 1), (_I, float))
             seen = total > 0
             at, total, gamma = at[seen], total[seen], gamma[seen]
-            a = self.find(f"n{k}", xxhash64(x.gram(k, at)))[0]
+            a, known = np.zeros(len(at), _I), x.number[at] != UNKNOWN
+            a[known] = self.find(f"n{k}", grams(k, at[known]), (m.count_type,))[0]
             p[at] = (a - m.discount[k][np.minimum(a, 3)]) / total + gamma * p[at]
         return np.log10(p, out=np.zeros(len(p)), where=p > 0)
 
@@ -349,38 +442,39 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     bits = min(MAX_BITS, max(0, (size // 6 // SHARD_ROWS).bit_length()))
     model = Model(os.path.join(_mounted(spark), "velado-llm", f"lm-{uuid.uuid4().hex}"), order, bits)
-    ws = [f"w{i + 1}" for i in range(order)]
-    counted = text_rows(docs).mapInArrow(_count(order), "lvl int, " + ", ".join(f"{w} long" for w in ws) + ", c long")
     shift = lambda key: F.shiftright(key, 64 - bits) if bits else F.lit(0)
+    shards = lambda table: {r.shard: r for r in table.collect()}  # noqa: E731  a row a shard
+
+    texts = text_rows(docs)
+    words = texts.mapInArrow(_vocabulary(), "key long, c long").repartition(1 << bits, shift(F.col("key"))).sortWithinPartitions("key")
+    found = shards(words.mapInArrow(_words(model.folder, bits), "shard long, n long, total long"))
+    model.shards["v"] = {k: r.n for k, r in found.items()}
+    model.words, model.tokens = sum(r.n for r in found.values()), sum(r.total for r in found.values())
+
+    width = model.number_bits
+    counted = texts.mapInArrow(_count(model), "lvl int, " + ", ".join(f"{p} long" for p in longs(order, width)) + ", c long")
     for level in range(order, 0, -1):
-        key = F.xxhash64(*ws[:level])
-        if order > 1:
-            key = F.when(F.col("lvl") == 0, F.xxhash64("w1")).otherwise(key)
-        dealt = counted.repartition(1 << bits, F.col("lvl"), shift(key))
-        run = dealt.select("lvl", key.alias("key"), *ws[:level], "c").sortWithinPartitions("lvl", "key", *ws[:level])
-        work, schema = _merge(level, order, model.folder, bits)
+        ps, below = longs(level, width), longs(max(level - 1, 1), width)
+        dealt = counted.repartition(1 << bits, F.col("lvl"), shift(F.xxhash64(*ps)))
+        run = dealt.select("lvl", F.xxhash64(*ps).alias("key"), *ps, "c").sortWithinPartitions("lvl", "key", *ps)
+        work, schema = _merge(model, level)
         made = stored(run.mapInArrow(work, schema))
-        for r in made.where("kind = 2").groupBy("lvl").agg(*(F.sum(c).alias(c) for c in ("c", "n1", "n2", "n3", "n4"))).collect():
-            if r.lvl == level:
-                model.discount[level] = discounts([r.n1, r.n2, r.n3, r.n4])
-            elif level == order:
-                model.tokens, model.words = r.c, r.n1
-        for r in made.where("kind = 3").select("lvl", "w1", "c").collect():  # a row a shard
-            model.shards.setdefault(f"n{r.lvl}", {})[r.w1] = r.c
-        d = model.discount.setdefault(level, discounts([0, 0, 0, 0]))
+        n = made.where("kind = 2").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4"))).first()
+        d = model.discount[level] = discounts([x or 0 for x in n])
+        model.shards[f"n{level}"] = {k: r.n for k, r in shards(made.where("kind = 3").select(F.col(below[0]).alias("shard"), F.col("c").alias("n"))).items()}
         sums = [F.sum(c).alias(c) for c in ("c", "n1", "n2", "n3")]
         spare = (F.col("n1") * float(d[1]) + F.col("n2") * float(d[2]) + F.col("n3") * float(d[3])) / F.col("c")
-        contexts = made.where("kind = 1").groupBy(*ws[: level - 1]).agg(*sums)
+        contexts = made.where("kind = 1")
         if level == 1:
-            r = contexts.select("c", spare.alias("gamma")).first()
-            if r and r.c:
+            r = contexts.agg(*sums).select("c", spare.alias("gamma")).first()
+            if r.c:
                 model.total, model.gamma = float(r.c), r.gamma
         else:
-            table = contexts.select(F.xxhash64(*ws[: level - 1]).alias("key"), "c", spare.alias("gamma"))
+            table = contexts.groupBy(*below).agg(*sums).select(F.xxhash64(*below).alias("key"), "c", spare.alias("gamma"))
             table = table.repartition(1 << bits, shift(F.col("key"))).sortWithinPartitions("key")
-            for r in table.mapInArrow(_contexts(model.folder, f"c{level}", bits), "w1 long, c long").collect():
-                model.shards.setdefault(f"c{level}", {})[r.w1] = r.c
-            counted = made.where("kind = 0").select("lvl", *ws[: level - 1], "c")
+            written = shards(table.mapInArrow(_contexts(model.folder, f"c{level}", bits), "shard long, n long"))
+            model.shards[f"c{level}"] = {k: r.n for k, r in written.items()}
+            counted = made.where("kind = 0").select("lvl", *below, "c")
     return model
 
 
@@ -393,14 +487,11 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(model)
         for t in tiles(batches):
-            x = tokens(t)
+            x = tables.tokens(t)
             p = tables.log10(x)
-            at = x.place > 0
-            seen = np.zeros(len(p), _I)
-            seen[at] = tables.find("n0", xxhash64([x.h[at]]))[0]
-            base = np.where(at, np.log10((seen + 1) / (model.tokens + model.words + 1)), 0.0)
+            base = np.where(x.place > 0, np.log10((x.count + 1) / (model.tokens + model.words + 1)), 0.0)
             sums = lambda w: np.bincount(x.doc, w, len(t))
-            known = sums((seen > 0).astype(float)).astype(_I)
+            known = sums((x.count > 0).astype(float)).astype(_I)
             arrays = [t.batch.column(c) for c in ("doc_id", *more)]
             arrays += [pa.array(t.n_words + 1), pa.array(known), pa.array(sums(base)), pa.array(sums(p))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *more, "n_tokens", "n_known", "base_score", "score"])
