@@ -66,13 +66,15 @@ def mask_text(
     drug_lexicon=None,
     entities: str | None = None,
     protected: str | None = None,
+    lexicon_spans: str | None = None,
 ) -> DataFrame:
     """Mask one free-text column (M8 without model spans).
 
     Order: protect medication (D14 -> merged spans), regex keys in profile order, gazetteer,
     residence heuristic, restore.  ``counts`` gets a struct with one int per step plus
     ``protected`` (number of merged protected spans).  Blank text is returned unchanged, counts 0.
-    ``protected`` names a column that holds the merged protected spans already (dropped here).
+    ``protected`` names a column that holds the merged protected spans already (dropped here); ``lexicon_spans`` one of
+    spans that a drug table gave, protected with the rest.
     """
     out = out or col
     counts = counts or f"{col}__counts"
@@ -92,7 +94,7 @@ def mask_text(
         lex = profile.drug_lexicon if drug_lexicon is None else drug_lexicon
         prot = protected or _tmp("prot")
         if not protected:
-            df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules)
+            df = D.with_drug_spans(df, src, prot, lex, wide=profile.wide_drug_rules, found=lexicon_spans)
         segs = _tmp("segs")
         df, blk = S.with_blocks(df, src)
         if entities:

@@ -13,6 +13,7 @@ from ..functions import spans as S
 from ..functions import structured as ST
 from ..operators import audit as A
 from ..operators import detect as D
+from ..operators import lexicon as LX
 from ..operators import mask as M
 from ..operators import policy as PO
 from ..profile import default_profile
@@ -250,3 +251,33 @@ def drug_segments(spark, sf):
         "s", S.span(F.length("before") + 1, F.length("text"), "X"))
     return o.select("o_orderkey", PO.probable_drug_segment(F.col("text"), F.col("s"), P.BUILTIN_DRUGS).alias("drug"),
                     PO.drug_label(F.col("label")).alias("drug_label"))
+
+
+#: A drug of the table: three words, the last of which the phone rule would mask.
+_CODE = f"concat('6', {_pad('o_orderkey', 8)})"
+_WRITTEN = [f"concat('complejo b ', {_CODE})", f"concat('Complejo B-', {_CODE}, '®')", f"concat('COMPLEJO  b\t', {_CODE}, '™')"]
+_BOX = "concat('Guarda el ', CASE o_orderkey % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(_WRITTEN)) + " END, ' en casa. ')"
+_IN_TABLE = "o_orderkey % 2 = 0"
+
+
+def drug_table(spark, sf):
+    """Terms that grow with the orders: a drug for every second order, and one with another letter for each."""
+    o = table(spark, sf, "orders")
+    own = o.where(_IN_TABLE).select(F.expr(f"concat('complejo b ', {_CODE})").alias("term"))
+    return own.unionByName(o.select(F.expr(f"concat('complejo ce ', {_CODE})").alias("term")))
+
+
+def _lexicon_mask_sql():
+    box = _BOX
+    for _, pat, tag in _STEPS:
+        box = f"regexp_replace({box}, {pat}, {sq(tag)}, 'g')"
+    return _protected_mask_sql().replace("concat(CASE", f"concat(CASE WHEN {_IN_TABLE} THEN {_BOX} ELSE {box} END, CASE", 1)
+
+
+@register("lexicon_mask_notes", "M8 D8 (wide form, a drug table that grows with the data)", "orders customer", _lexicon_mask_sql())
+def lexicon_mask_notes(spark, sf):
+    d = notes(spark, sf).withColumn("text", F.concat(F.expr(_BOX), "text"))
+    found = LX.lexicon_spans(d, "text", "o_orderkey", drug_table(spark, sf), label="DRUG", wide=True).withColumnRenamed("spans", "table_spans")
+    d = d.join(found, "o_orderkey", "left")
+    prof = default_profile(regex=dict(P.PROFILE_REGEX_DEFAULTS), drug_lexicon_extra=P.BUILTIN_DRUGS)
+    return M.mask_text(d, "text", prof, out="masked", counts="c", protect=True, lexicon_spans="table_spans").select("o_orderkey", "masked")
