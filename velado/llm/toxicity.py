@@ -27,6 +27,9 @@ WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 16, 3, 8
 PARTS, HELD, THRESHOLD, ROUNDS = 3, 1, 0.7, 3
 #: Labelled documents of each class to train on.
 PER_CLASS = 1600
+#: A word or n-gram that fewer documents of the sample have is not told from an unknown one: it has no vector, so no
+#: document can be learned by heart from it.
+LEAST_DOCUMENTS = 24
 
 
 def distinct_words(t: Tile) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +66,7 @@ def windows(t: Tile, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarr
 class AttentionGru:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
+        self.known: np.ndarray | None = None  # word and n-gram buckets that have a vector; None: all
 
     @classmethod
     def new(cls, hidden: int = HIDDEN, seed: int = 5) -> AttentionGru:
@@ -141,6 +145,9 @@ class AttentionGru:
         begin = np.concatenate([[0], np.cumsum(t["n"])])
         at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in used])
         np.add.at(g["gram"], t["grams"][at], np.repeat(dx[:, WORD_DIM:] / t["n"][used][:, None], t["n"][used], axis=0))
+        if self.known is not None:
+            g["word"][~self.known[:WORD_BUCKETS]] = 0
+            g["gram"][~self.known[WORD_BUCKETS:]] = 0
         return g
 
     def start_from_log_odds(self, seen: np.ndarray, total: np.ndarray) -> None:
@@ -148,8 +155,11 @@ class AttentionGru:
         ``document_counts`` and the number of clean and toxic documents."""
         clean, toxic = seen
         odds = np.log((toxic + 0.3) / (total[1] + 1)) - np.log((clean + 0.3) / (total[0] + 1))
-        odds = np.clip(odds, -2, 6) * (clean + toxic >= 4)
+        self.known = clean + toxic >= min(LEAST_DOCUMENTS, 1 + total.sum() // 20)
+        odds = np.clip(odds, -2, 6) * self.known
         self.w["word"][:, 0], self.w["gram"][:, 0] = odds[:WORD_BUCKETS], odds[WORD_BUCKETS:]
+        self.w["word"][~self.known[:WORD_BUCKETS]] = 0
+        self.w["gram"][~self.known[WORD_BUCKETS:]] = 0
 
     def best_and_clean(self, t: Tile, label: np.ndarray, key: np.ndarray, turn: int, most: int) -> tuple[np.ndarray, ...]:
         """Windows of a tile to learn from: the highest of each document, and as another window of the clean documents,
