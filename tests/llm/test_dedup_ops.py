@@ -146,3 +146,52 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+@pytest.mark.parametrize("size", [2, 3, 40, 60])
+def test_every_family_goes_through_the_lists(size, monkeypatch):
+    merges = []
+    real = jaccard.merge_skip
+    monkeypatch.setattr(jaccard, "merge_skip", lambda lists, least: merges.append(len(lists)) or real(lists, least))
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 10**9, 50)
+    sets = []
+    for _ in range(size):
+        s = base.copy()
+        s[rng.permutation(50)[: rng.integers(3, 9)]] = rng.integers(0, 10**9, 1)
+        sets.append(np.unique(s))
+    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    got = jaccard.search(np.concatenate(sets), off, np.arange(size), np.zeros(size, np.int8)).roots(np.arange(size))
+    up = np.arange(size)
+    links = 0
+    for i in range(size):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                up[up == max(up[i], up[j])] = min(up[i], up[j])
+    assert (pd.factorize(got)[0] == pd.factorize(up)[0]).all()
+    assert merges and (links == 0 or len(merges) >= len(set(up.tolist())) - 1)
+
+
+def test_merge_skip_counts_all_values():
+    rng = random.Random(8)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 20))) for _ in range(rng.randint(1, 8))]
+        count = Counter(v for x in lists for v in x)
+        for least in range(1, len(lists) + 1):
+            want = sorted((v, c) for v, c in count.items() if c >= least)
+            assert list(zip(*jaccard.merge_skip(lists, least))) == want
+
+
+def test_common_shingles_by_sums_or_by_windows(spark, make):
+    docs = make(near_copies(9))
+    posted = jaccard.postings(docs)
+    few, many = (sorted(tuple(r) for r in jaccard.short_lists(posted, least=n).collect()) for n in (2, 10**9))
+    assert few == many and few
+
+
+def test_digests_that_always_clash_raise(make, monkeypatch):
+    monkeypatch.setattr(jaccard, "set_digests", lambda h, off: (np.zeros(len(off) - 1, np.int64), h[off[:-1]].astype(np.int64)))
+    with pytest.raises(RuntimeError):
+        jaccard.linked_rows(make([(1, "a b c", "en", "h"), (2, "d e f", "en", "h")]))

@@ -1,9 +1,9 @@
 """Operator 10, quality rules: rule failures of documents, shrunk to host verdicts.
 
 Every document gets counts and a base verdict from one pass over its words. Failures are then summed by host
-(``source``), a beta prior is fitted to the hosts' rates by moments, and a host is rejected when its shrunk rate
-exceeds ``reject_rate``. Host verdicts go back to the documents by a join on (host, salt), so a host that holds a
-third of all rows is spread over ``SALTS`` keys; no host table is broadcast.
+(``source``), a beta prior is fitted to the hosts' rates by moments, and a host is rejected when most of its documents
+fail for sure: when the lower bound of its shrunk rate (``Z`` posterior deviations below it) is above one half. Host verdicts go back to the documents by a join on the host; those of hosts above ``HOST_ROWS`` documents are
+broadcast, so a host that holds a third of all rows is no task of its own.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velado.llm.util import stored, text_rows
+from velado.llm.util import small_side, stored, text_rows
 from velado.llm.words import SEP, Tile, tiles
 
-SALTS = 64
+#: Documents of a host up to which its rows meet in one task, and the one-sided 95 % bound in posterior deviations.
+HOST_ROWS, Z = 100_000, 1.645
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -96,13 +97,13 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return m * weight, (1 - m) * weight
 
 
-def host_rules(docs: DataFrame, reject_rate: float = 0.9) -> DataFrame:
-    """Counts, ``base_failed``, ``host_rate`` and ``kept`` of every document row.
+def host_rules(docs: DataFrame, majority: float = 0.5, z: float = Z) -> DataFrame:
+    """Counts, ``base_failed``, ``host_rate``, ``host_low`` and ``kept`` of every document row.
 
-    A document fails by itself with fewer than 10 words or with more than 20 % repeated words. ``kept`` is false
-    then, or when its host's shrunk failure rate is above ``reject_rate``. Null hosts are one host of their own;
-    null texts have no words; repeated rows count and come back each; an empty table gives no rows; other columns
-    are ignored.
+    A document fails by itself with fewer than 10 words or with more than 20 % repeated words. ``kept`` is false then,
+    or when its host is rejected: its shrunk failure rate less ``z`` posterior deviations is above ``majority``, so
+    that a host of few documents needs more than a few failures. Null hosts are one host of their own; null texts have
+    no words; repeated rows count and come back each; an empty table gives no rows; other columns are ignored.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = stored(document_counts(docs).withColumn("base_failed", failed))
@@ -110,9 +111,13 @@ def host_rules(docs: DataFrame, reject_rate: float = 0.9) -> DataFrame:
     hosts = rows.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("failed"))
     hosts = stored(hosts)
     a, b = beta_prior(hosts)
-    verdicts = hosts.select("host", ((F.col("failed") + a) / (F.col("n") + a + b)).alias("host_rate"))
-    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marked = rows.select("*", host, F.pmod(F.xxhash64("doc_id", *_COUNTS), F.lit(SALTS)).cast("int").alias("salt"))
-    return marked.join(salted, ["host", "salt"]).select(
-        "doc_id", *_COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= reject_rate)).alias("kept")
-    )
+    rate = (F.col("failed") + a) / (F.col("n") + a + b)
+    low = F.col("host_rate") - z * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + a + b + 1))
+    verdicts = hosts.withColumn("host_rate", rate).withColumn("host_low", low)
+    # Hosts of many documents are few (at most one for HOST_ROWS rows), so their verdicts are broadcast; the rows of any
+    # other host are few enough to meet in one task.
+    large = small_side(verdicts.where(F.col("n") > HOST_ROWS))
+    marked = rows.select("*", host)
+    found = marked.join(large, "host").unionByName(marked.join(large, "host", "left_anti").join(verdicts.where(F.col("n") <= HOST_ROWS), "host"))
+    kept = ~F.col("base_failed") & (F.col("host_low") <= majority)
+    return found.select("doc_id", *_COUNTS, "base_failed", "host_rate", "host_low", kept.alias("kept"))

@@ -209,6 +209,15 @@ def identify(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
+#: A text whose best language has no majority of the pooled probability is in none of the learned languages.
+MAJORITY = 0.5
+
+
+def has_language(lang: str = "lang_pred", score: str = "score"):
+    """Verdict on an identified row: it has letters, and one learned language holds the majority of its probability."""
+    return (F.col(lang) != "und") & (F.col(score) >= MAJORITY)
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document row. Repeated rows come back each, an empty table
     gives no rows, other columns are ignored; ``lang`` is read for training only."""

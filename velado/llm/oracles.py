@@ -47,8 +47,9 @@ h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS x FROM f GROUP BY s
 m AS (SELECT least(greatest(avg(x / n), 0.0001), 0.9999) AS m, var_pop(x / n) AS v, avg(1.0 / n) AS inv FROM h),
 q AS (SELECT m, v - m * (1 - m) * inv AS spread FROM m),
 p AS (SELECT m, CASE WHEN spread > 0 THEN least(greatest(m * (1 - m) / spread - 1, 1.0), 1000.0) ELSE 1000.0 END AS weight FROM q),
-rate AS (SELECT source, (x + m * weight) / (n + weight) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.9 AS kept
+rate AS (SELECT source, (x + m * weight) / (n + weight) AS rate, n + weight + 1 AS size FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate - 1.645 * sqrt(rate * (1 - rate) / size) <= 0.5 AS kept
 FROM f JOIN rate ON rate.source IS NOT DISTINCT FROM f.source"""
 
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

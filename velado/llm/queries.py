@@ -52,7 +52,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrules.host_rules(_docs(spark, sf_dir)).drop("host_rate")
+    return hostrules.host_rules(_docs(spark, sf_dir)).drop("host_rate", "host_low")
 
 
 def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # a table, so that a hub's side can be split
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = large.where("u <> v").distinct()
-        low = step.groupBy("u").agg(F.min("v").alias("m"))
+        step = stored(large.where("u <> v").distinct())
+        low = stored(step.groupBy("u").agg(F.min("v").alias("m")))
         linked = step.join(low, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = stored(small.where("u <> v").distinct())
