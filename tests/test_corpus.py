@@ -30,10 +30,16 @@ def test_parse_ann_strict_and_lenient(spark):
 
 
 def test_fix_ann_line(spark):
-    line = "T1 FARMACO 0 7 Sintrom T2 FARMACO 10 17 Adiro 100"
-    df = spark.createDataFrame([(line,)], "l string")
-    got = df.select(C.fix_ann_line(F.col("l")).alias("x")).collect()[0]["x"]
-    assert got == ["T1\tFARMACO 0 7\tSintrom", "T2\tFARMACO 10 17\tAdiro 100"]
+    several = "T1 FARMACO 0 7 Sintrom T2 FARMACO 10 17 Adiro 100 "
+    cases = [(several, ["T1\tFARMACO 0 7\tSintrom", "T2\tFARMACO 10 17\tAdiro 100"], True)]
+    # Lines with a tab, or not starting with T, are not looked at; one that does not parse is told.
+    keep = ["#1\tAnnotatorNotes T1\tsee T1 FARMACO 0 3 abc", "R1 Rel T1 FARMACO 7 18 x", "T1\tFARMACO 0 3\tabc", "T1 FARMACO 0 3 a\tT2 FARMACO 4 5 b", ""]
+    cases += [(line, [line], None) for line in keep] + [("T1 PER 0 3 abc", ["T1 PER 0 3 abc"], False)]
+    df = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(cases)], "i int, l string")
+    got = [r.x for r in df.orderBy("i").select(C.fix_ann_line(F.col("l")).alias("x")).collect()]
+    assert [(x.lines, x.parsed) for x in got] == [c[1:] for c in cases]
+    other = spark.createDataFrame([("T1 PER 0 3 abc T2 PER 4 6 de",)], "l string").select(C.fix_ann_line(F.col("l"), "PER").alias("x")).first().x
+    assert other.lines == ["T1\tPER 0 3\tabc", "T2\tPER 4 6\tde"]
 
 
 def test_edge_reasons(spark):

@@ -96,18 +96,19 @@ def ann_lines(spans: Column, text: Column, blocks: Column | None = None) -> Colu
     return F.array_join(F.transform(S.sort_spans(spans), line), "\n")
 
 
-def fix_ann_line(line: Column) -> Column:
-    """Split a line holding several ``T<n> LABEL s e text`` annotations without tabs into proper
-    tab-separated lines (T10); lines that do not parse are kept as they are."""
-    pat = r"(T\d+)\s+([A-Za-z_]+)\s+(\d+)\s+(\d+)\s+(.+?)(?=\s+T\d+\s+[A-Za-z_]+\s+\d+\s+\d+\s|$)"
-    ids = F.regexp_extract_all(line, F.lit(pat), F.lit(1))
-    labs = F.regexp_extract_all(line, F.lit(pat), F.lit(2))
-    ss = F.regexp_extract_all(line, F.lit(pat), F.lit(3))
-    es = F.regexp_extract_all(line, F.lit(pat), F.lit(4))
-    tx = F.regexp_extract_all(line, F.lit(pat), F.lit(5))
-    z = F.arrays_zip(ids.alias("i"), labs.alias("l"), ss.alias("s"), es.alias("e"), tx.alias("t"))
-    fixed = F.transform(z, lambda r: F.format_string("%s\t%s %s %s\t%s", r["i"], r["l"], r["s"], r["e"], r["t"]))
-    return F.when(line.rlike(r"^T\d+\t"), F.array(line)).when(F.size(ids) > 0, fixed).otherwise(F.array(line))
+def fix_ann_line(line: Column, label: str = P.DRUG_ANN_LABEL) -> Column:
+    """``struct<lines, parsed>``: an annotation line with several annotations and no tab, split into proper lines.
+
+    Only a line that starts with ``T`` and holds no tab is looked at; any other stays as it is (``parsed`` null).  One
+    that holds no annotation of ``label`` stays as well, with ``parsed`` false.
+    """
+    pat = F.lit(P.untabbed_annotations(label))
+    part = lambda k: F.regexp_extract_all(line, pat, F.lit(k))
+    z = F.arrays_zip(part(1).alias("i"), part(2).alias("s"), part(3).alias("e"), part(4).alias("t"))
+    fixed = F.transform(z, lambda r: F.format_string(f"%s\t{label} %s %s\t%s", r["i"], r["s"], r["e"], F.trim(r["t"])))
+    ours = line.startswith("T") & ~F.contains(line, F.lit("\t"))
+    n = F.when(ours, F.size(z))
+    return F.struct(F.when(n > 0, fixed).otherwise(F.array(line)).alias("lines"), (n > 0).alias("parsed"))
 
 
 REASONS = ("empty-after-normalize", "isspace-edge", "space/punct-edge", "strip-differs")

@@ -10,6 +10,7 @@ from ..functions import spans as S
 from ..operators import corpus as C
 from ..operators import spanops as SO
 from ..operators import tokens as TK
+from . import q_notes as QN
 from . import q_spans as QS
 from .registry import register, table
 from .sqlpat import sq
@@ -372,3 +373,32 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
 def rejects_no_ann(spark, sf):
     d = annotated(spark, sf).withColumn("n_spans", F.size(C.parse_ann(F.col("ann"), F.col("text"))).cast("long"))
     return d.select("doc_id", F.when(F.col("n_spans") > 0, "OK").otherwise("NO_ANN").alias("status"), "n_spans")
+
+
+#: Annotation lines of each kind: several annotations without tabs, proper, a note, a relation, one that does not parse, a
+#: tab in a line with several, and one that does not start with T.
+_D1, _D2 = QN._pick(QN.DRUGS, "o_orderkey"), QN._pick(QN.DRUGS, "o_custkey")
+_LINES = [
+    (f"concat('T1 FARMACO 7 18 ', {_D1}, ' 10 mg T2 FARMACO 21 35  ', {_D2}, ' T3 FARMACO 40 44 x ')",
+     f"concat('T1\tFARMACO 7 18\t', {_D1}, ' 10 mg\nT2\tFARMACO 21 35\t', {_D2}, '\nT3\tFARMACO 40 44\tx')", "true"),
+    (f"concat('T1\tFARMACO 0 5\t', {_D1})", None, "NULL"),
+    ("concat('#1\tAnnotatorNotes T1\tsee T1 FARMACO 0 3 ', CAST(o_orderkey AS STRING))", None, "NULL"),
+    (f"concat('R1 Rel T1 FARMACO 7 18 ', {_D1})", None, "NULL"),
+    (f"concat('T9 sin forma ', {_D1})", None, "false"),
+    (f"concat('T1 FARMACO 7 18 ', {_D1}, '\tT2 FARMACO 21 35 ', {_D2})", None, "NULL"),
+    (f"concat(' T1 FARMACO 7 18 ', {_D1})", None, "NULL"),
+    (f"concat('T4 OTRO 1 2 a T5 FARMACO 3 9 ', {_D2})", f"concat('T5\tFARMACO 3 9\t', {_D2})", "true"),
+]
+_LINE = "CASE " + " ".join(f"WHEN o_orderkey % {len(_LINES)} = {i} THEN {x[0]}" for i, x in enumerate(_LINES)) + " END"
+
+
+@register(
+    "fix_ann_lines",
+    "T10 (several annotations on a line without tabs)",
+    "orders",
+    "SELECT o_orderkey, CASE " + " ".join(f"WHEN o_orderkey % {len(_LINES)} = {i} THEN {x[1] or x[0]}" for i, x in enumerate(_LINES)) + " END AS lines, CASE "
+    + " ".join(f"WHEN o_orderkey % {len(_LINES)} = {i} THEN CAST({x[2]} AS BOOLEAN)" for i, x in enumerate(_LINES)) + " END AS parsed FROM orders",
+)
+def fix_ann_lines(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", C.fix_ann_line(F.expr(_LINE)).alias("f"))
+    return o.select("o_orderkey", F.array_join("f.lines", "\n").alias("lines"), "f.parsed")

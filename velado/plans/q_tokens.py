@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from ..operators import lexicon as LX
 from ..operators import tokens as TK
 from ..operators import weak as WK
 from . import q_spans as QS
@@ -176,7 +177,7 @@ def weak_span_counts(spark, sf):
 
 def _balanced_sql():
     names = "[" + ", ".join(sq(x) for x in sorted(set(P.COMMON_GIVEN_NAMES))) + "]"
-    key = "concat_ws('|', {seed}, doc_id, i, \"left\", span, \"right\")"
+    key = "concat_ws('|', {seed}, doc_id, i)"
     return f"""WITH t AS {tokens_sql('documents', 'doc_id')},
 c AS (SELECT t.doc_id, t.i, t.tok AS span,
              substr(d.text, greatest(t.start - 50, 0) + 1, t.start - greatest(t.start - 50, 0)) AS "left",
@@ -196,5 +197,24 @@ SELECT *, md5({key.format(seed="'43'")}) AS order_key FROM keep"""
 
 @register("balanced_sample", "W5 W6 T6", "documents", _balanced_sql())
 def balanced_sample(spark, sf):
-    spans = WK.weak_spans(spark, table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    return WK.balance(spans, seed=42)
+    return WK.balanced_spans(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", seed=42)
+
+
+@register(
+    "stratified_tokens",
+    "W7 T5 (exact 85/15 split within each label)",
+    "documents",
+    f"""WITH l AS (SELECT doc_id, i, CASE WHEN list_contains({_LEX_SQL}, lower(tok)) THEN 'DRUG' WHEN regexp_matches(tok, '^[0-9]') THEN 'NUMBER' ELSE 'OTHER' END AS label
+           FROM {tokens_sql('documents', 'doc_id')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', doc_id, i)), doc_id, i) AS nth, count(*) OVER (PARTITION BY label) AS n FROM l)
+SELECT label, CASE WHEN nth <= floor(0.15 * n + 0.5) THEN 'test' ELSE 'train' END AS split, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i, CAST(sum(doc_id) AS BIGINT) AS sum_doc
+FROM r GROUP BY ALL""",
+)
+def stratified_tokens(spark, sf):
+    d = TK.with_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text", "toks")
+    rows = S.explode_rows(d, F.col("toks"), ["doc_id"]).select("doc_id", "s.i", "s.tok")
+    rows = WK.weak_token_labels(rows, "tok", LX.from_terms(spark, P.BUILTIN_DRUGS))
+    number = (F.col("label") == "OTHER") & F.col("tok").rlike("^[0-9]")
+    rows = rows.select("doc_id", "i", F.when(number, "NUMBER").otherwise(F.col("label")).alias("label"))
+    out = WK.stratified_split(rows, "label", ["doc_id", "i"])
+    return out.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("i").cast("long").alias("sum_i"), F.sum("doc_id").alias("sum_doc"))
