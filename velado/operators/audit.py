@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 
 
+def _sums(text_cols, text_step_names, struct_count_cols, all_cols):
+    """The aggregates of an audit, and for each the ``(scope, key)`` that it is reported under."""
+    total = lambda e: F.coalesce(F.sum(e), F.lit(0)).cast("long")
+    aggs = [(F.count(F.lit(1)).cast("long"), "rows", "rows")]
+    for c in text_cols:
+        aggs.append((total(sum((F.col(f"__tc_{c}.{n}") for n in text_step_names), F.lit(0))), "per_col", c))
+    aggs.append((total(sum((F.col(f"__tc_{c}.protected") for c in text_cols), F.lit(0))), "protected_drug_spans_total", "total"))
+    for c in all_cols:
+        if c not in text_cols:
+            aggs.append((total(F.col(f"__sc_{c}") if f"__sc_{c}" in struct_count_cols else F.lit(0)), "per_col", c))
+    return aggs
+
+
 def audit_table(masked: DataFrame, text_cols, text_step_names, struct_count_cols, all_cols) -> DataFrame:
     """One aggregate over the masked table's count columns (one pass, partial aggregation).
 
@@ -15,29 +28,32 @@ def audit_table(masked: DataFrame, text_cols, text_step_names, struct_count_cols
     count (0 for keep/num/cat, absent kinds also 0).  ``rows``: row count.  ``protected``: total
     protected medication spans.
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    keys = []
-    for c in text_cols:
-        tot = sum((F.col(f"__tc_{c}.{n}") for n in text_step_names), F.lit(0))
-        aggs.append(F.coalesce(F.sum(tot), F.lit(0)).cast("long").alias(f"pc_{c}"))
-        keys.append(("per_col", c, f"pc_{c}"))
-    prot = sum((F.col(f"__tc_{c}.protected") for c in text_cols), F.lit(0))
-    aggs.append(F.coalesce(F.sum(prot), F.lit(0)).cast("long").alias("protected"))
-    for c in all_cols:
-        if c in text_cols:
-            continue
-        cc = f"__sc_{c}"
-        expr = F.col(cc) if cc in struct_count_cols else F.lit(0)
-        aggs.append(F.coalesce(F.sum(expr), F.lit(0)).cast("long").alias(f"pc_{c}"))
-        keys.append(("per_col", c, f"pc_{c}"))
-    one = masked.agg(*aggs)
-    rows = [F.struct(F.lit(s).alias("scope"), F.lit(k).alias("key"), F.col(a).alias("n")) for s, k, a in keys]
-    rows.append(F.struct(F.lit("rows").alias("scope"), F.lit("rows").alias("key"), F.col("rows").cast("long").alias("n")))
-    rows.append(F.struct(F.lit("protected_drug_spans_total").alias("scope"), F.lit("total").alias("key"),
-                         F.col("protected").alias("n")))
+    aggs = _sums(text_cols, text_step_names, struct_count_cols, all_cols)
+    one = masked.agg(*(a.alias(f"a{i}") for i, (a, _, _) in enumerate(aggs)))
+    rows = [F.struct(F.lit(s).alias("scope"), F.lit(k).alias("key"), F.col(f"a{i}").alias("n")) for i, (_, s, k) in enumerate(aggs)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def write_masked_observed(df: DataFrame, profile, path: str, protect: bool | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Mask a table by profile and write it to ``path`` (M11, S10); the audit rows come from that write itself.
+
+    The sums are observed while the rows are written, so the table is read and masked once and every written row is
+    counted, whatever the table holds when somebody looks at it later.  Null counts count as 0; an empty table gives
+    zeros.  Returns the audit rows ``(scope, key, n)``, as ``audit_table`` does.
+    """
+    from . import mask as M
+
+    masked, text_cols, struct_cols = M.mask_table(df, profile, protect)
+    steps = [n for n, _, _ in M.T.text_steps(profile)]
+    aggs = _sums(text_cols, steps, struct_cols, df.columns)
+    seen = Observation()
+    observed = masked.observe(seen, *(a.alias(f"a{i}") for i, (a, _, _) in enumerate(aggs)))
+    observed.select(*df.columns).write.mode(mode).parquet(path)
+    got = seen.get
+    rows = [(s, k, int(got.get(f"a{i}") or 0)) for i, (_, s, k) in enumerate(aggs)]
+    return df.sparkSession.createDataFrame(rows, "scope string, key string, n long")
+
+
 def per_entity(masked: DataFrame, counts: str) -> DataFrame:
     """``(scope, key, n)`` rows ``per_ent``: how often each entity label was masked in the whole table."""
     one = S.explode_rows(masked, F.col(f"{counts}.ents"), [], "key")

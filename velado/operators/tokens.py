@@ -129,6 +129,40 @@ def chunk_starts(n: Column, max_len: int = 256, stride: int = 128) -> Column:
     return F.transform(S.seq0(last + 1), lambda k: k * step)
 
 
+def chunk_tags(n: Column, starts: Column, tags_of, max_len: int = 256) -> Column:
+    """``array<struct<start, tags>>``: ``tags_of(start, length)`` for every chunk of a document of ``n`` tokens."""
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), tags_of(s, F.least(F.lit(max_len), n - s)).alias("tags")))
+
+
+def stitch_chunks(n: Column, chunks: Column, max_len: int = 256, stride: int = 128) -> Column:
+    """One tag for each of ``n`` tokens from the tags of overlapping chunks (W3): a token takes that of the chunk in which
+    it stands farthest from the nearer end, the earlier chunk on a tie.  ``chunks`` start at multiples of the step, as
+    ``chunk_starts`` gives them, so the few that hold a token are found by arithmetic; each token looks at those alone.
+    """
+    step = max_len - stride
+
+    def best(i):
+        low = F.greatest(F.ceil((i - (max_len - 1)) / step).cast("int"), F.lit(0))
+        high = F.least(F.floor(i / step).cast("int"), F.size(chunks) - 1)
+
+        def rank(k):
+            c = F.get(chunks, k)
+            room = F.least(i - c["start"], c["start"] + F.size(c["tags"]) - 1 - i)
+            return F.struct((-room).alias("r"), k.alias("k"))
+
+        k = F.array_min(F.transform(F.sequence(low, high), rank))["k"]
+        c = F.get(chunks, k)
+        return F.get(c["tags"], i - c["start"])
+
+    return F.transform(S.seq0(n), best)
+
+
+def label_ids(tags: Column, labels) -> Column:
+    """Ids of BIO tags by their place in ``labels`` (``O`` first); a tag that is not among them counts as ``O``."""
+    ids = F.create_map(*[x for i, t in enumerate(labels) for x in (F.lit(t), F.lit(i))])
+    return F.transform(tags, lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(list(labels).index("O"))))
+
+
 def bio_label_list(labels: DataFrame, label_col: str = "label") -> DataFrame:
     """``O`` then ``B-x``, ``I-x`` for each distinct label in sorted order, with ids.
 

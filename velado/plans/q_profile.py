@@ -3,6 +3,8 @@ masking with audit (M11/A1/P6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -10,6 +12,7 @@ from ..operators import audit as AU
 from ..operators import mask as M
 from ..operators import profiling as PR
 from ..profile import default_profile
+from ..session import ensure_checkpoint_dir
 from .registry import register, table
 from .sqlpat import ci, profile_steps, sq
 
@@ -94,6 +97,15 @@ def mask_table_audit(spark, sf):
     return AU.audit_table(masked, text_cols, _TEXT_STEPS, sc, docs.columns)
 
 
+@register("observed_audit", "A1 S10 S11 M11 (audit from the masked write itself)", "documents", _audit_sql())
+def observed_audit(spark, sf):
+    """Mask ``documents`` into a table of the shared folder, and report what that one pass counted."""
+    docs = table(spark, sf, "documents")
+    prof = default_profile(text_cols=["text"], structured_types=DOC_KINDS, protect_drugs=False)
+    home = ensure_checkpoint_dir(spark).rstrip("/")
+    return AU.write_masked_observed(docs, prof, f"{home}/velado-masked/{uuid.uuid4().hex}")
+
+
 def _summary_sql():
     steps = profile_steps() + [("heur", ci(P.HEURISTIC_RESIDENCE), r"\1 [LOC]")]
     ctes = ["s0 AS (SELECT text, text AS t0 FROM documents)"]

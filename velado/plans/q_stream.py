@@ -57,3 +57,32 @@ def event_windows(spark, sf):
     latest = out.groupBy("window_start", "event_type").agg(
         F.max_by(F.struct("n", "value_sum"), "batch_id").alias("v"))
     return latest.select("window_start", "event_type", "v.n", "v.value_sum")
+
+
+#: A message for every event, with what the masker has to find in it.
+_MESSAGE = ("concat('Evento ', CASE WHEN event_id % 2 = 0 THEN concat('DNI ', lpad(CAST(event_id AS STRING), 8, '0'), 'B') ELSE 'sin datos' END, "
+            "CASE WHEN user_id % 3 = 0 THEN concat(' de u', CAST(user_id AS STRING), '@correo.es') ELSE '' END, "
+            "CASE WHEN event_id % 5 < 2 THEN ' el 01/02/2024 y 03/04/2024' ELSE '' END)")
+
+
+@register(
+    "stream_audit",
+    "2.16 A1 (masked stream, counts a window and tag, watermark, idempotent batches)",
+    "events",
+    """WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_id, user_id, max(ts) OVER () AS latest FROM events),
+t AS (SELECT window_start, latest, 'dni' AS tag, 1 AS n FROM e WHERE event_id % 2 = 0
+      UNION ALL SELECT window_start, latest, 'email', 1 FROM e WHERE user_id % 3 = 0
+      UNION ALL SELECT window_start, latest, 'date', 2 FROM e WHERE event_id % 5 < 2)
+SELECT window_start, tag, CAST(sum(n) AS BIGINT) AS n FROM t
+WHERE window_start + INTERVAL 1 HOUR <= latest - INTERVAL 10 MINUTE GROUP BY window_start, tag""",
+)
+def stream_audit(spark, sf):
+    """Messages of the events are masked as a stream; a window's counts are written when the watermark has passed it."""
+    full = table(spark, sf, "events").schema
+    src = spark.readStream.schema(full).option("pathGlobFilter", "events.parquet").parquet(sf)
+    src = src.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_MESSAGE).alias("text"))
+    profile = default_profile()
+    masked = MS.M.mask_text(src, "text", profile, out="masked", counts="c", protect=False)
+    names = [n for n, _, _ in MS.M.T.text_steps(profile)]
+    out = MS.run_to_batches(MS.windowed_audit(masked, "ts", "c", names), "stream_audit")
+    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tag", "n")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
+from ..operators import evaluate as EV
 from ..operators import lexicon as LX
 from ..operators import tokens as TK
 from ..operators import weak as WK
 from . import q_spans as QS
-from .registry import register, table
+from .registry import REGISTRY, register, table
 from .sqlpat import re2, sq
 
 TOKEN_RE2 = sq(re2(P.TOKEN_PATTERN))
@@ -155,6 +156,90 @@ def chunks(spark, sf):
     return S.explode_rows(d, F.col("ch"), ["doc_id"]).select("doc_id", "s.*")
 
 
+#: A number tagger that sees one chunk at a time: a token that starts with a digit, I after such a token of the same chunk.
+_CHUNK_TAGS_SQL = f"""t AS {tokens_sql('documents', 'doc_id')},
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT doc_id, n, unnest(range(0, greatest(0, CAST(ceil((n - {MAX_LEN}) / {MAX_LEN - STRIDE}) AS BIGINT)) + 1)) AS chunk FROM n),
+x AS (SELECT t.*, chunk, i - chunk * {MAX_LEN - STRIDE} AS j, least({MAX_LEN}, n - chunk * {MAX_LEN - STRIDE}) AS len FROM t JOIN c ON c.doc_id = t.doc_id
+      AND i >= chunk * {MAX_LEN - STRIDE} AND i < chunk * {MAX_LEN - STRIDE} + {MAX_LEN}),
+y AS (SELECT *, regexp_matches(tok, '^[0-9]') AS num, lag(regexp_matches(tok, '^[0-9]')) OVER (PARTITION BY doc_id, chunk ORDER BY i) AS before FROM x),
+z AS (SELECT *, CASE WHEN NOT num THEN 'O' WHEN before THEN 'I-NUM' ELSE 'B-NUM' END AS tag,
+             row_number() OVER (PARTITION BY doc_id, i ORDER BY least(j, len - 1 - j) DESC, chunk) AS pick FROM y),
+s AS (SELECT doc_id, i, tok, start, "end", chunk, tag FROM z WHERE pick = 1)"""
+
+
+def _stitched(spark, sf):
+    """Tokens of the documents with the tags of a tagger that ran over overlapping chunks, stitched together."""
+    d = TK.with_tokens(table(spark, sf, "documents").select("doc_id", "text"), "text", "toks")
+    d = d.withColumn("starts", TK.chunk_starts(F.size("toks"), MAX_LEN, STRIDE))
+    d = d.withColumn("num", S.pinned("toks", F.transform("toks", lambda t: t["tok"].rlike("^[0-9]"))))
+
+    def tags(start, length):
+        own = F.slice("num", start + 1, length)
+        return F.transform(own, lambda x, j: F.when(~x, "O").when((j > 0) & F.get(F.col("num"), start + j - 1), "I-NUM").otherwise("B-NUM"))
+
+    d = d.withColumn("chunked", S.pinned("num", TK.chunk_tags(F.size("toks"), F.col("starts"), tags, MAX_LEN)))
+    return d.withColumn("tags", S.pinned("chunked", TK.stitch_chunks(F.size("toks"), F.col("chunked"), MAX_LEN, STRIDE)))
+
+
+@register(
+    "stitched_tags",
+    "W3 (each token from the chunk with most context)",
+    "documents",
+    f"""WITH {_CHUNK_TAGS_SQL}
+SELECT doc_id, tag, count(*) AS n, CAST(sum(i) AS BIGINT) AS sum_i FROM s GROUP BY doc_id, tag""",
+)
+def stitched_tags(spark, sf):
+    d = _stitched(spark, sf)
+    at = S.pinned("tags", F.transform(F.array_distinct("tags"), lambda t: F.struct(
+        t.alias("tag"), F.filter(S.seq0(F.size("tags")), lambda i: F.get(F.col("tags"), i) == t).alias("at"))))
+    rows = S.explode_rows(d.withColumn("by", at), F.col("by"), ["doc_id"]).select("doc_id", "s.*")
+    total = F.aggregate("at", F.lit(0).cast("long"), lambda a, i: a + i)
+    return rows.select("doc_id", "tag", F.size("at").cast("long").alias("n"), total.alias("sum_i"))
+
+
+_ISLANDS = """SELECT doc_id, min(start) AS a, max("end") AS b FROM (
+  SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, {tag} = 'B-NUM' OR coalesce(lag({tag}) OVER (PARTITION BY doc_id ORDER BY i), 'O') = 'O' AS fresh FROM live) WHERE {tag} <> 'O') GROUP BY doc_id, island"""
+
+
+@register(
+    "chunk_eval",
+    "E8 W3 (entity P/R/F1 of stitched tags, positions marked -100 ignored)",
+    "documents",
+    f"""WITH {_CHUNK_TAGS_SQL},
+m AS (SELECT *, regexp_matches(tok, '[0-9]') AS digit, lag(regexp_matches(tok, '[0-9]')) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s),
+live AS (SELECT *, CASE WHEN NOT digit THEN 'O' WHEN before THEN 'I-NUM' ELSE 'B-NUM' END AS gold FROM m WHERE length(tok) > 1),
+g AS ({_ISLANDS.format(tag="gold")}), p AS ({_ISLANDS.format(tag="tag")}),
+k AS (SELECT (SELECT count(*) FROM g JOIN p USING (doc_id, a, b)) AS tp, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM g) AS n_gold)
+SELECT tp, n_pred - tp AS fp, n_gold - tp AS fn, tp / n_pred AS p, tp / n_gold AS r, 2 * tp / (n_pred + n_gold) AS f1 FROM k""",
+)
+def chunk_eval(spark, sf):
+    d = _stitched(spark, sf)
+    digit = S.pinned("toks", F.transform("toks", lambda t: t["tok"].rlike("[0-9]")))
+    d = d.withColumn("digit", digit)
+    gold = F.transform("toks", lambda t, i: F.when(F.length(t["tok"]) <= 1, EV.IGNORED).when(~F.get(F.col("digit"), i), "O").when(
+        (i > 0) & F.get(F.col("digit"), i - 1), "I-NUM").otherwise("B-NUM"))
+    d = EV.sequence_counts(d.withColumn("gold", S.pinned("digit", gold)), "toks", "gold", "tags", "c")
+    c = d.agg(*(F.sum(f"c.{x}").alias(x) for x in ("tp", "fp", "fn")))
+    p, r, f1 = EV.prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return c.select("tp", "fp", "fn", p.alias("p"), r.alias("r"), f1.alias("f1"))
+
+
+@register(
+    "label_ids",
+    "T9 (tags to ids, unknown to O)",
+    "documents",
+    f"""SELECT doc_id, CASE WHEN tag = 'B-PHI' THEN 1 ELSE 0 END AS id, CAST(sum(n) AS BIGINT) AS n FROM ({{tags}}) GROUP BY ALL""".replace("{tags}", REGISTRY["bio_tags"].sql),
+)
+def label_ids(spark, sf):
+    """BIO tags as ids of a label list that lacks the inside tag, which counts as ``O``."""
+    d = TK.with_bio_tags(TK.with_tokens(_gold(spark, sf), "text", "toks"), "toks", "gold", "tags")
+    d = d.withColumn("ids", S.pinned("tags", TK.label_ids(F.col("tags"), ["O", "B-PHI"])))
+    counts = F.transform(F.array_distinct("ids"), lambda x: F.struct(x.alias("id"), F.size(F.filter("ids", lambda y: y == x)).cast("long").alias("n")))
+    return S.explode_rows(d.withColumn("cnt", S.pinned("ids", counts)), F.col("cnt"), ["doc_id"]).select("doc_id", "s.id", "s.n")
+
+
 @register(
     "weak_span_counts",
     "T6 T5 J3 V15 A6",

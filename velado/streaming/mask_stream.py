@@ -39,3 +39,29 @@ def windowed_counts(events: DataFrame, ts: str, key: str, window: str = "1 hour"
     return (events.withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")))
+
+
+def windowed_audit(masked: DataFrame, ts: str, counts: str, names, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
+    """How often each tag was masked in each tumbling window of a masked stream (2.16, A1).
+
+    State is one sum a (window, tag).  In append mode a window is given out once, when the watermark has passed its end;
+    rows that come later are dropped by the watermark.
+    """
+    tags = F.array(*[F.struct(F.lit(n).alias("tag"), F.col(f"{counts}.{n}").alias("n")) for n in names])
+    rows = masked.withWatermark(ts, watermark).select(ts, F.explode(F.filter(tags, lambda t: t["n"] > 0)).alias("t"))
+    return rows.groupBy(F.window(ts, window).alias("w"), "t.tag").agg(F.sum("t.n").cast("long").alias("n")).select(
+        F.col("w.start").alias("window_start"), "tag", "n")
+
+
+def run_to_batches(stream_df: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> str:
+    """Run the stream over the available input; every micro-batch overwrites the folder of its own id, so a batch that is
+    run again after a failure leaves no second copy.  Returns the folder of the batches."""
+    run = base or f"{ensure_checkpoint_dir(stream_df.sparkSession).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{run}/out/batch_id={batch_id}")
+
+    handle = (stream_df.writeStream.outputMode(output_mode).foreachBatch(sink).option("checkpointLocation", f"{run}/checkpoint")
+              .trigger(availableNow=True).start())
+    handle.awaitTermination()
+    return f"{run}/out"
