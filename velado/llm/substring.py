@@ -23,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velado.llm.util import row_key, stored, text_rows
+from velado.llm.util import stored, text_rows, wide_row_key
 from velado.llm.words import Tile, spans_hash, tiles
 
 WINDOW, SEED = 35, 11
 #: One place of a path: the document row's key, the first word, and the words of the path.
-PLACE = np.dtype([("key", "<i8"), ("start", "<i4"), ("words", "<i4")])
+PLACE = np.dtype([("key", "V16"), ("start", "<i4"), ("words", "<i4")])
+
+
+def _keys(t: Tile) -> np.ndarray:
+    """The rows' keys of 16 bytes."""
+    return np.frombuffer(b"".join(t.batch.column("key").to_pylist()), "V16")
 
 
 def paths(t: Tile, hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -71,7 +76,7 @@ def gathered(a: np.ndarray, b: np.ndarray, places: np.ndarray) -> pa.RecordBatch
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return text_rows(docs).withColumn("key", row_key())
+    return text_rows(docs).withColumn("key", wide_row_key())
 
 
 def path_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -83,13 +88,18 @@ def path_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
             doc, start, end, node = paths(t, words, window, seed)
             if len(doc):
                 places = np.empty(len(doc), PLACE)
-                places["key"] = t.batch.column("key").to_numpy()[doc]
+                places["key"] = _keys(t)[doc]
                 places["start"], places["words"] = start - t.first[doc], end - start
                 yield gathered(node, spans_hash(words, start, end), places)
 
     return _keyed(docs).select("key", "text").mapInArrow(work, "a long, b long, n int, at binary")
 
 
+def _binary(keys: np.ndarray) -> pa.Array:
+    keys = np.ascontiguousarray(keys)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
 def _places(rows: DataFrame) -> DataFrame:
     """The places of gathered rows, one row each, with the boolean columns ``whole`` and ``expand``. A whole path is
     expanded at its first place alone."""
@@ -106,11 +116,11 @@ def _places(rows: DataFrame) -> DataFrame:
             lead = np.zeros(len(p), bool)
             lead[np.cumsum(n) - n] = True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p["key"]), pa.array(p["start"]), pa.array(p["words"]), pa.array(whole), pa.array(expand & (lead | ~whole))],
+                [_binary(p["key"]), pa.array(p["start"]), pa.array(p["words"]), pa.array(whole), pa.array(expand & (lead | ~whole))],
                 ["key", "start", "words", "whole", "expand"],
             )
 
-    return rows.select("at", "whole", "expand").mapInArrow(work, "key long, start int, words int, whole boolean, expand boolean")
+    return rows.select("at", "whole", "expand").mapInArrow(work, "key binary, start int, words int, whole boolean, expand boolean")
 
 
 def _by_key(places: DataFrame) -> DataFrame:
@@ -139,7 +149,7 @@ def edge_rows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
             doc = np.repeat(doc, n)
             if len(at):
                 places = np.empty(len(at), PLACE)
-                places["key"] = t.batch.column("key").to_numpy()[doc]
+                places["key"] = _keys(t)[doc]
                 places["start"], places["words"] = at - t.first[doc], window
                 yield gathered(*(spans_hash(t.word_hash(s), at, at + window) for s in (1, 2)), places)
 
@@ -180,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, keep
     as well. Documents below ``window`` words lose nothing. An empty table gives no rows. Other columns are ignored.
     """
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    rows = base.withColumn("key", row_key()).join(repeated_spans(docs, window, seed), "key", "left").drop("key")
+    rows = base.withColumn("key", wide_row_key()).join(repeated_spans(docs, window, seed), "key", "left").drop("key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tiles(batches):

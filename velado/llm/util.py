@@ -39,10 +39,18 @@ def text_rows(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    """Key of a document row that every scan computes alike: its id and its text."""
+    """Key of a document row that every scan computes alike: its id and its text. For sampling and spreading, where two
+    rows may share one."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def wide_row_key() -> Column:
+    """Key of 16 bytes, by which results come back to their rows: two 64-bit hashes with different seeds, so that rows of
+    one key are equal rows at any size of the corpus."""
+    half = lambda *cols: F.lpad(F.hex(F.xxhash64(*cols)), 16, "0")
+    return F.unhex(F.concat(half("doc_id", "text"), half(F.lit(1), "text", "doc_id")))
+
+
 def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay below ``bound``; else as it is (shuffle join)."""
     return F.broadcast(df) if df.count() <= bound else df
