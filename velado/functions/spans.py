@@ -471,25 +471,6 @@ def trim_span(text: Column, s: Column, edge_class: str = EDGE_CLASS, blocks: Col
     return span(ns, ne, s["label"], s["src"])
 
 
-def align(s: Column, toks: Column, mode: str) -> Column:
-    """Snap a span to token edges (V13): ``strict`` keeps it only if both edges are token edges,
-    ``contract`` shrinks to the tokens fully inside, ``expand`` grows to the tokens it touches.
-    Null when no token qualifies.  ``toks`` must be a materialised array of structs with
-    ``start``/``end``."""
-    if mode == "strict":
-        ok = F.exists(toks, lambda t: t["start"] == s["start"]) & F.exists(toks, lambda t: t["end"] == s["end"])
-        return F.when(ok, F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    if mode == "contract":
-        inside = F.filter(toks, lambda t: (t["start"] >= s["start"]) & (t["end"] <= s["end"]))
-    elif mode == "expand":
-        inside = F.filter(toks, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    else:
-        raise ValueError(mode)
-    return F.when(F.size(inside) > 0, F.struct(
-        F.array_min(F.transform(inside, lambda t: t["start"])).alias("start"),
-        F.array_max(F.transform(inside, lambda t: t["end"])).alias("end")))
-
-
 def trim_whitespace(text: Column, s: Column, blocks: Column | None = None) -> Column:
     """Whitespace-only edge trim (V6): Python ``str.isspace`` characters."""
     from .patterns import PY_SPACE

@@ -77,17 +77,6 @@ def _replace_open(pat, repl):
     )
 
 
-def mask_segments(segs: Column, steps):
-    """Apply regex steps only to open (unprotected) segments (M7); counts per step."""
-    counts = {}
-    cur = segs
-    for name, pattern, repl in steps:
-        pat = F.lit(pattern)
-        counts[name] = F.aggregate(cur, F.lit(0), _count_open(pat)).cast("int")
-        cur = F.transform(cur, _replace_open(pat, repl))
-    return cur, counts
-
-
 def rules_first(text: Column):
     """Notebook variant (D2/M9): DNI, NIE, then phone to ``[TELEFONO]``, before any model."""
     steps = []
@@ -113,7 +102,6 @@ __all__ = [
     "is_blank",
     "regex_chain",
     "mask_plain",
-    "mask_segments",
     "rules_first",
     "mask_full",
     "unicode_trim",

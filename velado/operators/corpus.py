@@ -7,13 +7,12 @@ Annotation lines are parsed with built-in string functions (``split``, ``regexp_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
 
-ANN_LINE = r"^T[^\t]*\t"
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -145,11 +144,37 @@ def first_by_label(span_rows: DataFrame, labels, key: str = "doc_id", order: str
     return span_rows.groupBy(key).agg(*aggs)
 
 
-def adjacent_overlap_count(spans: Column) -> Column:
-    """Spans dropped by keep-first selection (V9 count, reported as skipped overlaps)."""
-    return F.size(spans) - F.size(S.select_first(spans))
+#: Reasons of lines and segments that give no span at all, before the edges are looked at.
+NOT_PARSED, OUT_OF_RANGE = "malformed", "out-of-range"
 
 
-def number_lines(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``row_number`` per document for annotation ids (used when spans are rows, S15)."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+def checked_lines(docs: DataFrame, context: int = 30) -> DataFrame:
+    """Every annotated segment of ``docs`` (``split, stem, text, ann``) with where it stands and why it is rejected.
+
+    Columns ``split, file, line_no, label, start, end, reason, first, last, frag, context``; ``file`` is the annotation
+    file's name, ``line_no`` counts from 1, ``first`` and ``last`` are the code points of the edges, and ``reason`` is null
+    for a good span.  Lines that do not start with ``T`` (notes, relations) are no annotations.  Both outcomes come from
+    one pass: store the rows once, and split them by ``reason``.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    d, blk = S.with_blocks(docs.select("split", "stem", t.alias("text"), F.split(F.coalesce("ann", F.lit("")), r"\r?\n", -1).alias("lines")), "text")
+    d = d.withColumn("size", F.length("text"))
+    lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    named = S.explode_rows(d.withColumn("l", lines), F.filter("l", lambda x: x["line"].startswith("T")),
+                           ["split", F.concat("stem", F.lit(".ann")).alias("file"), "text", blk, "size"], "l").select("*", "l.*").drop("l")
+    part = F.regexp_extract_all("line", F.lit(P.ANN_FIELDS), F.lit(1))
+    head = F.get(part, F.lit(0))
+    segs = F.split(F.regexp_extract("line", P.ANN_FIELDS, 2), r"\s*;\s*")
+    rows = named.withColumn("label", head).withColumn("seg", F.explode(F.when(F.col("label").isNull(), F.array(F.lit(""))).otherwise(segs)))
+    at = lambda i: F.get(F.split("seg", r"\s+"), F.lit(i)).try_cast("int")
+    rows = rows.withColumn("start", at(0)).withColumn("end", at(1))
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("size"))
+    rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    cut = lambda a, b: S.sub(F.col("text"), a, b - a, F.col(blk))
+    rows = rows.withColumn("frag", F.when(F.col("inside"), cut(F.col("start"), F.col("end"))))
+    low = F.greatest(F.col("start") - context, F.lit(0))
+    point = lambda c: F.format_string("U+%04X", F.ascii(c))
+    reason = F.when(F.col("label").isNull(), NOT_PARSED).when(~F.col("inside"), OUT_OF_RANGE).otherwise(edge_reason(F.col("frag")))
+    return rows.select("split", "file", "line_no", "label", "start", "end", reason.alias("reason"),
+                       F.when(F.col("inside"), point(F.substring("frag", 1, 1))).alias("first"), F.when(F.col("inside"), point(F.substring("frag", -1, 1))).alias("last"),
+                       "frag", F.when(F.col("inside"), cut(low, F.col("end") + context)).alias("context"))

@@ -103,8 +103,3 @@ def with_drug_spans(df: DataFrame, text: str, out: str, lexicon=(), wide: bool =
     allc = F.concat(*[F.col(p) for p in parts], *([F.coalesce(F.col(found), S.empty_spans())] if found else []))
     df = df.withColumn(out, S.merge_spans(allc) if merged else allc)
     return df.drop(*parts)
-
-
-def with_hard_spans(df: DataFrame, text: str, out: str) -> DataFrame:
-    """All hard-regex spans with their labels (D3), unmerged."""
-    return S.with_detector_spans(df, text, hard_detectors(), out)

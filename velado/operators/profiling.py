@@ -37,12 +37,6 @@ def clean_values(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def side_by_side(df: DataFrame, masked: DataFrame, key: str, cols) -> DataFrame:
-    """Original and masked values as ``<col>`` / ``<col>_ANON`` pairs."""
-    m = masked.select(key, *[F.col(c).alias(f"{c}_ANON") for c in cols])
-    return df.join(m, key, "inner")
-
-
 def sample_lengths(df: DataFrame, key: str, table_name: str = "", sample: int = SAMPLE) -> DataFrame:
     """Mean string length of the first ``sample`` non-null values of each column, by ``key`` order.
 

@@ -4,12 +4,16 @@ label counts (A4), corpus report (A3), edge validation (V8), sequential span sel
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..operators import corpus as C
 from ..operators import spanops as SO
 from ..operators import tokens as TK
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks as SK
 from . import q_notes as QN
 from . import q_spans as QS
 from .registry import register, table
@@ -402,3 +406,66 @@ _LINE = "CASE " + " ".join(f"WHEN o_orderkey % {len(_LINES)} = {i} THEN {x[0]}"
 def fix_ann_lines(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", C.fix_ann_line(F.expr(_LINE)).alias("f"))
     return o.select("o_orderkey", F.array_join("f.lines", "\n").alias("lines"), "f.parsed")
+
+
+_CITY = QN._pick(QN.TOWNS, "c_custkey")
+_PERSON_TEXT = f"concat(c_name, ' vive en ', {_CITY}, '.  ')"
+_END = f"(27 + length({_CITY}))"
+#: Second annotation line of a customer's text, by kind, and the rejects that it makes: label, start, end, reason.
+_ANNOTATED = [
+    (f"concat('T2\tTERRITORIO 27 ', CAST({_END} AS STRING), '\t', {_CITY})", None),
+    (f"concat('T2\tTERRITORIO 26 ', CAST({_END} AS STRING), '\t', {_CITY})", ("'TERRITORIO'", "26", _END, "isspace-edge")),
+    (f"concat('T2\tTERRITORIO 27 ', CAST({_END} + 1 AS STRING), '\t', {_CITY})", ("'TERRITORIO'", "27", f"({_END} + 1)", "space/punct-edge")),
+    ("'T2\tTERRITORIO 27 999\tx'", ("'TERRITORIO'", "27", "999", "out-of-range")),
+    ("'T2 TERRITORIO 27 31 sin tabulador'", ("NULL", "NULL", "NULL", "malformed")),
+    ("'R1\tRel Arg1:T1 Arg2:T2'", None),
+    (f"concat('T2\tTERRITORIO 0 8; 27 ', CAST({_END} AS STRING), '\tx')", None),
+]
+_ANN = "concat('T1\tNOMBRE 0 18\t', c_name, '\n', " + "CASE " + " ".join(f"WHEN c_custkey % {len(_ANNOTATED)} = {i} THEN {x}" for i, (x, _) in enumerate(_ANNOTATED)) + " END)"
+
+
+def _annotated(spark, sf):
+    """A stand-off corpus of one short text a customer, with the faults that annotation files have."""
+    c = table(spark, sf, "customer")
+    return c.select(F.expr("CASE WHEN c_custkey % 4 = 0 THEN 'dev' ELSE 'train' END").alias("split"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"),
+                    F.expr(_PERSON_TEXT).alias("text"), F.expr(_ANN).alias("ann"))
+
+
+def _rejects_sql():
+    parts = []
+    for i, (_, bad) in enumerate(_ANNOTATED):
+        if bad:
+            label, a, b, reason = bad
+            frag = f"substr({_PERSON_TEXT}, {a} + 1, {b} - {a})" if reason.endswith("edge") else "''"
+            edge = (f"printf('U+%04X', unicode({frag}[1])), printf('U+%04X', unicode({frag}[-1]))", f"substr({_PERSON_TEXT}, greatest({a} - 30, 0) + 1, {b} + 30 - greatest({a} - 30, 0))") if reason.endswith("edge") else ("'', ''", "''")
+            parts.append(f"SELECT CASE WHEN c_custkey % 4 = 0 THEN 'dev' ELSE 'train' END AS split, concat('c', c_custkey, '.ann:2') AS file, coalesce({label}, '') AS label, "
+                         f"coalesce(CAST({a} AS VARCHAR), '') AS start, coalesce(CAST({b} AS VARCHAR), '') AS \"end\", '{reason}' AS reason, {edge[0]}, {frag} AS frag, {edge[1]} AS context "
+                         f"FROM customer WHERE c_custkey % {len(_ANNOTATED)} = {i}")
+    names = "split, file, label, start, \"end\", reason, first, last, frag, context"
+    return f"WITH r({names}) AS ({' UNION ALL '.join(parts)}) SELECT * FROM r"
+
+
+@register("corpus_rejects", "S13 V8 S5 B2S-report (rejects with file, line and reason, as the TSV says)", "customer", _rejects_sql())
+def corpus_rejects(spark, sf):
+    """One stored scan of the corpus gives good spans and rejects; the rejects are written as the report and read back."""
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/velado-corpus/{uuid.uuid4().hex}"
+    C.checked_lines(_annotated(spark, sf)).write.parquet(f"{home}/lines")
+    lines = spark.read.parquet(f"{home}/lines")
+    SK.write_rejects(lines.where("reason is not null"), f"{home}/rejects")
+    schema = ", ".join(f"`{c}` string" for c in SK.REJECT_COLUMNS)
+    found = spark.read.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema(schema).csv(f"{home}/rejects")
+    return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in SK.REJECT_COLUMNS])
+
+
+@register(
+    "corpus_spans",
+    "S5 V8 A4 (good spans of the same scan, by label and split)",
+    "customer",
+    f"""SELECT CASE WHEN c_custkey % 4 = 0 THEN 'dev' ELSE 'train' END AS split, label, CAST(sum(n) AS BIGINT) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (
+  SELECT c_custkey, 'NOMBRE' AS label, 1 AS n, 18 AS chars FROM customer
+  UNION ALL SELECT c_custkey, 'TERRITORIO', CASE WHEN c_custkey % {len(_ANNOTATED)} = 0 THEN 1 ELSE 2 END,
+                   length({_CITY}) + CASE WHEN c_custkey % {len(_ANNOTATED)} = 0 THEN 0 ELSE 8 END FROM customer WHERE c_custkey % {len(_ANNOTATED)} IN (0, 6)) GROUP BY 1, 2""",
+)
+def corpus_spans(spark, sf):
+    good = C.checked_lines(_annotated(spark, sf)).where("reason is null")
+    return good.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))

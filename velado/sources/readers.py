@@ -34,8 +34,3 @@ def read_texts(spark: SparkSession, path: str, column: str = "text") -> DataFram
     if column not in df.columns:
         raise ValueError(f"CSV must have a {column!r} column, found {df.columns}")
     return df.select(F.col(column).cast("string").alias(column))
-
-
-def read_weak_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Weak span JSON lines ``left, span, right, label`` (F8)."""
-    return spark.read.schema("left string, span string, right string, label string").json(path)

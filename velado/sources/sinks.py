@@ -30,12 +30,17 @@ def write_preview(df: DataFrame, path: str, n: int, order_by) -> None:
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
-    """Tab-separated reject report with the ten reference columns (S13); tabs/newlines in text become spaces."""
+    """Tab-separated reject report with the ten reference columns (S13); tabs/newlines in text become spaces.  A line
+    number, where the rows have one, follows the file's name after a colon."""
+    if "line_no" in rejects.columns:
+        rejects = rejects.withColumn("file", F.concat_ws(":", "file", "line_no"))
     cols = []
     for c in REJECT_COLUMNS:
         v = F.col(c).cast("string") if c in rejects.columns else F.lit("")
         cols.append(F.regexp_replace(F.coalesce(v, F.lit("")), r"[\t\r\n]", " ").alias(c))
-    rejects.select(*cols).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    w = rejects.select(*cols).write.mode("overwrite").option("sep", "\t").option("header", True)
+    # The writer trims by default, and a blank edge is what many rejects are about.
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
