@@ -17,7 +17,7 @@ from ..operators import lexicon as LX
 from ..operators import mask as M
 from ..operators import policy as PO
 from ..profile import default_profile
-from .registry import register, table
+from .registry import register, spread, table
 from .sqlpat import ci, profile_steps, re2, sq
 
 TOWNS = ["Toledo", "Burgos", "Lugo", "Soria"]
@@ -66,7 +66,7 @@ def notes(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     j = o.join(c, o["o_custkey"] == c["c_custkey"])
-    return j.select("o_orderkey", "c_custkey", "o_orderdate", F.expr(NOTE).alias("text"))
+    return spread(j, "o_orderkey").select("o_orderkey", "c_custkey", "o_orderdate", F.expr(NOTE).alias("text"))
 
 
 def _chain(steps, keep):

@@ -35,7 +35,7 @@ def register(name: str, operators: str, tables: str, sql: str | None = None):
 
 
 # Keys that spread the rows of the text tables evenly.
-SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"], "orders": ["o_orderkey"], "customer": ["c_custkey"]}
 # Session setting: hash-repartition the text tables into so many partitions.  Unset (as on a cluster,
 # where the scan has splits enough) they are read as they are.  Bench and tests set it, since their
 # files are one row group, which is one task.
@@ -47,3 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     parts = spark.conf.get(SPREAD_CONF, None)
     return df.repartition(int(parts), *SPREAD_KEYS[name]) if parts and name in SPREAD_KEYS else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Stand-in rows made from a small table, over as many partitions as the session has cores: a text table of the real
+    size would have at least as many splits."""
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism), *keys)
