@@ -140,3 +140,60 @@ def test_bucketed_overlap_join_matches_nested_loop(spark):
                  for r in SO.bucketed_overlap_join(sdf, tdf, ["doc"], width=16, how="inner").collect())
     want = sorted({(d, s, e, ts, te) for d, s, e in spans for d2, ts, te in toks if d == d2 and ts < e and s < te})
     assert got == want
+
+
+def _iou_rows(spark, gold, pred, thr=0.5):
+    schema = "doc int, start int, end int, text string"
+    g, p = (spark.createDataFrame([(*r, "x") for r in rows], schema) for rows in (gold, pred))
+    return {r["doc"]: (r["tp"], r["fp"], r["fn"]) for r in EV.iou_counts_rows(g, p, ["doc"], thr).collect()}
+
+
+def test_iou_rows_match_brute_force(spark):
+    """Dense, repeated and nested spans in any order of rows, at several thresholds."""
+    rnd = random.Random(21)
+    for thr in (0.3, 0.5, 0.8, 1.0):
+        gold, pred = [], []
+        for doc in range(25):
+            for side in (gold, pred):
+                for _ in range(rnd.randint(0, 40)):
+                    s = rnd.choice([rnd.randint(0, 60), 4096 + rnd.randint(-20, 20), rnd.randint(0, 9000)])
+                    side.extend([(doc, s, s + rnd.choice([1, 2, 3, 5, 9, 17, 40]))] * rnd.choice([1, 1, 1, 3]))
+        rnd.shuffle(gold)
+        rnd.shuffle(pred)
+        got = _iou_rows(spark, gold, pred, thr)
+        for doc in range(25):
+            g, p = (sorted((s, e) for d, s, e in side if d == doc) for side in (gold, pred))
+            if g or p:
+                assert got[doc] == _py_iou(g, p, thr), (thr, doc)
+            else:
+                assert doc not in got
+
+
+def test_iou_rows_of_one_long_document(spark):
+    """One chain of overlaps through a whole document, longer than an Arrow batch, and thousands of equal spans."""
+    gold = [(1, 10 * i, 10 * i + 14) for i in range(12000)] + [(2, 5, 9)] * 3000
+    pred = [(1, 10 * i + 2, 10 * i + 15) for i in range(12000)] + [(2, 5, 9)] * 2000 + [(2, 5, 10)] * 500
+    assert _iou_rows(spark, gold, pred) == {1: (12000, 0, 0), 2: (2500, 0, 500)}
+
+
+def test_iou_rows_nulls_and_empty(spark):
+    got = _iou_rows(spark, [(1, None, 4), (1, 3, 3), (None, 1, 2), (2, 0, 4)], [(1, 3, 3), (1, 2, None), (3, 1, 5)])
+    assert got == {1: (0, 1, 1), 2: (0, 0, 1), 3: (0, 1, 0)}
+    assert _iou_rows(spark, [], []) == {}
+
+
+def test_overlap_runs_across_blocks(spark):
+    from velado.operators import spanops as SO
+
+    rnd = random.Random(4)
+    rows = [(d, s, s + rnd.randint(1, 30)) for d in range(4) for s in (rnd.randint(0, 2000) for _ in range(120))]
+    got = SO.overlap_runs(spark.createDataFrame(rows, "doc int, a int, b int"), ["doc"], "a", "b", block=16).collect()
+    for doc in range(4):
+        run, reach, want = None, -1, {}
+        for a, b in sorted((a, b) for d, a, b in rows if d == doc):
+            if a >= reach:
+                run = a
+            reach = max(reach, b)
+            want[a] = run
+        assert all(r["run"] == want[r["a"]] for r in got if r["doc"] == doc)
+    assert len(got) == len(rows)

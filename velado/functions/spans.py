@@ -337,12 +337,17 @@ def select_longest(spans: Column) -> Column:
 
 
 def select_first(spans: Column) -> Column:
-    """Keep first, drop later overlaps, in (start, end) order (V9)."""
-    return F.aggregate(
-        sort_spans(F.coalesce(spans, empty_spans())),
-        empty_spans(),
-        lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
+    """Keep first, drop later overlaps, in (start, end) order (V9).  What is kept is sorted and disjoint, so the last one
+    that is not empty decides about the next: the fold carries its end."""
+
+    def step(acc, x):
+        clear = acc["reach"].isNull() | (x["start"] >= acc["reach"])
+        out = F.when(clear, F.concat(acc["out"], F.array(x))).otherwise(acc["out"])
+        reach = F.when(clear & (x["end"] > x["start"]), x["end"]).otherwise(acc["reach"])
+        return F.struct(out.alias("out"), reach.alias("reach"))
+
+    start = F.struct(empty_spans().alias("out"), F.lit(None).cast("int").alias("reach"))
+    return F.aggregate(sort_spans(F.coalesce(spans, empty_spans())), start, step, lambda acc: acc["out"])
 
 
 def select_end_pointer(spans: Column) -> Column:

@@ -85,8 +85,8 @@ def veto_protected(entities: Column, protected: Column) -> Column:
 
 def lexicon_hits(toks: Column, lexicon) -> Column:
     """The document's tokens that are drug-lexicon terms (usually none): materialise once per row."""
-    lex = _lit_array(sorted({t.lower() for t in lexicon}))
-    return F.filter(toks, lambda t: F.array_contains(lex, F.lower(t["tok"])))
+    lex = sorted({t.lower() for t in lexicon})  # literals: one hashed set in the plan
+    return F.filter(toks, lambda t: F.lower(t["tok"]).isin(lex))
 
 
 def veto_lexicon(entities: Column, toks: Column, lexicon=None) -> Column:
@@ -97,14 +97,13 @@ def veto_lexicon(entities: Column, toks: Column, lexicon=None) -> Column:
     """
     if lexicon is None:
         return F.filter(entities, lambda e: ~F.exists(toks, lambda t: S.overlaps(e, t)))
-    lex = _lit_array(sorted({t.lower() for t in lexicon}))
-    return F.filter(entities, lambda e: ~F.exists(
-        toks, lambda t: S.overlaps(e, t) & F.array_contains(lex, F.lower(t["tok"]))))
+    lex = sorted({t.lower() for t in lexicon})
+    return F.filter(entities, lambda e: ~F.exists(toks, lambda t: S.overlaps(e, t) & F.lower(t["tok"]).isin(lex)))
 
 
 def in_drug_lexicon(t: Column, lexicon) -> Column:
     """Whole value, trimmed and lower-cased, is a lexicon term (F11p)."""
-    return F.array_contains(_lit_array(sorted({x.lower() for x in lexicon})), F.lower(F.trim(t)))
+    return F.lower(F.trim(t)).isin(sorted({x.lower() for x in lexicon}))
 
 
 def drug_label(label: Column, drug_labels=tuple(P.DRUG_LABELS)) -> Column:

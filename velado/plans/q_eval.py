@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..operators import evaluate as EV
+from ..operators import spanops as SO
 from . import q_spans as QS
 from .registry import register, table
 
@@ -99,6 +100,38 @@ def eval_iou(spark, sf):
     return d.select("doc_id", "c.tp", "c.fp", "c.fn", p.alias("p"), r.alias("r"), f1.alias("f1"))
 
 
+#: Word groups whose spans overlap, nest and repeat: a gold span has several predictions and the other way round.
+GOLD_GROUPS = [("A", r"[A-Za-z]{5,} [A-Za-z]{5,}", False), ("B", r"[a-z]{6,} [a-z]{5,}", False)]
+PRED_GROUPS = [("ONE", r"[A-Za-z]{8,}", False), ("TWO", r"[A-Za-z]{4,} [A-Za-z]{4,}", False), ("PAIR", r"[a-z]{5,} [a-z]{4,}", False),
+               ("THREE", r"[A-Za-z]{6,} [A-Za-z]+ [A-Za-z]{3,}", False)]
+
+_IOU_ROWS_SQL = f"""WITH RECURSIVE g AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS i
+  FROM (SELECT doc_id, start AS s, "end" AS e FROM {QS.spans_sql(GOLD_GROUPS)})),
+p AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS j
+  FROM (SELECT doc_id, start AS s, "end" AS e FROM {QS.spans_sql(PRED_GROUPS)})),
+pair AS (SELECT g.doc_id, g.i, p.j, (least(g.e, p.e) - greatest(g.s, p.s)) / (greatest(g.e, p.e) - least(g.s, p.s)) AS v
+  FROM g JOIN p ON p.doc_id = g.doc_id AND p.s < g.e AND g.s < p.e),
+want AS (SELECT doc_id, list(j ORDER BY v DESC, j) AS js, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM pair WHERE v >= 0.5 GROUP BY doc_id, i),
+r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM want
+  UNION ALL SELECT doc_id, k, CASE WHEN len(f) > 0 THEN list_append(used, f[1]) ELSE used END
+  FROM (SELECT r.doc_id, w.k, r.used, list_filter(w.js, lambda x: NOT list_contains(r.used, x)) AS f
+        FROM r JOIN want w ON w.doc_id = r.doc_id AND w.k = r.k + 1)),
+tp AS (SELECT doc_id, max(len(used)) AS tp FROM r GROUP BY doc_id),
+n AS (SELECT doc_id, sum(ng) AS ng, sum(np) AS np FROM (SELECT doc_id, 1 AS ng, 0 AS np FROM g UNION ALL SELECT doc_id, 0, 1 FROM p) GROUP BY doc_id)
+SELECT n.doc_id, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(np - coalesce(tp, 0) AS BIGINT) AS fp, CAST(ng - coalesce(tp, 0) AS BIGINT) AS fn
+FROM n LEFT JOIN tp ON tp.doc_id = n.doc_id"""
+
+
+@register("eval_iou_rows", "E2 J6 (row form: candidates by cells, one-to-one match over sorted runs)", "documents", _IOU_ROWS_SQL)
+def eval_iou_rows(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = []
+    for dets in (GOLD_GROUPS, PRED_GROUPS):
+        rows.append(SO.explode_spans(S.with_detector_spans(docs, "text", [QS._java(x) for x in dets], "sp"), "sp", ["doc_id"]))
+    return EV.iou_counts_rows(*rows, ["doc_id"])
+
+
 def _per_label_sql():
     return f"""WITH g AS (SELECT DISTINCT doc_id, start, "end", label FROM {QS.spans_sql(GOLD_SET)}),
 p AS (SELECT DISTINCT doc_id, start, "end", label FROM {QS.spans_sql(PRED_SET)}),
