@@ -85,3 +85,12 @@ def test_policy_predicates(spark):
                               f"text string, sp {S.SPANS_TYPE}")
     flags = t.select(F.transform("sp", lambda s: PO.probable_drug_segment(F.col("text"), s, ["adiro"])).alias("f")).first()["f"]
     assert flags == [True, False]
+
+
+def test_without_annotations(spark):
+    """An empty or repeated file is a file; null keys match nothing; other columns do not clash."""
+    texts = spark.createDataFrame([("a", "x", "t"), ("a", "y", "t"), ("b", "x", None), (None, "x", "t")], "split string, stem string, text string")
+    files = spark.createDataFrame([("a", "x", ""), ("a", "x", "T1"), ("c", "x", "T1")], "split string, stem string, text string")
+    got = sorted(tuple(r) for r in C.without_annotations(texts, files).na.fill("?").collect())
+    assert got == [("?", "x", "NO_ANN"), ("a", "y", "NO_ANN"), ("b", "x", "NO_ANN")]
+    assert C.without_annotations(texts.limit(0), files).count() == 0

@@ -39,6 +39,13 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
         .select("split", "stem", F.col("txt").alias("text"), "ann")
 
 
+def without_annotations(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """``split, stem, reason`` of the texts that have no annotation file (J2).  An empty file is a file.  Only the keys of
+    the files take part; a file that occurs twice, or has no text, changes nothing."""
+    keys = ["split", "stem"]
+    return texts.select(*keys).join(files.select(*keys), keys, "left_anti").withColumn("reason", F.lit("NO_ANN"))
+
+
 def parse_ann(ann: Column, text: Column, lenient: bool = False, only_label: str | None = None,
               file_order: bool = False) -> Column:
     """Annotation text -> ``array<span>`` (S5; S6 when ``lenient``; S7 with ``only_label``).

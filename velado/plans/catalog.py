@@ -1,7 +1,7 @@
 """Imports every query module so the registry is complete."""
 
 from . import q_corpus, q_detect, q_eval, q_mask, q_ml, q_models, q_notes, q_profile, q_spans, q_tokens  # noqa: F401
-from . import q_stream  # noqa: F401  (after q_mask: reuses its oracle)
+from . import q_sources, q_stream  # noqa: F401  (after the others: reuse their oracles)
 from .registry import REGISTRY, TABLES  # noqa: F401
 
 
