@@ -41,6 +41,7 @@ HEADLINE = [
     "rejects_no_ann",
     "corpus_report",
     "eval_iou",
+    "eval_iou_rows",
     "span_align",
     "balanced_sample",
     "date_years",

@@ -281,3 +281,36 @@ def lexicon_mask_notes(spark, sf):
     d = d.join(found, "o_orderkey", "left")
     prof = default_profile(regex=dict(P.PROFILE_REGEX_DEFAULTS), drug_lexicon_extra=P.BUILTIN_DRUGS)
     return M.mask_text(d, "text", prof, out="masked", counts="c", protect=True, lexicon_spans="table_spans").select("o_orderkey", "masked")
+
+
+#: Sentences with entities that stand beside or inside medication, near misses of those, and the entities that the conservative
+#: policy and the overlap veto leave.
+_NEAR = [
+    (f"concat('Visto por Ana Ruiz en ', {_pick(TOWNS, 'o_custkey')}, '.')", f"concat('PER:Ana Ruiz|LOC:', {_pick(TOWNS, 'o_custkey')})"),
+    ("'Hoy toma Adiro Ruiz.'", "''"),
+    (f"concat('Vive en ', {_pick(TOWNS, 'o_custkey')}, ' ', CAST(o_orderkey % 90 + 10 AS STRING), ' mg.')", "''"),
+    (f"concat('Vive en ', {_pick(TOWNS, 'o_custkey')}, ' ', CAST(o_orderkey % 90 + 10 AS STRING), ' km.')", f"concat('LOC:', {_pick(TOWNS, 'o_custkey')})"),
+    (f"concat('Alergia a Burgos, vive en ', {_pick(TOWNS, 'o_custkey')}, '.')", f"concat('LOC:', {_pick(TOWNS, 'o_custkey')})"),
+    ("'Nota de ANA RUIZ.'", "''"),
+    ("'Visto por Eva Adiroso.'", "'PER:Eva Adiroso'"),
+    ("'Recibe Omeprazol Normon.'", "''"),
+]
+
+
+def _near(k):
+    return "CASE " + " ".join(f"WHEN o_orderkey % {len(_NEAR)} = {i} THEN {x[k]}" for i, x in enumerate(_NEAR)) + " END"
+
+
+@register("conservative_entities", "F10p F4p N1 D8 D13 (near misses of medication kept, overlaps dropped)", "orders", f"SELECT o_orderkey, {_near(1)} AS kept FROM orders")
+def conservative_entities(spark, sf):
+    rows = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", F.expr(_near(0)).alias("text"))
+    found = [("PER", r"\b[A-Z][a-z]+ [A-Z][a-z]+", 0), ("LOC", r"\ben ([A-Z][a-z]+)", 1)]
+    dets = [dict(out=f"p{i}", pattern=p, label=lab, src="tagger", group=g) for i, (lab, p, g) in enumerate(found)]
+    d = S.with_regex_spans_multi(rows, "text", dets).withColumn("entities", S.sort_spans(F.concat("p0", "p1"))).drop("p0", "p1")
+    d = D.with_drug_spans(d, "text", "prot", ["adiro"])
+    d, blk = S.with_blocks(d, "text")
+    surface = lambda e: S.surface(F.col("text"), e, F.col(blk))
+    d = d.withColumn("entities", S.pinned(blk, F.filter("entities", lambda e: PO.conservative(e["label"], surface(e)))))
+    d = d.withColumn("entities", S.pinned("prot", PO.veto_protected(F.col("entities"), F.col("prot"))))
+    kept = F.transform("entities", lambda e: F.concat(e["label"], F.lit(":"), surface(e)))
+    return d.select("o_orderkey", S.pinned(blk, F.array_join(kept, "|")).alias("kept"))
