@@ -1,8 +1,8 @@
 """Label policies and vetoes over entity spans (F1p-F12p, N1, N3, O4).
 
 Every predicate is a boolean Column over a span's surface text, so a policy is one ``filter``
-on the span array (or on span rows); lexicon tests are ``array_contains`` on small fixed lists or
-a checked broadcast join for large ones.
+on the span array (or on span rows); lexicon tests are hashed sets of literals for the fixed lists
+of a profile, or a checked broadcast join for large ones.
 """
 
 from __future__ import annotations
