@@ -25,7 +25,7 @@ def mask_stream(spark, sf):
     s = s.select("doc_id", "lang", "masked", *[F.col(f"c.{n}").alias(f"n_{n}") for n in names],
                  count_total("c", names).alias("n_total"))
     out = MS.run_to_sink(s, "mask_stream")
-    return spark.read.parquet(out)
+    return spark.read.schema(s.schema).parquet(out)
 
 
 @register(
@@ -39,7 +39,7 @@ def event_windows(spark, sf):
     """Update-mode stream: each micro-batch appends its changed windows with the batch id; the
     final table keeps the latest version of each (window, key) - no driver-side memory sink."""
     full = table(spark, sf, "events").schema
-    src = spark.readStream.schema(full).option("pathGlobFilter", "events.parquet").parquet(sf)
+    src = MS.table_stream(spark, sf, "events.parquet", full)
     src = src.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = MS.windowed_counts(src, "ts", "event_type", "1 hour", "10 minutes")
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -79,7 +79,7 @@ WHERE window_start + INTERVAL 1 HOUR <= latest - INTERVAL 10 MINUTE GROUP BY win
 def stream_audit(spark, sf):
     """Messages of the events are masked as a stream; a window's counts are written when the watermark has passed it."""
     full = table(spark, sf, "events").schema
-    src = spark.readStream.schema(full).option("pathGlobFilter", "events.parquet").parquet(sf)
+    src = MS.table_stream(spark, sf, "events.parquet", full)
     src = src.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_MESSAGE).alias("text"))
     profile = default_profile()
     masked = MS.M.mask_text(src, "text", profile, out="masked", counts="c", protect=False)

@@ -16,8 +16,15 @@ from ..operators import mask as M
 from ..session import ensure_checkpoint_dir
 
 
-def masked_stream(spark: SparkSession, source_dir: str, file_glob: str, schema, text: str, profile) -> DataFrame:
-    src = spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", 64).parquet(source_dir)
+def table_stream(spark: SparkSession, source_dir: str, name: str, schema) -> DataFrame:
+    """Stream of a table that is one file or a folder of files.  A file source takes no plain file and looks into no folder
+    below its own, so the name is given as a pattern, which both forms match."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+            .parquet(f"{source_dir.rstrip('/')}/{{{name}}}"))
+
+
+def masked_stream(spark: SparkSession, source_dir: str, name: str, schema, text: str, profile) -> DataFrame:
+    src = table_stream(spark, source_dir, name, schema)
     return M.mask_text(src, text, profile, out="masked", counts="c", protect=False)
 
 
