@@ -21,3 +21,20 @@ def test_mask_stream_reads_a_folder_of_files(spark, tmp_path):
     want = catalog.queries()["mask_documents"](spark, str(tmp_path)).select(got.columns)
     assert got.count() == 6
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _stored(spark):
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base) for f in names)
+
+
+def test_stratified_split_stores_rows_small_and_cuts_exactly(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 4 > 0, "a").alias("label"))
+    before = _stored(spark)
+    out = WK.stratified_split(rows, "label", ["id"], task_rows=3)
+    n = {(r["label"], r["split"]): r["n"] for r in out.groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
+    assert n == {("a", "test"): 2250, ("a", "train"): 12750, (None, "test"): 750, (None, "train"): 4250}
+    assert _stored(spark) - before < 20 * 20_000
+    h = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    lowest = sorted((i for i in range(20_000) if i % 4 == 0), key=h)[:750]
+    assert {r[0] for r in out.where("label IS NULL AND split = 'test'").select("id").collect()} == set(lowest)
