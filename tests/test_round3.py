@@ -38,3 +38,17 @@ def test_stratified_split_stores_rows_small_and_cuts_exactly(spark):
     h = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
     lowest = sorted((i for i in range(20_000) if i % 4 == 0), key=h)[:750]
     assert {r[0] for r in out.where("label IS NULL AND split = 'test'").select("id").collect()} == set(lowest)
+
+
+def test_balance_hashes_whole_rows_and_counts_copies(spark):
+    text = "uno dos tres cuatro cinco seis siete ocho"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "nueve diez")], "doc_id long, text string")
+    got = [(r.doc_id, r.i, r.left, r.span, r.right) for r in WK.balanced_spans(docs, "doc_id", "text").collect()]
+    every = []
+    for key, t in [(1, text), (1, text), (2, "nueve diez")]:
+        at = 0
+        for i, tok in enumerate(t.split()):
+            every.append((key, i, t[max(0, at - 50):at], tok, t[at + len(tok):at + len(tok) + 50]))
+            at += len(tok) + 1
+    rank = lambda r: hashlib.md5("|".join(map(str, ("42", *r))).encode()).hexdigest()
+    assert sorted(got) == sorted(sorted(every, key=rank)[:9])
