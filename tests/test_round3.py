@@ -52,3 +52,15 @@ def test_balance_hashes_whole_rows_and_counts_copies(spark):
             at += len(tok) + 1
     rank = lambda r: hashlib.md5("|".join(map(str, ("42", *r))).encode()).hexdigest()
     assert sorted(got) == sorted(sorted(every, key=rank)[:9])
+
+
+def test_scan_has_three_levels_and_tokens_are_zipped(spark):
+    values = [[(7 * i) % 11 for i in range(n)] for n in (0, 1, 4, 5, 65, 1000)]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "k int, a array<int>")
+    both = S.scan_column(S.scan_column(df, "a", "before"), "a", "top", "max", inclusive=True)
+    for r in both.collect():
+        assert r.before == [0, *accumulate(r.a)][:len(r.a)] and r.top == list(accumulate(r.a, max))
+    toks = TK.with_tokens(spark.createDataFrame([("a-b 5.3",), (None,)], "text string"), "text", "toks")
+    assert [[tuple(t) for t in r.toks] for r in toks.collect()] == [[(0, "a-b", 0, 3), (1, "5.3", 4, 7)], []]
+    plan = toks._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in plan and "CBRT" in plan.upper()
