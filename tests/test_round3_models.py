@@ -51,3 +51,20 @@ def test_two_tag_columns_are_decoded_from_one_collect(spark):
     assert [(s.start, s.end) for s in got[1][0]] == [(0, 6)] and [(s.start, s.end) for s in got[1][1]] == [(4, 6)] and got[2] == ([], [])
     r = {x.label: x for x in ML.report(rows).collect()}
     assert (r["O"].support, r["O"].precision, r["O"].recall, r["I-A"].recall, r["I-A"].support) == (1, 0.5, 1.0, 0.0, 1)
+
+
+@pytest.mark.parametrize(("max_len", "stride"), [(4, 2), (5, 3), (6, 1), (4, 0), (7, 5)])
+def test_stitched_runs_take_the_chunk_with_most_room(spark, max_len, stride):
+    step = max_len - stride
+    df = spark.range(0, 40).select(F.col("id").cast("int").alias("n")).withColumn("starts", TK.chunk_starts(F.col("n"), max_len, stride))
+    tags = lambda s, size: F.transform(F.sequence(F.lit(0), size), lambda j: F.concat_ws(":", s, j))
+    df = df.withColumn("chunks", TK.chunk_tags(F.col("n"), F.col("starts"), lambda s, size: F.slice(tags(s, size), 1, size), max_len))
+    stitched = TK.stitch_chunks(F.col("n"), F.col("chunks"), max_len, stride)
+    assert "array_min" not in df.select(stitched)._jdf.queryExecution().toString()  # no search for each token
+    for r in df.select("n", "starts", stitched.alias("got")).collect():
+        want = []
+        for i in range(r.n):
+            inside = [(-min(i - s, min(s + max_len, r.n) - 1 - i), s) for s in r.starts if s <= i < min(s + max_len, r.n)]
+            s = min(inside)[1]
+            want.append(f"{s}:{i - s}")
+        assert r.got == want, (r.n, step)
