@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,13 +13,16 @@ from velado.operators import tokens as TK
 DOCS = [(1, "usa Adiro cien hoy"), (1, "usa Adiro cien hoy"), (2, " ".join(f"p{i}" for i in range(60))), (None, "ve a Adiro"), (3, None), (4, "")]
 
 
-def test_scores_equal_those_of_the_fitted_model(spark):
+def test_scores_equal_those_of_the_fitted_model(spark, tmp_path):
     train = spark.createDataFrame([("DRUG", ["t=adiro", "n=cien"]), ("DRUG", ["t=adiro"]), ("OTHER", ["t=ve"]), ("OTHER", ["t=a", "n=cien"]), ("X", ["t=q"])],
                                   "label string, features array<string>")
     rows = spark.createDataFrame([(0, ["t=adiro", "n=cien"]), (1, ["t=new", "t=new"]), (2, []), (3, ["t=q", "t=ve"])], "k int, features array<string>")
-    for data in (train, train.where("label = 'X'")):
+    for i, data in enumerate((train, train.where("label = 'X'"))):
         model = ML.fit(data, max_iter=20)
-        want = {r.k: (r.p, r.prediction_) for r in model.transform(rows.withColumn("label", F.lit("X"))).select(
+        # Spark's own scoring of a model with a training summary fails in a session that has observed a DataFrame.
+        model.write().save(f"{tmp_path}/m{i}")
+        loaded = PipelineModel.load(f"{tmp_path}/m{i}")
+        want = {r.k: (r.p, r.prediction_) for r in loaded.transform(rows.withColumn("label", F.lit("X"))).select(
             "k", vector_to_array("proba").alias("p"), F.col("y_hat").alias("prediction_")).collect()}
         for r in ML.predict(model, rows).collect():
             assert list(r.proba) == pytest.approx(list(want[r.k][0]))
