@@ -182,6 +182,16 @@ def test_iou_rows_nulls_and_empty(spark):
     assert _iou_rows(spark, [], []) == {}
 
 
+def test_iou_rows_make_their_pairs_once(spark):
+    """The pairs of the cells are joined and shuffled once, though runs use them twice."""
+    schema = "doc int, start int, end int"
+    g, p = (spark.createDataFrame([(d, 10 * i, 10 * i + w) for d in range(20) for i in range(30)], schema) for w in (8, 9))
+    found = EV.iou_matches(g, p, ["doc"])
+    assert len(found.collect()) == 600
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([x for x in plan.splitlines() if "Join " in x and "__c#" in x]) == 1
+
+
 def test_overlap_runs_across_blocks(spark):
     from velado.operators import spanops as SO
 
