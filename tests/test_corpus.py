@@ -94,3 +94,26 @@ def test_without_annotations(spark):
     got = sorted(tuple(r) for r in C.without_annotations(texts, files).na.fill("?").collect())
     assert got == [("?", "x", "NO_ANN"), ("a", "y", "NO_ANN"), ("b", "x", "NO_ANN")]
     assert C.without_annotations(texts.limit(0), files).count() == 0
+
+
+def test_annotated_corpus_uses_all_cores(spark, tmp_path):
+    """A table of one row group is one split; the corpus made from it is checked by as many tasks as there are cores."""
+    from velado.plans import q_corpus as QC
+    from velado.plans import registry as R
+
+    rows = [(i, f"Customer#{i:09d}") for i in range(1, 400)] + [(None, "x"), (7, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    kept = spark.conf.get(R.SPREAD_CONF)
+    spark.conf.unset(R.SPREAD_CONF)
+    try:
+        sizes = QC._annotated(spark, str(tmp_path)).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    finally:
+        spark.conf.set(R.SPREAD_CONF, kept)
+    assert sum(sizes) == 401 and len(sizes) >= spark.sparkContext.defaultParallelism > 1 and min(sizes) > 100
+
+
+def test_check_text_of_a_fragment(spark):
+    frags = ["a\u00a0b", "\u200ba\ufeff", "\u00a0", "\ufeff\u200b", "", "a b", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(frags)], "i int, x string")
+    got = [r["c"] for r in df.select("i", C.check_text(F.col("x")).alias("c")).orderBy("i").collect()]
+    assert got == ["a b", "a", " ", "", "", "a b", None]

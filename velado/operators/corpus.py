@@ -120,13 +120,21 @@ def fix_ann_line(line: Column, label: str = P.DRUG_ANN_LABEL) -> Column:
 REASONS = ("empty-after-normalize", "isspace-edge", "space/punct-edge", "strip-differs")
 
 
+def check_text(frag: Column) -> Column:
+    """The text whose edges are checked: NBSP is a space, zero-width space and BOM are left out."""
+    return F.translate(frag, "\u00a0\u200b\ufeff", " ")
+
+
 def edge_reason(frag: Column) -> Column:
     """Reject reason for a span fragment (V8), or null when the edges are clean.
 
-    The check text maps NBSP to a space and drops zero-width space and BOM; whitespace is Python's
-    ``str.isspace`` set, spelled out.
+    Whitespace is Python's ``str.isspace`` set, spelled out.
     """
-    chk = F.regexp_replace(F.regexp_replace(frag, r"\x{A0}", " "), r"[\x{200B}\x{FEFF}]", "")
+    return checked_edges(check_text(frag))
+
+
+def checked_edges(chk: Column) -> Column:
+    """``edge_reason`` of a check text: a column of its own (``check_text``) is computed once, and is asked for five times."""
     first, last = F.substring(chk, 1, 1), F.substring(chk, -1, 1)
     sp = P.PY_SPACE
     space_punct = "^(?:" + sp + r"|[\p{Z}\p{P}\x{200B}\x{FEFF}])$"
@@ -179,9 +187,10 @@ def checked_lines(docs: DataFrame, context: int = 30) -> DataFrame:
     rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
     cut = lambda a, b: S.sub(F.col("text"), a, b - a, F.col(blk))
     rows = rows.withColumn("frag", F.when(F.col("inside"), cut(F.col("start"), F.col("end"))))
+    rows = rows.withColumn("chk", check_text(F.col("frag")))
     low = F.greatest(F.col("start") - context, F.lit(0))
     point = lambda c: F.format_string("U+%04X", F.ascii(c))
-    reason = F.when(F.col("label").isNull(), NOT_PARSED).when(~F.col("inside"), OUT_OF_RANGE).otherwise(edge_reason(F.col("frag")))
+    reason = F.when(F.col("label").isNull(), NOT_PARSED).when(~F.col("inside"), OUT_OF_RANGE).otherwise(checked_edges(F.col("chk")))
     return rows.select("split", "file", "line_no", "label", "start", "end", reason.alias("reason"),
                        F.when(F.col("inside"), point(F.substring("frag", 1, 1))).alias("first"), F.when(F.col("inside"), point(F.substring("frag", -1, 1))).alias("last"),
                        "frag", F.when(F.col("inside"), cut(low, F.col("end") + context)).alias("context"))

@@ -16,7 +16,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import sinks as SK
 from . import q_notes as QN
 from . import q_spans as QS
-from .registry import register, table
+from .registry import register, spread, table
 from .sqlpat import sq
 from .q_tokens import tokens_sql
 
@@ -426,7 +426,7 @@ _ANN = "concat('T1\tNOMBRE 0 18\t', c_name, '\n', " + "CASE " + " ".join(f"WHEN
 
 def _annotated(spark, sf):
     """A stand-off corpus of one short text a customer, with the faults that annotation files have."""
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
     return c.select(F.expr("CASE WHEN c_custkey % 4 = 0 THEN 'dev' ELSE 'train' END").alias("split"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"),
                     F.expr(_PERSON_TEXT).alias("text"), F.expr(_ANN).alias("ann"))
 
